@@ -2,7 +2,8 @@
 
 Both tokenizers cut a text into words before any merge, and no word reaches
 across the places used here, so the ids of a text are those of its pieces put
-together. A piece that repeats is encoded by the tokenizers library once.
+together. A piece that repeats is encoded once: plain words by the merges of the tokenizer's file, others by the
+tokenizers library.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import re
 
 import numpy as np
 
+from ._bpe import Bpe
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 MARK = b"<|endoftext|>"
@@ -19,6 +22,8 @@ MARK = b"<|endoftext|>"
 _RUN = re.compile(
     rb"(?:[\t-\r\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)(?= )"
 )
+#: A run of Latin letters, then a run of plain punctuation: two units of either tokenizer.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?|]*)\Z")
 _WHITE = re.compile(_RUN.pattern[: -len(b"(?= )")] + rb"\Z")
 
 
@@ -29,6 +34,7 @@ class Memo:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bpe, self.lower = Bpe(path), bool(self.tokenizer.normalizer)
         self.mark = self.tokenizer.token_to_id(MARK.decode())
         self.before, self.keep, self.longest = before, keep, longest
         self.new: dict[bytes, bytes] = {}
@@ -48,19 +54,32 @@ class Memo:
         known = missing & self.old.keys()
         self.new.update((p, self.old[p]) for p in known)
         missing -= known
+        found = [(p, m) for p in missing if len(p) <= self.longest and (m := _PLAIN.match(p))]
+        self._plain(found)
+        missing -= self.new.keys()
         odd = {p for p in missing if b"<|" in p or b"|>" in p or len(p) > self.longest}
         for p in odd:
             self.new[p] = self.raw((self.before + p).decode())
-        plain = list(missing - odd)
-        if plain:
-            joined = MARK.join(self.before + p for p in plain).decode()
+        rest = list(missing - odd)
+        if rest:
+            joined = MARK.join(self.before + p for p in rest).decode()
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
             data, start = ids.tobytes(), 0
-            for p, end in zip(plain, ends, strict=True):
+            for p, end in zip(rest, ends, strict=True):
                 self.new[p] = data[4 * start : 4 * end]
                 start = end + 1
 
+    def _plain(self, found: list[tuple[bytes, re.Match]]) -> None:
+        """Pieces of letters and then punctuation, by the tokenizer's own merges."""
+        words = [m[1] for _, m in found]
+        if self.lower:
+            words = b"\n".join(words).decode().lower().encode().split(b"\n")
+        units = list({self.before + w for w, (_, m) in zip(words, found, strict=True)} | {m[2] for _, m in found} - {b""})
+        ids = dict(zip(units, self.bpe.encode(units), strict=True)) | {b"": b""}
+        for w, (p, m) in zip(words, found, strict=True):
+            self.new[p] = ids[self.before + w] + ids[m[2]]
+
 
 class Words(Memo):
     """For tokenizers that drop white space: pieces are runs without ASCII white space."""

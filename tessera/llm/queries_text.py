@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import pack_documents
+from .toxicity import toxicity
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -28,5 +29,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op8_packing": op8_packing}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = spark.read.parquet
+    return toxicity(read(f"{sf_dir}/documents.parquet"), read(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {"op8_packing": op8_packing, "op9_toxicity": op9_toxicity}
 ORACLES: dict[str, str] = {}
