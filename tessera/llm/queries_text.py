@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language_id import language_id
 from .packing import pack_documents
 from .toxicity import toxicity
 
@@ -34,5 +35,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(f"{sf_dir}/documents.parquet"), read(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op8_packing": op8_packing, "op9_toxicity": op9_toxicity}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {}
