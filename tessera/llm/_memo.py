@@ -45,18 +45,19 @@ class Memo:
 
     def learn(self, pieces: set[bytes]) -> None:
         """Make every piece known, encoding the unknown ones in one call."""
-        missing = pieces - self.new.keys()
+        missing = {p for p in pieces if p not in self.new}
         if not missing:
             return
         if len(self.new) + len(missing) > self.keep:
             self.old, self.new = self.new, {}
             missing = set(pieces)
-        known = missing & self.old.keys()
-        self.new.update((p, self.old[p]) for p in known)
-        missing -= known
+        if self.old:
+            known = {p: self.old[p] for p in missing if p in self.old}
+            self.new.update(known)
+            missing.difference_update(known)
         found = [(p, m) for p in missing if len(p) <= self.longest and (m := _PLAIN.match(p))]
         self._plain(found)
-        missing -= self.new.keys()
+        missing.difference_update(p for p, _ in found)
         odd = {p for p in missing if b"<|" in p or b"|>" in p or len(p) > self.longest}
         for p in odd:
             self.new[p] = self.raw((self.before + p).decode())
