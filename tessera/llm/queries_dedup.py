@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .substring_dedup import passages
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +18,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "class_id", "rep_id", "n_links", "n_shingles")
 
 
-QUERIES = {"op4_jaccard_join": op4_jaccard_join, "op6_exact_dedup": op6_exact_dedup}
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+
+
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op4_jaccard_join": op4_jaccard_join, "op6_exact_dedup": op6_exact_dedup}
 
 ORACLES = {
     "op4_jaccard_join": r"""
