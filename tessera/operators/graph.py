@@ -29,3 +29,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if moved.where("next <> was").isEmpty():
             return moved.select("node", F.col("next").alias("label"))
         labels = moved.select("node", F.col("next").alias("label"))
+
+
+def chains(links: DataFrame, item: str = "item", nxt: str = "next") -> DataFrame:
+    """(item, label, pos, closed): the place of each item in its chain or ring.
+
+    links has one row for each item and its successor, null at an end; no two
+    items share a successor. label is the chain's smallest item, from which a
+    ring counts. Places come from list ranking: every round doubles the distance
+    each item sees, so a chain of n items takes log2(n) rounds and never has to
+    fit one task.
+    """
+    every = links.select(F.col(item).alias("item"), F.col(nxt).alias("next"))
+    found = connected_components(every.select(F.col("item").alias("a"), F.coalesce("next", "item").alias("b")), "a", "b")
+    ends = every.where("next IS NULL").join(found, every["item"] == found["node"]).select("label", F.lit(True).alias("_open"))
+    lab = every.join(found, every["item"] == found["node"]).select("item", "next", "label").join(ends, "label", "left")
+    ring = F.col("_open").isNull()
+    step = F.when(~ring | (F.col("next") != F.col("label")), F.col("next"))
+    state = table(lab.select("item", "label", ring.alias("closed"), step.alias("to"), step.isNotNull().cast("long").alias("dist")))
+    while not state.where("to IS NOT NULL").isEmpty():
+        ahead = state.select(F.col("item").alias("to"), F.col("to").alias("_to"), F.col("dist").alias("_dist"))
+        state = table(state.join(ahead, "to", "left").select("item", "label", "closed", F.col("_to").alias("to"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist")))
+    most = state.groupBy("label").agg(F.max("dist").alias("_m"))
+    return state.join(most, "label").select("item", "label", (F.col("_m") - F.col("dist")).alias("pos"), "closed")
