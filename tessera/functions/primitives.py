@@ -24,6 +24,11 @@ def vec(x, y, z=0.0) -> Column:
     return F.struct(*[v.cast("double").alias(n) for v, n in zip(c, AXES, strict=True)])
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, for expressions that need it in many places."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def point() -> Column:
     """The coordinates of a row of points."""
     return F.struct("x", "y", "z")
@@ -170,32 +175,52 @@ def closest_in_box(p: Column, low: Column, high: Column) -> Column:
 
 def closest_on_triangle(p: Column, a: Column, b: Column, c: Column) -> Column:
     """Through the regions of the corners, the sides and the face."""
-    ab, ac, ap, bp, cp = sub(b, a), sub(c, a), sub(p, a), sub(p, b), sub(p, c)
-    d1, d2, d3, d4, d5, d6 = dot(ab, ap), dot(ac, ap), dot(ab, bp), dot(ac, bp), dot(ab, cp), dot(ac, cp)
-    va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
-    whole = va + vb + vc
-    return (
-        F.when((d1 <= 0) & (d2 <= 0), a)
-        .when((d3 >= 0) & (d4 <= d3), b)
-        .when((vc <= 0) & (d1 >= 0) & (d3 <= 0), add(a, scale(ab, d1 / (d1 - d3))))
-        .when((d6 >= 0) & (d5 <= d6), c)
-        .when((vb <= 0) & (d2 >= 0) & (d6 <= 0), add(a, scale(ac, d2 / (d2 - d6))))
-        .when((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), add(b, scale(sub(c, b), (d4 - d3) / ((d4 - d3) + (d5 - d6)))))
-        .otherwise(add(a, add(scale(ab, vb / whole), scale(ac, vc / whole))))
-    )
+    names = ("p", "a", "b", "c")
+
+    def products(r: Column) -> Column:
+        p, a, b, c = (r[n] for n in names)
+        ab, ac = sub(b, a), sub(c, a)
+        d = [dot(side, sub(p, corner)) for corner in (a, b, c) for side in (ab, ac)]
+        return let(F.struct(*[x.alias(f"d{i + 1}") for i, x in enumerate(d)]), lambda d: place(r, d))
+
+    def place(r: Column, d: Column) -> Column:
+        p, a, b, c = (r[n] for n in names)
+        d1, d2, d3, d4, d5, d6 = (d[f"d{i}"] for i in range(1, 7))
+        va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
+        # Weights of b and c; the corner a has the rest.
+        v = F.when((d1 <= 0) & (d2 <= 0), 0.0).when((d3 >= 0) & (d4 <= d3), 1.0).when((vc <= 0) & (d1 >= 0) & (d3 <= 0), d1 / (d1 - d3))
+        w = F.when((d1 <= 0) & (d2 <= 0), 0.0).when((d3 >= 0) & (d4 <= d3), 0.0).when((vc <= 0) & (d1 >= 0) & (d3 <= 0), 0.0)
+        v = v.when((d6 >= 0) & (d5 <= d6), 0.0).when((vb <= 0) & (d2 >= 0) & (d6 <= 0), 0.0)
+        w = w.when((d6 >= 0) & (d5 <= d6), 1.0).when((vb <= 0) & (d2 >= 0) & (d6 <= 0), d2 / (d2 - d6))
+        along, on = (d4 - d3) / ((d4 - d3) + (d5 - d6)), (va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0)
+        v = v.when(on, 1 - along).otherwise(vb / (va + vb + vc))
+        w = w.when(on, along).otherwise(vc / (va + vb + vc))
+        at = lambda k: add(a, add(scale(sub(b, a), k["v"]), scale(sub(c, a), k["w"])))
+        return let(F.struct(v.alias("v"), w.alias("w")), at)
+
+    return let(F.struct(p.alias("p"), a.alias("a"), b.alias("b"), c.alias("c")), products)
 
 
 def closest_of_segments(a: Column, b: Column, c: Column, d: Column) -> Column:
     """struct<p, q, d2> for segments a b and c d."""
-    u, v, w = sub(b, a), sub(d, c), sub(a, c)
-    uu, uv, vv, uw, vw = dot(u, u), dot(u, v), dot(v, v), dot(u, w), dot(v, w)
-    den = uu * vv - uv * uv
-    s0 = F.when(den > EPS2 * uu * vv, _clamp((uv * vw - vv * uw) / den)).otherwise(0.0)
-    t0 = F.when(vv > 0, (uv * s0 + vw) / vv).otherwise(0.0)
-    t = _clamp(t0)
-    s = F.when(t0 == t, s0).otherwise(F.when(uu > 0, _clamp((uv * t - uw) / uu)).otherwise(0.0))
-    p, q = add(a, scale(u, s)), add(c, scale(v, t))
-    return F.struct(p.alias("p"), q.alias("q"), distance2(p, q).alias("d2"))
+
+    def products(r: Column) -> Column:
+        u, v, w = sub(r["b"], r["a"]), sub(r["d"], r["c"]), sub(r["a"], r["c"])
+        pairs = {"uu": (u, u), "uv": (u, v), "vv": (v, v), "uw": (u, w), "vw": (v, w)}
+        return let(F.struct(*[dot(*x).alias(n) for n, x in pairs.items()]), lambda k: first(r, k))
+
+    def first(r: Column, k: Column) -> Column:
+        den = k["uu"] * k["vv"] - k["uv"] * k["uv"]
+        s = F.when(den > EPS2 * k["uu"] * k["vv"], _clamp((k["uv"] * k["vw"] - k["vv"] * k["uw"]) / den)).otherwise(0.0)
+        return let(s, lambda s: let(F.when(k["vv"] > 0, (k["uv"] * s + k["vw"]) / k["vv"]).otherwise(0.0), lambda t: both(r, k, s, t)))
+
+    def both(r: Column, k: Column, s: Column, t: Column) -> Column:
+        t1 = _clamp(t)
+        s1 = F.when(t == t1, s).otherwise(F.when(k["uu"] > 0, _clamp((k["uv"] * t1 - k["uw"]) / k["uu"])).otherwise(0.0))
+        p, q = add(r["a"], scale(sub(r["b"], r["a"]), s1)), add(r["c"], scale(sub(r["d"], r["c"]), t1))
+        return let(F.struct(p.alias("p"), q.alias("q")), lambda e: F.struct(e["p"].alias("p"), e["q"].alias("q"), distance2(e["p"], e["q"]).alias("d2")))
+
+    return let(F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")), products)
 
 
 def distance2(p: Column, q: Column) -> Column:
@@ -310,15 +335,20 @@ def ray_plane(origin: Column, direction: Column, n: Column, d, min_t=0.0, max_t=
 
 def ray_triangle(origin: Column, direction: Column, a: Column, b: Column, c: Column, min_t=0.0, max_t=float("inf")) -> Column:
     """struct<status, t, point> (Moeller-Trumbore)."""
-    e1, e2 = sub(b, a), sub(c, a)
-    h = cross(direction, e2)
-    det = dot(e1, h)
-    inv = 1 / F.when(F.abs(det) > EPS2, det)
-    s = sub(origin, a)
-    q = cross(s, e1)
-    u, v, t = dot(s, h) * inv, dot(direction, q) * inv, dot(e2, q) * inv
-    ok = F.coalesce((F.abs(det) > EPS2) & (u >= -EPS) & (v >= -EPS) & (u + v <= 1 + EPS), F.lit(False))
-    return _hit(t, ok, origin, direction, min_t, max_t)
+    e1, e2, s = sub(b, a), sub(c, a), sub(origin, a)
+
+    def hit(r: Column) -> Column:
+        inv = 1 / F.when(F.abs(r["det"]) > EPS2, r["det"])
+        u, v = r["u"] * inv, r["v"] * inv
+        ok = F.coalesce((F.abs(r["det"]) > EPS2) & (u >= -EPS) & (v >= -EPS) & (u + v <= 1 + EPS), F.lit(False))
+        return _hit(r["t"] * inv, ok, origin, direction, min_t, max_t)
+
+    def products(r: Column) -> Column:
+        h, q = cross(direction, r["e2"]), cross(r["s"], r["e1"])
+        parts = {"det": dot(r["e1"], h), "u": dot(r["s"], h), "v": dot(direction, q), "t": dot(r["e2"], q)}
+        return let(F.struct(*[x.alias(n) for n, x in parts.items()]), hit)
+
+    return let(F.struct(e1.alias("e1"), e2.alias("e2"), s.alias("s")), products)
 
 
 def ray_box(origin: Column, direction: Column, low: Column, high: Column, min_t=0.0, max_t=float("inf")) -> Column:
