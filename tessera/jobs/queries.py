@@ -445,3 +445,246 @@ def t22_planar_regions(spark, d):
     e = half_edges(m.faces).select(KEY, F.col("lo").alias("v0"), F.col("hi").alias("v1")).distinct().withColumn("eid", F.col("v0") * 100_000 + F.col("v1"))
     r = paths.planar_regions(e, m.points)
     return _round(r.agg(F.count("*").alias("n_regions"), F.sum("signed_area").alias("total"), F.sum(F.when(F.col("signed_area") > 0, F.col("signed_area"))).alias("inner_area")), "total", "inner_area")
+
+
+@query(f"""WITH {TERRAIN}, h AS (SELECT fid, least(vids[i], vids[i % 3 + 1]) AS lo, greatest(vids[i], vids[i % 3 + 1]) AS hi FROM faces, range(1, 4) AS r(i)),
+    c AS (SELECT DISTINCT lo, hi, cut, a.x + (cut - a.z) / (b.z - a.z) * (b.x - a.x) AS x, a.y + (cut - a.z) / (b.z - a.z) * (b.y - a.y) AS y FROM h JOIN points a ON a.vid = lo JOIN points b ON b.vid = hi, (VALUES (1.5), (4.5)) AS v(cut) WHERE least(a.z, b.z) < cut AND cut < greatest(a.z, b.z))
+    SELECT lo, hi, cut::DOUBLE AS cut, round(x, 6) AS x, round(y, 6) AS y FROM c""")
+def x1_isocontour_points(spark, d):
+    from tessera.operators import contours
+
+    m = I.terrain(spark, d)
+    _, p = contours.isocontours(Mesh(m.faces, m.points.withColumn("scalar", F.col("z"))), [1.5, 4.5])
+    return _round(p.select(F.col("v.lo").alias("lo"), F.col("v.hi").alias("hi"), "cut", "x", "y"), "x", "y")
+
+
+@query(f"""WITH {TERRAIN} SELECT round(count(*) * 0.5, 4)::DOUBLE AS flat_area FROM faces""")
+def x2_embedded_isocurves(spark, d):
+    from tessera.operators import contours
+
+    m = I.terrain(spark, d)
+    flat = Mesh(m.faces, m.points.withColumns({"scalar": F.col("z"), "z": F.lit(0.0)}))
+    split, _ = contours.embedded_isocurves(flat, [1.5, 4.5])
+    return _round(measures.areas(split).agg(F.sum("area").alias("flat_area")), "flat_area", digits=4)
+
+
+@query()
+def x3_isobands(spark, d):
+    from tessera.operators import contours
+
+    m = I.terrain(spark, d)
+    _, labels = contours.isobands(Mesh(m.faces, m.points.withColumn("scalar", F.col("z"))), [1.5, 4.5], [1])
+    return labels.groupBy("band").agg(F.count("*").alias("n"), F.count_distinct("src_fid").alias("n_src"))
+
+
+SEGMENTS = """s AS (SELECT s_suppkey // 100 AS mesh_id, s_suppkey AS id, (s_suppkey * 37 % 101)::DOUBLE AS x0, (s_suppkey * 53 % 103)::DOUBLE AS y0, (s_suppkey * 71 % 37 - 18)::DOUBLE AS dx, (s_suppkey * 29 % 41 - 20)::DOUBLE AS dy FROM supplier)"""
+
+
+@query(f"""WITH {SEGMENTS}, p AS (SELECT a.mesh_id, a.id AS id0, b.id AS id1, a.dx * b.dy - a.dy * b.dx AS den, (b.x0 - a.x0) * b.dy - (b.y0 - a.y0) * b.dx AS sn, (b.x0 - a.x0) * a.dy - (b.y0 - a.y0) * a.dx AS tn, a.x0, a.y0, a.dx, a.dy FROM s a JOIN s b ON a.mesh_id = b.mesh_id AND a.id < b.id)
+    SELECT mesh_id, id0, id1, round(x0 + sn / den * dx, 6) AS x, round(y0 + sn / den * dy, 6) AS y FROM p WHERE den <> 0 AND sn / den >= -1.49e-8 AND sn / den <= 1 + 1.49e-8 AND tn / den >= -1.49e-8 AND tn / den <= 1 + 1.49e-8""")
+def x6_segment_crossings(spark, d):
+    from tessera.operators import planar
+
+    return _round(planar.crossings(*I.segments2d(spark, d)).select(KEY, "id0", "id1", "x", "y"), "x", "y")
+
+
+@query()
+def x7_planar_arrangement(spark, d):
+    from tessera.operators import planar
+
+    r = planar.planar_arrangement(*I.segments2d(spark, d))
+    return _round(r.groupBy(KEY, "kind").agg(F.count("*").alias("n"), F.sum("signed_area").alias("area")), "area", digits=4)
+
+
+def _raised(m: Mesh) -> Mesh:
+    """The terrain's plane at a height, as a mesh that crosses it."""
+    return Mesh(m.faces, m.points.withColumns({"x": F.col("x") + 0.37, "y": F.col("y") + 0.41, "z": F.lit(4.237)}))
+
+
+@query()
+def x4_intersection_edges(spark, d):
+    from tessera.operators import cut
+
+    m = I.terrain(spark, d)
+    e = cut.intersection_edges(m, _raised(m))
+    return _round(e.agg(F.count("*").alias("n"), F.max(F.abs(F.col("p.z") - 4.237)).alias("off")), "off")
+
+
+@query()
+def x5_self_intersection_edges(spark, d):
+    from tessera.operators import cut
+
+    return cut.self_intersection_edges(_few(spark, d)).groupBy(KEY).agg(F.count("*").alias("n"))
+
+
+@query()
+def x8_embedded_curves(spark, d):
+    from tessera.operators import cut
+
+    m = I.terrain(spark, d)
+    split, labels = cut.embedded_curves(m, _raised(m))
+    return labels.groupBy("src_fid").agg(F.count("*").alias("pieces"))
+
+
+def _solids(spark, d) -> tuple[Mesh, Mesh]:
+    """A tetrahedron for each supplier in a mesh of its own, and another that overlaps it."""
+    s = I.read(spark, d, "supplier").select(F.col("s_suppkey").alias(KEY))
+
+    def made(o: float) -> Mesh:
+        p = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("vid"), *[F.lit(float(c) + o * k).alias(a) for a, c, k in zip("xyz", q, (1.0, 0.8, 0.6), strict=True)]) for i, q in enumerate(((0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)))]))
+        size = 1 + F.col(KEY) % 7
+        f = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("fid"), F.array(*[F.lit(v).cast("long") for v in t]).alias("vids")) for i, t in enumerate(((0, 2, 1), (0, 1, 3), (1, 2, 3), (2, 0, 3)))]))
+        points = s.select(KEY, p.alias("p")).select(KEY, "p.vid", *[(F.col(f"p.{a}") * size).alias(a) for a in "xyz"])
+        return Mesh(s.select(KEY, f.alias("f")).select(KEY, "f.fid", "f.vids"), points)
+
+    return made(0.0), made(0.17)
+
+
+@query("""SELECT s_suppkey AS mesh_id, round(power((1 - 0.17 * 2.4) * (1 + s_suppkey % 7), 3) / 6, 5) AS inner_volume, round((2 - power(1 - 0.17 * 2.4, 3)) * power(1 + s_suppkey % 7, 3) / 6, 5) AS union_volume FROM supplier""")
+def x10_boolean_volumes(spark, d):
+    from tessera.operators import cut
+
+    a, b = _solids(spark, d)
+    inner = measures.volume(cut.boolean(a, b, "intersection")[0]).select(KEY, F.col("signed_volume").alias("inner_volume"))
+    whole = measures.volume(cut.boolean(a, b, "union")[0]).select(KEY, F.col("signed_volume").alias("union_volume"))
+    return _round(inner.join(whole, KEY), "inner_volume", "union_volume", digits=5)
+
+
+@query()
+def x9_arrangement(spark, d):
+    from tessera.operators import cut
+
+    return cut.arrangement(*_solids(spark, d)).groupBy("origin", "side").agg(F.count("*").alias("n"))
+
+
+@query()
+def x11_boolean_pair(spark, d):
+    from tessera.operators import cut
+
+    halves = cut.boolean_pair(*_solids(spark, d), "union")
+    n = [m.faces.agg(F.count("*").alias("n")).withColumn("origin", F.lit(k)) for k, m in enumerate(halves)]
+    return n[0].unionByName(n[1])
+
+
+@query("""WITH q AS (SELECT s_suppkey AS mesh_id, 1 + s_suppkey % 7 AS w FROM supplier), p AS (SELECT mesh_id, w, i, (i * 13 % 50) / 40.0 * w AS x, (i * 29 % 50) / 40.0 * w AS y, (i * 7 % 50) / 40.0 * w AS z FROM q, range(20) AS r(i))
+    SELECT mesh_id, i AS qid, CASE WHEN x > 0 AND y > 0 AND z > 0 AND x + y + z < w THEN 'inside' ELSE 'outside' END AS side FROM p WHERE abs(x + y + z - w) > 1e-9 AND x > 0 AND y > 0 AND z > 0""")
+def j11_points_in_mesh(spark, d):
+    a, _ = _solids(spark, d)
+    w = 1 + F.col(KEY) % 7
+    i = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long")))
+    q = I.read(spark, d, "supplier").select(F.col("s_suppkey").alias(KEY), i.alias("qid"))
+    q = q.select(KEY, "qid", *[(F.col("qid") * k % 50 / 40.0 * w).alias(c) for c, k in (("x", 13), ("y", 29), ("z", 7))])
+    q = q.where((F.abs(F.col("x") + F.col("y") + F.col("z") - w) > 1e-9) & (F.col("x") > 0) & (F.col("y") > 0) & (F.col("z") > 0))
+    return spatial.points_in_mesh(a, q)
+
+
+@query(f"""WITH {TERRAIN}, e AS (SELECT vids[i] AS a, vids[i % 3 + 1] AS b FROM faces, range(1, 4) AS r(i)), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), p1 AS (SELECT vid, p.x + 0.5 * (m.x - p.x) AS x, p.y + 0.5 * (m.y - p.y) AS y, p.z + 0.5 * (m.z - p.z) AS z
+    FROM points p JOIN (SELECT l.a, avg(q.x) AS x, avg(q.y) AS y, avg(q.z) AS z FROM l JOIN points q ON q.vid = l.b GROUP BY l.a) m ON m.a = p.vid)
+    SELECT vid, round(x + 1e-8, 6) AS x, round(y + 1e-8, 6) AS y, round(z + 1e-8, 6) AS z FROM p1""")
+def g11_laplacian(spark, d):
+    from tessera.operators import smoothing
+
+    m = I.terrain(spark, d)
+    out = smoothing.laplacian(m.points, topology.vertex_link(m.faces), 1)
+    return _round(out.withColumns({a: F.col(a) + 1e-8 for a in P.AXES}), "x", "y", "z").select("vid", "x", "y", "z")  # off the ties
+
+
+@query()
+def g12_taubin(spark, d):
+    from tessera.operators import smoothing
+
+    m = I.terrain(spark, d)
+    return _round(smoothing.taubin(m.points, topology.vertex_link(m.faces), 2), "z", digits=4).select("vid", "z")
+
+
+@query()
+def g7_g9_shape_histogram(spark, d):
+    from tessera.operators import curvature
+
+    return measures.shape_histogram(curvature.shape_index(curvature.principal_curvatures(I.terrain(spark, d)))).drop(KEY)
+
+
+@query(f"""WITH {CLOUD} SELECT 0::BIGINT AS mesh_id, 0.8::DOUBLE AS m0, -0.6::DOUBLE AS m1, 3.0::DOUBLE AS m3 FROM cloud GROUP BY mesh_id""")
+def g1_rigid_alignment(spark, d):
+    from tessera.operators import registration
+
+    c = I.cloud(spark, d)
+    t = P.compose(P.translation(3, 0, 0), P.rotation((0, 0, 1), 0.6435011087932844))
+    moved = c.select(KEY, "vid", P.transform_point(P.point(), t).alias("p")).select(KEY, "vid", "p.x", "p.y", "p.z")
+    m = registration.fit_rigid(c, moved)
+    return _round(m.select(KEY, *[F.get("m", F.lit(i)).alias(f"m{i}") for i in (0, 1, 3)]), "m0", "m1", "m3")
+
+
+@query(f"""WITH {CLOUD} SELECT 0::BIGINT AS mesh_id, 2.5::DOUBLE AS scale FROM cloud GROUP BY mesh_id""")
+def g3_similarity_alignment(spark, d):
+    from tessera.operators import registration
+
+    c = I.cloud(spark, d)
+    m = registration.fit_similarity(c, c.withColumns({a: F.col(a) * 2.5 for a in P.AXES}))
+    return _round(m.select(KEY, F.get("m", F.lit(0)).alias("scale")), "scale")
+
+
+@query()
+def g4_obb_alignment(spark, d):
+    from tessera.operators import registration
+
+    c = I.cloud(spark, d)
+    m = registration.fit_obb(c, c.withColumns({"x": F.col("x") + 5}))
+    return _round(m.select(KEY, F.get("m", F.lit(3)).alias("dx")), "dx", digits=4)
+
+
+@query()
+def g5_knn_alignment(spark, d):
+    from tessera.operators import registration
+
+    c = I.cloud(spark, d)
+    m = registration.fit_knn(c.where("vid % 10 = 0"), c.withColumns({"x": F.col("x") + 0.01}), k=1)
+    return _round(m.select(KEY, F.get("m", F.lit(3)).alias("dx")), "dx", digits=4)
+
+
+@query(f"""WITH {TERRAIN} SELECT fid * 4096 AS fid, fid AS src_fid FROM faces""")
+def p16_triangulated(spark, d):
+    from tessera.operators.triangulate import triangulated
+
+    return triangulated(I.terrain(spark, d)).select("fid", "src_fid")
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id, round(list_dot_product(a.e, b.e), 6) AS dot, round(list_distance(a.e, b.e) ** 2, 6) AS d2 FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""")
+def p3_nd_products(spark, d):
+    v = I.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("f")), "vec_id")
+    return _round(both.select("vec_id", P.dot_nd(F.col("e"), F.col("f")).alias("dot"), P.distance2_nd(F.col("e"), F.col("f")).alias("d2")), "dot", "d2")
+
+
+@query(f"""WITH {CLOUD}, m AS (SELECT vid AS id, CASE WHEN vid % 3 <> 0 THEN vid END AS new_id FROM cloud), n AS (SELECT vid AS id, floor((x + 1) / 10)::BIGINT AS cx FROM cloud WHERE vid % 5 = 1 AND vid % 3 <> 0)
+    SELECT c.vid AS id, floor(x / 10)::BIGINT AS cx FROM cloud c WHERE vid % 3 <> 0 AND vid % 5 <> 1 UNION ALL SELECT id, cx FROM n""")
+def j12_index_upkeep(spark, d):
+    c = I.cloud(spark, d)
+    index = spatial.index_cells(spatial.point_boxes(c), 10.0)
+    keep = c.select(KEY, F.col("vid").alias("old_id"), F.when(F.col("vid") % 3 != 0, F.col("vid")).alias("new_id"))
+    dirty = spatial.point_boxes(c.where("vid % 5 = 1 AND vid % 3 <> 0").withColumn("x", F.col("x") + 1))
+    return spatial.update_index(index, keep, dirty, 10.0).select("id", "cx")
+
+
+@query(f"""WITH {TERRAIN} SELECT s_suppkey AS qid, round(min((p.x - (s_suppkey * 7 % 48)) ** 2 + (p.y - (s_suppkey * 13 % 20)) ** 2), 6) AS most FROM supplier, points p WHERE s_suppkey % 4 = 0 GROUP BY s_suppkey""")
+def j1_nearest_vertex_in_plane(spark, d):
+    flat = I.terrain_points(spark, d).withColumn("z", F.lit(0.0))
+    s = F.col("s_suppkey")
+    q = I.read(spark, d, "supplier").where("s_suppkey % 4 = 0").select(F.lit(0).cast("long").alias(KEY), s.alias("qid"), (s * 7 % 48).cast("double").alias("x"), (s * 13 % 20).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    return _round(spatial.knn(flat, q, 1).select("qid", F.col("d2").alias("most")), "most")
+
+
+@query()
+def j1_nearest_faces(spark, d):
+    m = I.terrain(spark, d)
+    s = F.col("s_suppkey")
+    q = I.read(spark, d, "supplier").select(F.lit(0).cast("long").alias(KEY), s.alias("qid"), (s * 7 % 48 + 0.3).alias("x"), (s * 13 % 20 + 0.2).alias("y"), F.lit(4.0).alias("z"))
+    return _round(spatial.nearest_faces(m, q, 3.0).select("qid", "d2"), "d2")
+
+
+@query()
+def c5_clean_curves(spark, d):
+    e = I.graph_edges(spark, d).where("eid % 3 = 0")
+    p = paths.connect_edges(e).withColumn("path_id", F.col("path_id").cast("long"))
+    at = e.select(KEY, F.explode(F.array("v0", "v1")).alias("vid")).distinct().select(KEY, "vid", (F.col("vid") % 500).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return clean.clean_curves(p, at)[0].select("path_id", F.size("vids").alias("n"), "closed")
