@@ -2,8 +2,9 @@
 
 Features are the within-word character 5-grams of a text, present or not, so a
 text's length and order don't matter. For each labelled sentence that names a
-group, the name is swapped for others of its kind, and squared changes of the
-score are added to the loss: the names themselves carry no weight in the end.
+group, the name is swapped for others of its kind, and or left out, and
+squared changes of the score are added to the loss: the names themselves carry
+no weight in the end.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ IDENTITIES = (
     ("immigrants", "refugees", "natives", "foreigners"),
     ("blind", "deaf", "disabled"),
 )
-_SWAPS = {t: tuple(x for x in kind if x != t) for kind in IDENTITIES for t in kind}
+#: The others of a name's kind, and no name at all: a name shared by toxic sentences must not count by itself.
+_SWAPS = {t: (*(x for x in kind if x != t), "") for kind in IDENTITIES for t in kind}
 
 
 def present(texts: list[str], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +92,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, text: str,
     return rows.mapInArrow(run, "y int, idx array<int>, less array<int>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, text: str = "text", doc_id: str = "doc_id", steady: float = 4.0, epochs: int = 4) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, text: str = "text", doc_id: str = "doc_id", steady: float = 10.0, epochs: int = 4) -> dict:
     """Weights of a classifier: {"bias", "at", "w"}.
 
     At most 2 * per_class labelled rows outside the held-out quarter are read;
