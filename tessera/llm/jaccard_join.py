@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components
@@ -100,8 +100,8 @@ def overlaps(sets: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
     return out
 
 
-def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Pairs that connect what all pairs connect."""
+def _forest(pairs: np.ndarray, known: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Pairs that connect what all pairs connect, beyond what the known ones do."""
     up, out = list(range(n)), []
 
     def top(x: int) -> int:
@@ -109,11 +109,13 @@ def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
             up[x] = x = up[up[x]]
         return x
 
-    for a, b in pairs.tolist():
-        x, y = top(a), top(b)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append((a, b))
+    for given, rows in ((True, known), (False, pairs)):
+        for a, b in rows.tolist():
+            x, y = top(a), top(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                if not given:
+                    out.append((a, b))
     return out
 
 
@@ -136,11 +138,13 @@ def _verified(members: DataFrame, threshold: float, block: int) -> DataFrame:
         both = overlaps(sets)
         like = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
         np.fill_diagonal(like, False)
-        if i != j:
-            like &= own[:, None] != own[None, :]
+        inner = np.zeros((0, 2), int)
+        if i != j:  # links inside either block come from that block's own unit
+            across = own[:, None] != own[None, :]
+            inner, like = np.argwhere(np.triu(like & ~across)), like & across
         links = like.sum(1)
         joins: list[list[int]] = [[] for _ in node]
-        for a, b in _forest(np.argwhere(np.triu(like)), len(node)):
+        for a, b in _forest(np.argwhere(np.triu(like)), inner, len(node)):
             joins[a].append(int(node[b]))
         return [(int(n), int(k), x) for n, k, x in zip(node, links, joins, strict=True) if k]
 
@@ -188,8 +192,10 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999
     reps = full.select("rid", "keys").join(sets.select(F.col("rep").alias("rid")), "rid", "left_semi")
     prefixes = table(reps.select("rid", F.explode("keys").alias("key")))
     hubs = table(prefixes.groupBy("key").agg(F.min("rid").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub"))
-    stars = prefixes.join(hubs, "key").where("rid <> hub").select("rid", "hub").distinct()
-    groups = connected_components(stars, "rid", "hub")
+    # Each row keeps a link to its smallest hub, which takes over the row's other hubs: few links are left. A row has a hub for each tree at most.
+    stars = prefixes.join(hubs, "key").select("rid", "hub").withColumn("least", F.min("hub").over(Window.partitionBy("rid")))
+    stars = stars.select("rid", "least").unionByName(stars.select(F.col("hub").alias("rid"), "least")).where("rid <> least").distinct()
+    groups = connected_components(stars, "rid", "least")
     members = full.select(F.col("rid").alias("node"), "t").join(groups.withColumnRenamed("label", "group"), "node")
     links = table(_verified(members, threshold, block))
     near = connected_components(links.select("node", F.explode("joins").alias("to")), "node", "to")
