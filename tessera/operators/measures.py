@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import primitives as P
 from tessera.model import KEY, Mesh, corners, fat_faces, half_edges
+from tessera.operators.reindex import dense_ids
 
 AXES = P.AXES
 
@@ -131,14 +132,12 @@ def boxes(mesh: Mesh) -> DataFrame:
 def chamfer_error(nearest: DataFrame, outlier: float = 0.0) -> DataFrame:
     """Mean nearest distance per mesh from rows (mesh_id, qid, d2); the worst share outlier is left out.
 
-    The cut is at a rank found from counts by distance, so ties and large meshes
-    need no single sorted partition except where outlier is positive.
+    Ranks come from a sort across tasks, so no mesh has to fit one of them.
     """
     d = nearest.select(KEY, "qid", F.sqrt("d2").alias("d"))
     if outlier > 0:
-        w = Window.partitionBy(KEY)
-        d = d.withColumn("r", F.row_number().over(w.orderBy("d", "qid"))).withColumn("n", F.count("*").over(w))
-        d = d.where(F.col("r") <= F.col("n") - F.floor(F.col("n") * outlier))
+        n = d.groupBy(KEY).agg(F.count("*").alias("n"))
+        d = dense_ids(d, "d", "r").join(n, KEY).where(F.col("r") < F.col("n") - F.floor(F.col("n") * outlier))
     return d.groupBy(KEY).agg(F.avg("d").alias("chamfer"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -49,6 +48,42 @@ def connect_edges(edges: DataFrame) -> DataFrame:
     return _gather(out.withColumnsRenamed({"u": "v0", "v": "v1"}))
 
 
+def trails(edges: list[tuple[int, int]]) -> list[list[int]]:
+    """The fewest walks that use each edge of a connected directed graph once.
+
+    Extra edges from vertices where more edges arrive to such where more leave
+    make every vertex even; one circuit through all is then cut at the extras.
+    """
+    out, excess = defaultdict(list), defaultdict(int)
+    for a, b in sorted(edges, reverse=True):
+        out[a].append((b, True))
+        excess[a] += 1
+        excess[b] -= 1
+    short = [v for v in sorted(excess) for _ in range(-excess[v])]
+    over = [v for v in sorted(excess) for _ in range(excess[v])]
+    for a, b in zip(short, over, strict=True):
+        out[a].insert(0, (b, False))
+    stack, circuit = [(over[0] if over else min(out), True)], []
+    while stack:  # the second part says whether the step to the vertex is a real edge
+        v = stack[-1][0]
+        if out[v]:
+            stack.append(out[v].pop())
+        else:
+            circuit.append(stack.pop())
+    circuit.reverse()
+    found, part = [], [circuit[0][0]]
+    for v, real in circuit[1:]:
+        if real:
+            part.append(v)
+        else:
+            found.append(part)
+            part = [v]
+    found.append(part)
+    if short and len(found) > 1:  # the circuit's end runs on at its start
+        found[0] = found.pop() + found[0][1:] if found[-1][-1] == found[0][0] else found[0]
+    return [p for p in found if len(p) > 1]
+
+
 def eulerian_paths(edges: DataFrame) -> DataFrame:
     """Directed edges (mesh_id, eid, v0, v1) as edge-disjoint paths that use each once, loops where they can be.
 
@@ -59,46 +94,8 @@ def eulerian_paths(edges: DataFrame) -> DataFrame:
     where = v.select(F.col(f"node.{KEY}").alias(KEY), F.col("node.id").alias("v0"), F.col("label.id").alias("part"))
 
     def walk(t: pd.DataFrame) -> pd.DataFrame:
-        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        excess: dict[int, int] = defaultdict(int)
-        for eid, a, b in sorted(zip(t["eid"], t["v0"], t["v1"], strict=True), reverse=True):
-            out[a].append((b, eid))
-            excess[a] += 1
-            excess[b] -= 1
-        starts = [a for a in sorted(excess) for _ in range(max(0, excess[a]))] + sorted(out)
-        rows = []
-        for s in starts:
-            while out[s]:
-                stack, path = [s], []
-                while stack:
-                    here = stack[-1]
-                    if out[here]:
-                        stack.append(out[here].pop()[0])
-                    elif path and len(stack) > 1 and not any(x == here for x in path[-1:]):
-                        path.append(stack.pop())
-                    else:
-                        path.append(stack.pop())
-                path.reverse()
-                rows.append((t[KEY].iloc[0], path))
-                if excess[s] > 0:
-                    break
-        # A walk that ends away from its start may hold steps that are no edges; cut it there.
-        have: dict[tuple[int, int], int] = defaultdict(int)
-        for a, b in zip(t["v0"], t["v1"], strict=True):
-            have[a, b] += 1
-        cut = []
-        for key, path in rows:
-            part = [path[0]]
-            for a, b in zip(path, path[1:], strict=False):
-                if have[a, b]:
-                    have[a, b] -= 1
-                    part.append(b)
-                else:
-                    cut.append((key, part))
-                    part = [b]
-            cut.append((key, part))
-        cut = [(k, p) for k, p in cut if len(p) > 1]
-        return pd.DataFrame({KEY: [k for k, _ in cut], "path_id": [int(min(p)) for _, p in cut], "vids": [p for _, p in cut], "closed": [p[0] == p[-1] for _, p in cut]})
+        found = trails(list(zip(t["v0"].tolist(), t["v1"].tolist(), strict=True)))
+        return pd.DataFrame({KEY: t[KEY].iloc[0], "path_id": [min(p) for p in found], "vids": found, "closed": [p[0] == p[-1] for p in found]})
 
     return edges.join(where, [KEY, "v0"]).groupBy(KEY, "part").applyInPandas(walk, f"{KEY} long, path_id long, vids array<long>, closed boolean")
 
@@ -182,8 +179,3 @@ def ordered_steps(rows: DataFrame, path: str, order: list[str], *columns: str) -
 
 def every_nth(rows: DataFrame, id_col: str, n: int, start: int = 0) -> DataFrame:
     return rows.where(F.pmod(F.col(id_col) - start, F.lit(n)) == 0)
-
-
-def rows_of(parts: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    for t in parts:
-        yield from t.itertuples(index=False)

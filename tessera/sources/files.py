@@ -6,11 +6,13 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import primitives as P
 from tessera.model import KEY, Mesh, fat_faces
 from tessera.operators.clean import weld_soup
+from tessera.operators.reindex import dense_ids, remapped_faces
 from tessera.sources.scratch import table
 
 _PTS = "array<struct<x: double, y: double, z: double>>"
@@ -67,7 +69,7 @@ def read_obj(spark: SparkSession, path: str) -> Mesh:
 
 
 def stl_files(mesh: Mesh) -> DataFrame:
-    """mesh_id, content: one binary STL for each mesh, normals from the faces."""
+    """mesh_id, content: a binary STL for each mesh of a corpus of small ones, normals from the faces."""
 
     def run(key, t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("fid")
@@ -80,18 +82,30 @@ def stl_files(mesh: Mesh) -> DataFrame:
     return fat_faces(mesh).select(KEY, "fid", "pts").groupBy(KEY).applyInPandas(run, f"{KEY} long, content binary")
 
 
-def obj_files(mesh: Mesh) -> DataFrame:
-    """mesh_id, content: one OBJ text for each mesh."""
-    lines = mesh.points.select(KEY, F.lit(0).alias("k"), "vid", F.concat_ws(" ", F.lit("v"), "x", "y", "z").alias("line"))
-    from tessera.operators.reindex import dense_ids, remapped_faces
+def _vector(v: Column) -> Column:
+    return F.concat_ws(" ", *[v[a] for a in P.AXES])
 
+
+def stl_lines(mesh: Mesh) -> DataFrame:
+    """mesh_id, k, id, line: the lines of a text STL in the order of k and id. Faces without area have the normal 0 0 0."""
+    p = F.col("pts")
+    corner = [F.concat(F.lit("vertex "), _vector(F.get(p, F.lit(i)))) for i in range(3)]
+    n = F.when(P.face_normal(p).isNull(), F.lit("0 0 0")).otherwise(n)
+    facet = F.concat_ws("\n", F.concat(F.lit("facet normal "), n), F.lit("outer loop"), *corner, F.lit("endloop"), F.lit("endfacet"))
+    f = fat_faces(mesh).select(KEY, F.lit(1).alias("k"), F.col("fid").alias("id"), facet.alias("line"))
+    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("line")) for k, x in ((0, "solid mesh"), (2, "endsolid mesh"))]))
+    return f.unionByName(mesh.faces.select(KEY).distinct().select(KEY, ends.alias("e")).select(KEY, "e.k", F.lit(0).cast("long").alias("id"), "e.line"))
+
+
+def obj_lines(mesh: Mesh) -> DataFrame:
+    """mesh_id, k, id, line: the lines of an OBJ file in the order of k and id; vertices are numbered in order of vid."""
+    points = mesh.points.select(KEY, F.lit(0).alias("k"), F.col("vid").alias("id"), F.concat(F.lit("v "), _vector(P.point())).alias("line"))
     ids = dense_ids(mesh.points.select(KEY, F.col("vid").alias("old_id")), "old_id")
-    f = remapped_faces(mesh.faces, ids)
-    f = f.select(KEY, F.lit(1).alias("k"), F.col("fid").alias("vid"), F.concat(F.lit("f "), F.array_join(F.transform("vids", lambda v: (v + 1).cast("string")), " ")).alias("line"))
-    text = lines.unionByName(f).groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("k", "vid", "line"))).alias("l"))
-    return text.select(KEY, F.concat(F.array_join(F.col("l.line"), "\n"), F.lit("\n")).alias("content"))
+    numbers = F.array_join(F.transform("vids", lambda v: (v + 1).cast("string")), " ")
+    faces = remapped_faces(mesh.faces, ids).select(KEY, F.lit(1).alias("k"), F.col("fid").alias("id"), F.concat(F.lit("f "), numbers).alias("line"))
+    return points.unionByName(faces)
 
 
-def write_files(files: DataFrame, path: str) -> None:
-    """Each mesh's content as a row of its own partition folder, which any file system of Spark can hold."""
-    files.write.partitionBy(KEY).format("parquet").save(path)
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One text file for each mesh, in a folder of its own (mesh_id=...): lines stream through one task a mesh and are never held together."""
+    lines.repartition(KEY).sortWithinPartitions(KEY, "k", "id").select(KEY, "line").write.partitionBy(KEY).text(path)

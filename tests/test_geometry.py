@@ -63,6 +63,9 @@ def test_paths(spark):
     assert got == {(0, 1), (1, 2), (1, 3, 4)}
     loops = paths.boundary_paths(mesh(spark, *HOLE).faces).collect()
     assert sorted(len(r.vids) for r in loops) == [5, 5] and all(r.closed and r.vids[0] == r.vids[-1] for r in loops)
+    assert paths.trails([(0, 1), (1, 2), (5, 1), (1, 6), (2, 0)]) == [[5, 1, 2, 0, 1, 6]]
+    edges = [(0, 1), (2, 1), (1, 3), (3, 1), (4, 3)]
+    assert sorted(s for t in paths.trails(edges) for s in zip(t, t[1:])) == sorted(edges)
     pinch = [(0, 1, 2), (0, 3, 4)]
     p = mesh(spark, [(0, 0, 0), (1, 0, 0), (1, 1, 0), (-1, 0, 0), (-1, -1, 0)], pinch)
     used = [s for r in paths.boundary_paths(p.faces).collect() for s in zip(r.vids, r.vids[1:])]
@@ -226,9 +229,10 @@ def test_generators_and_files(spark, tmp_path):
     assert measures.total_area(generate.plane(spark, 2, 3, 4, 5)).first().area == pytest.approx(6)
     box = generate.box(spark, 1, 1, 1)
     (tmp_path / "a.stl").write_bytes(bytes(files.stl_files(box).first().content))
-    (tmp_path / "b.obj").write_text(files.obj_files(box).first().content)
-    stl, obj = files.read_stl(spark, str(tmp_path / "a.stl")), files.read_obj(spark, str(tmp_path / "b.obj"))
-    for m in (stl, obj):
+    files.write_lines(files.obj_lines(box), str(tmp_path / "obj"))
+    files.write_lines(files.stl_lines(box), str(tmp_path / "stl"))
+    stl, obj = files.read_stl(spark, str(tmp_path / "a.stl")), files.read_obj(spark, str(tmp_path / "obj/*/*.txt"))
+    for m in (stl, obj, files.read_stl(spark, str(tmp_path / "stl/*/*.txt"))):
         assert m.points.count() == 8 and measures.volume(m).first().signed_volume == pytest.approx(1)
     text = b"solid t\nfacet normal 0 0 1\nouter loop\nvertex 0 0 0\nvertex 1 0 0\nvertex 0 1 0\nendloop\nendfacet\nendsolid t\n"
     assert files.parse_stl(text).shape == (1, 3, 3)
