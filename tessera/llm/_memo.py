@@ -18,12 +18,16 @@ from ._bpe import Bpe
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 MARK = b"<|endoftext|>"
+#: Bytes of white space other than the space and newline, and first bytes of such characters.
+_RARE = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3"
 #: White space (as any tokenizer could see it) with a space after it.
 _RUN = re.compile(
     rb"(?:[\t-\r\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)(?= )"
 )
 #: A run of Latin letters, then a run of plain punctuation: two units of either tokenizer.
 _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?|]*)\Z")
+#: The runs that either tokenizer splits such texts into: letters, digits, other printable ASCII but the apostrophe, one newline inside.
+_RUNS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@[-`{-~]+|(?<=[!-~\x80-\xbf])\n(?=[!-~\xc3])")
 _WHITE = re.compile(_RUN.pattern[: -len(b"(?= )")] + rb"\Z")
 
 
@@ -58,6 +62,8 @@ class Memo:
         found = [(p, m) for p in missing if len(p) <= self.longest and (m := _PLAIN.match(p))]
         self._plain(found)
         missing.difference_update(p for p, _ in found)
+        self._mixed([(p, r) for p in missing if 0 < len(p) <= self.longest and b"<|" not in p and b"|>" not in p and sum(map(len, r := _RUNS.findall(p))) == len(p)])
+        missing = {p for p in missing if p not in self.new}
         odd = {p for p in missing if b"<|" in p or b"|>" in p or len(p) > self.longest}
         for p in odd:
             self.new[p] = self.raw((self.before + p).decode())
@@ -74,7 +80,7 @@ class Memo:
     def _plain(self, found: list[tuple[bytes, re.Match]]) -> None:
         """Pieces of letters and then punctuation, by the tokenizer's own merges."""
         words = [m[1] for _, m in found]
-        if self.lower:
+        if self.lower and words:
             words = b"\n".join(words).decode().lower().encode().split(b"\n")
         units = list({self.before + w for w, (_, m) in zip(words, found, strict=True)} | {m[2] for _, m in found} - {b""})
         ids = dict(zip(units, self.bpe.encode(units), strict=True)) | {b"": b""}
@@ -82,6 +88,17 @@ class Memo:
             self.new[p] = ids[self.before + w] + ids[m[2]]
 
 
+    def _mixed(self, found: list[tuple[bytes, list[bytes]]]) -> None:
+        """Pieces of several runs; digits are words of their own where white space is dropped."""
+        if self.lower:
+            found = [(p, [x for r in b"\n".join(runs).decode().lower().encode().split(b"\n") for x in ([r[i : i + 1] for i in range(len(r))] if r.isdigit() else [r])]) for p, runs in found]
+        found = [(p, [self.before + runs[0], *runs[1:]]) for p, runs in found]
+        units = list({u for _, runs in found for u in runs})
+        get = dict(zip(units, self.bpe.encode(units), strict=True)).__getitem__
+        for p, runs in found:
+            self.new[p] = b"".join(map(get, runs))
+
+
 class Words(Memo):
     """For tokenizers that drop white space: pieces are runs without ASCII white space."""
 
@@ -102,7 +119,8 @@ class Spaced(Memo):
     def pieces(text: bytes) -> list[bytes]:
         """The first piece, then the others without the space they begin with."""
         parts = text.split(b" ")
-        if not _RUN.search(text):
+        plain = len(text.translate(None, _RARE)) == len(text) and b"  " not in text and b"\n " not in text
+        if plain or not _RUN.search(text):
             return parts
         out = [parts[0]]
         for p in parts[1:]:

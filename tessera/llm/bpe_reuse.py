@@ -86,14 +86,21 @@ class Joiner:
         size = self.memo.tokenizer.get_vocab_size()
         special = self.memo.tokenizer.get_added_tokens_decoder()
         tokens = [self.memo.tokenizer.id_to_token(i) or "" for i in range(size)]
-        self.bytes = [t.encode() if i in special else bytes(to_byte[c] for c in t) for i, t in enumerate(tokens)]
-        self.size = np.array([len(t) for t in self.bytes])
+        each = [t.encode() if i in special else bytes(to_byte[c] for c in t) for i, t in enumerate(tokens)]
+        self.size = np.array([len(t) for t in each])
+        self.flat, self.start = np.frombuffer(b"".join(each), np.uint8), np.cumsum(self.size) - self.size
 
     def encode(self, parts: list[bytes]) -> list[np.ndarray]:
         return [np.frombuffer(x, "<u4") for x in self.memo.encode(parts)]
 
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        return self.flat[np.arange(total) + np.repeat(self.start[ids] - end + size, size)].tobytes()
+
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return self.bytes_of(ids).decode("utf-8", "replace")
 
     def _cut(self, ids: np.ndarray, from_end: bool, n: int) -> int:
         """How many ids stand before byte n, or after the last n bytes' start; -1 where an id crosses it."""
@@ -259,7 +266,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: s
                     ids[name] = data
                     continue
                 found = [_unpack(p["ids"] if p["name"] is None else ids[p["name"]]) for p in pieces]
-                out.append(joiner.whole([(b"".join(map(joiner.bytes.__getitem__, x.tolist())), x) for x in found]))
+                out.append(joiner.whole([(joiner.bytes_of(x), x) for x in found]))
                 doc_ids.append(doc)
             yield _result(out, joiner, doc_ids)
 
