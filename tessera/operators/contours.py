@@ -62,7 +62,8 @@ def _banded(mesh: Mesh, cuts: Sequence[float], scalar: str, bands: Sequence[int]
             rows = []
             for key, fid, c in t.itertuples(index=False):
                 a = np.array([list(p) for p in c])
-                for b in range(len(ends) - 1):
+                first, last = np.searchsorted(levels, [a[:, 3].min(), a[:, 3].max()], "right").tolist()
+                for b in range(first, last + 1):
                     p, v = list(a[:, :3]), a[:, 3].tolist()
                     if ends[b] > -np.inf:
                         p, v = kernels.clip(p, v, ends[b], True)

@@ -149,6 +149,8 @@ def planar_embedding(edges: DataFrame, points: DataFrame) -> DataFrame:
     A hole's parent is the smallest face that holds its first vertex and isn't
     made of it.
     """
+    from tessera.operators.spatial import box_pairs
+
     r = table(planar_regions(edges, points))
     outer = r.groupBy(KEY).agg(F.min(F.struct("signed_area", "region")).alias("o")).select(KEY, F.col("o.region").alias("_outer"))
     r = r.join(outer, KEY).where("NOT (region = _outer AND signed_area <= 0)").drop("_outer")
@@ -156,10 +158,14 @@ def planar_embedding(edges: DataFrame, points: DataFrame) -> DataFrame:
     step = r.where("kind = 'face'").select(KEY, "region", "signed_area", F.posexplode("vids").alias("pos", "vid")).join(points.select(KEY, "vid", "x", "y"), [KEY, "vid"])
     poly = step.groupBy(KEY, "region", "signed_area").agg(F.sort_array(F.collect_list(F.struct("pos", "vid", "x", "y"))).alias("c"))
     poly = poly.select(KEY, F.col("region").alias("parent"), F.col("signed_area").alias("_a"), F.transform("c", lambda p: P.vec(p["x"], p["y"])).alias("pts"), F.col("c.vid").alias("_vids"))
-    poly = poly.withColumns({"_low": P.box_low(F.col("pts")), "_high": P.box_high(F.col("pts"))})
+    poly = table(poly.withColumns({"_low": P.box_low(F.col("pts")), "_high": P.box_high(F.col("pts"))}))
     first = r.where("kind = 'hole'").select(KEY, "region", F.get("vids", F.lit(0)).alias("vid")).join(points.select(KEY, "vid", "x", "y"), [KEY, "vid"])
+    first = table(first)
     p = P.vec(F.col("x"), F.col("y"))
-    inside = first.join(poly, KEY).where(P.box_holds(p, F.col("_low"), F.col("_high")) & ~F.array_contains("_vids", F.col("vid")))
+    spots = first.select(KEY, F.col("region").alias("id"), p.alias("low"), p.alias("high"))
+    met = box_pairs(spots, poly.select(KEY, F.col("parent").alias("id"), F.col("_low").alias("low"), F.col("_high").alias("high")))
+    met = met.select(KEY, F.col("id0").alias("region"), F.col("id1").alias("parent"))
+    inside = met.join(first, [KEY, "region"]).join(poly, [KEY, "parent"]).where(~F.array_contains("_vids", F.col("vid")))
     inside = inside.where(P.point_in_polygon2d(p, F.col("pts")) == "inside")
     best = inside.groupBy(KEY, "region").agg(F.min(F.struct("_a", "parent")).alias("b")).select(KEY, "region", F.col("b.parent").alias("parent"))
     return r.join(best, [KEY, "region"], "left")

@@ -197,6 +197,12 @@ def test_planar_arrangement(spark):
     assert planar.crossings(e, p).count() == 4
     faces = planar.planar_arrangement(e, p).where("kind = 'face'").collect()
     assert len(faces) == 1 and faces[0].signed_area == pytest.approx(1)
+    square = lambda a, b: [(a, a, 0), (b, a, 0), (b, b, 0), (a, b, 0)]
+    nested = _cloud(spark, square(0, 9) + square(1, 8) + square(2, 3))
+    rings = spark.createDataFrame([(0, 4 * k + i, 4 * k + i, 4 * k + (i + 1) % 4) for k in range(3) for i in range(4)], "mesh_id long, eid long, v0 long, v1 long")
+    got = paths.planar_embedding(rings, nested).collect()
+    area = {r.region: r.signed_area for r in got}
+    assert sorted((r.signed_area, area.get(r.parent)) for r in got if r.kind == "hole") == [(-49.0, 81.0), (-1.0, 49.0)]
 
 
 def test_intersections_and_booleans(spark):
