@@ -272,7 +272,7 @@ def t15_component_types(spark, d):
 
 @query()
 def t16_orient_consistently(spark, d):
-    return topology.orient_consistently(_few(spark, d))
+    return topology.orient_consistently(I.soup(spark, d))
 
 
 @query(f"""WITH {SOUP}, k AS (SELECT mesh_id, fid, list_min([v FOR v IN [vids, [vids[2], vids[3], vids[1]], [vids[3], vids[1], vids[2]], [vids[3], vids[2], vids[1]], [vids[2], vids[1], vids[3]], [vids[1], vids[3], vids[2]]]]) AS k FROM faces)
@@ -428,13 +428,13 @@ def t20_boundary_paths(spark, d):
 
 @query()
 def t19_connect_edges(spark, d):
-    e = I.graph_edges(spark, d).where("eid % 3 = 0")
+    e = I.order_edges(spark, d)
     return paths.connect_edges(e).select("path_id", F.size("vids").alias("n"), "closed")
 
 
 @query()
 def t21_eulerian_paths(spark, d):
-    e = I.graph_edges(spark, d).where("eid % 3 = 0")
+    e = I.order_edges(spark, d)
     return paths.eulerian_paths(e).select("path_id", F.size("vids").alias("n"), "closed")
 
 
@@ -514,7 +514,7 @@ def x4_intersection_edges(spark, d):
 def x5_self_intersection_edges(spark, d):
     from tessera.operators import cut
 
-    return cut.self_intersection_edges(_few(spark, d)).groupBy(KEY).agg(F.count("*").alias("n"))
+    return cut.self_intersection_edges(I.soup(spark, d)).groupBy(KEY).agg(F.count("*").alias("n"))
 
 
 @query()
@@ -638,7 +638,7 @@ def g5_knn_alignment(spark, d):
     from tessera.operators import registration
 
     c = I.cloud(spark, d)
-    m = registration.fit_knn(c.where("vid % 10 = 0"), c.withColumns({"x": F.col("x") + 0.01}), k=1)
+    m = registration.fit_knn(c, c.withColumns({"x": F.col("x") + 0.01}), k=1)
     return _round(m.select(KEY, F.get("m", F.lit(3)).alias("dx")), "dx", digits=4)
 
 
@@ -684,7 +684,7 @@ def j1_nearest_faces(spark, d):
 
 @query()
 def c5_clean_curves(spark, d):
-    e = I.graph_edges(spark, d).where("eid % 3 = 0")
+    e = I.order_edges(spark, d)
     p = paths.connect_edges(e).withColumn("path_id", F.col("path_id").cast("long"))
     at = e.select(KEY, F.explode(F.array("v0", "v1")).alias("vid")).distinct().select(KEY, "vid", (F.col("vid") % 500).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     return clean.clean_curves(p, at)[0].select("path_id", F.size("vids").alias("n"), "closed")
