@@ -59,6 +59,17 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def long_runs(h: np.ndarray, n: int) -> np.ndarray:
+    """As runs, with other hashes and about 2 log2(n) steps."""
+    part, size, out, done = h, 1, None, 0
+    while done < n:
+        if n & size:  # out: the first done words of each run
+            out = part if out is None else mix(out[: max(0, len(out) - size)] * _R + part[done:])
+            done += size
+        part, size = mix(part[: max(0, len(part) - size)] * _R + part[size:]), size * 2
+    return out
+
+
 def batches(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """The texts in runs of about most bytes, with the number of the first; a longer text stands alone."""
     at, size = 0, 0
