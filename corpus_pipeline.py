@@ -6,6 +6,8 @@ kept; all but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from tessera.llm.queries_text import packed
 from tessera.llm.substring_dedup import passages, remove_passages
 
 TOXIC = 0.3
+#: The number of a row within a stage.
+ROW = "_row"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,16 +29,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tox.score(docs, model, column="_score").where(F.col("_score") < TOXIC).drop("_score")
 
 
+def _kept(docs: DataFrame, mark: Callable[[DataFrame], DataFrame], flag: str) -> DataFrame:
+    """The rows of docs that an operator marks, told apart by a number of their own: doc_ids can repeat or be null."""
+    numbered = table(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    marked = mark(numbered).where(flag).select(ROW)
+    return numbered.join(marked, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text that is equal but for white space: that with the smallest doc_id."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """One row of each text that is equal but for white space: one with the smallest doc_id."""
+    return _kept(docs, lambda rows: exact_dedup(rows, row=ROW), "kept")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at 0.8 or more: that with the smallest doc_id."""
-    kept = jaccard_join(docs).where("first").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """One row of each group that five-word shingles link at 0.8 or more: one with the smallest doc_id."""
+    return _kept(docs, lambda rows: jaccard_join(rows, row=ROW), "first")
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,9 +67,12 @@ def exact_dedup(
     doc_id: str = "doc_id",
     block_chars: int = 4096,
     fingerprint: Callable[[Column], Column] = F.xxhash64,
+    row: str | None = None,
 ) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
+    row names a column of distinct whole numbers, which the result then has too.
+
     Texts are equal when they are identical after each run of ASCII white space
     became one space. Null and empty texts are equal to each other. Of equal
     texts the row with the smallest doc_id stays, a null doc_id coming after all
@@ -77,7 +80,7 @@ def exact_dedup(
     gives an empty result; other columns take no part, whatever their names.
     """
     norm = docs.select(
-        F.monotonically_increasing_id().alias("_rid"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("_rid"),
         F.col(doc_id).cast("long").alias("doc_id"),
         F.regexp_replace(text_or_empty(F.col(text)), r"[\x20\x09-\x0D]+", " ").alias("_t"),
     )
@@ -122,4 +125,5 @@ def exact_dedup(
         "group_size",
         (F.col("_rid") == F.col("_k.r")).alias("kept"),
         F.col("_sha").alias("text_sha256"),
+        *([F.col("_rid").alias(row)] if row else []),
     )

@@ -60,7 +60,7 @@ def signatures(sets: list[np.ndarray], trees: int, k: int, few: int = 1 << 15) -
     return out
 
 
-def _read(docs: DataFrame, trees: int, k: int, text: str, doc_id: str) -> DataFrame:
+def _read(docs: DataFrame, trees: int, k: int, text: str, doc_id: str, row: str | None) -> DataFrame:
     """rid, doc_id, t, n shingles, the set's 128-bit key, and prefix keys (null without words)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +79,7 @@ def _read(docs: DataFrame, trees: int, k: int, text: str, doc_id: str) -> DataFr
                 yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "t", "n", "s1", "s2", "keys"])
 
     t = text_or_empty(F.col(text))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), t.alias("t"), t.cast("binary").alias("b"))
+    rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), t.alias("t"), t.cast("binary").alias("b"))
     return rows.mapInArrow(run, "rid long, doc_id long, t string, n int, s1 long, s2 long, keys array<long>")
 
 
@@ -170,9 +170,10 @@ def _verified(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "node long, links long, joins array<long>")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, text: str = "text", doc_id: str = "doc_id", block: int = 64) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, text: str = "text", doc_id: str = "doc_id", block: int = 64, row: str | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, class_id, rep_id, n_links, n_shingles, first.
 
+    row names a column of distinct whole numbers, which the result then has too.
     Texts link when the Jaccard similarity of their sets of five-word shingles
     is at least threshold. rep_id is the smallest doc_id with the same set,
     n_links the number of other sets that link to the row's, class_id the
@@ -184,7 +185,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999
     columns take no part.
     """
     k = prefix_length(threshold, recall)
-    read = table(_read(docs, TREES, k, text, doc_id))
+    read = table(_read(docs, TREES, k, text, doc_id, row))
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))
     full = read.where("n > 0")
     sets = table(full.groupBy("s1", "s2", "n").agg(F.min(order).alias("k")).select("s1", "s2", "n", F.col("k.r").alias("rep"), F.col("k.d").alias("rep_id")))
@@ -215,4 +216,5 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999
         "rid",
     )
     alone = read.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), F.lit(0).cast("long").alias("n_links"), F.col("n").alias("n_shingles"), F.lit(True).alias("first"), "rid")
-    return out.unionByName(alone)
+    out = out.unionByName(alone)
+    return out.withColumnRenamed("rid", row) if row else out
