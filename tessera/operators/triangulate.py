@@ -15,9 +15,11 @@ from tessera.model import KEY, Mesh, fat_faces
 def triangulated(mesh: Mesh, stride: int = 4096) -> DataFrame:
     """faces of triangles with src_fid: triangles as they are, convex quads as fans, other polygons by ear clipping.
 
-    New ids are src_fid * stride + the triangle's place, so a polygon has at most
-    stride triangles.
+    New ids are src_fid * stride + the triangle's place; where a polygon has more
+    triangles than that, the next power of two takes the stride's place for all.
     """
+    most = (mesh.faces.agg(F.max(F.size("vids"))).first()[0] or 0) - 2
+    stride = stride if most <= stride else 1 << (most - 1).bit_length()
     f = fat_faces(mesh).withColumn("n", F.size("vids"))
     corner = lambda i: P.sub(F.get("pts", F.lit((i + 1) % 4)), F.get("pts", F.lit(i)))
     turns = [P.dot(P.cross(corner(i), corner((i + 1) % 4)), P.newell(F.col("pts"))) for i in range(4)]
