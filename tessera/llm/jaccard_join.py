@@ -1,7 +1,7 @@
-"""Similarity join on word n-grams through a MinHash LSH forest.
+"""Similarity join on word n-grams through MinHash prefixes of a fixed length.
 
-Each tree of the forest is a sorted trie of signature prefixes. Matched prefixes
-are shortened from the full depth until the expected share of found pairs at the
+Fixed prefixes, one for each tree, take the place of an LSH forest's sorted
+tries: their length is the longest whose expected share of found pairs at the
 threshold reaches the target. Rows that share a prefix in any tree meet in one
 group by links to the prefix's smallest row; groups are verified exactly, in
 blocks, so no group has to fit a task and no pair is written out.
