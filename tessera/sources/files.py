@@ -90,7 +90,8 @@ def stl_lines(mesh: Mesh) -> DataFrame:
     """mesh_id, k, id, line: the lines of a text STL in the order of k and id. Faces without area have the normal 0 0 0."""
     p = F.col("pts")
     corner = [F.concat(F.lit("vertex "), _vector(F.get(p, F.lit(i)))) for i in range(3)]
-    n = F.when(P.face_normal(p).isNull(), F.lit("0 0 0")).otherwise(n)
+    normal = P.face_normal(p)
+    n = F.when(normal.isNull(), F.lit("0 0 0")).otherwise(_vector(normal))
     facet = F.concat_ws("\n", F.concat(F.lit("facet normal "), n), F.lit("outer loop"), *corner, F.lit("endloop"), F.lit("endfacet"))
     f = fat_faces(mesh).select(KEY, F.lit(1).alias("k"), F.col("fid").alias("id"), facet.alias("line"))
     ends = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("line")) for k, x in ((0, "solid mesh"), (2, "endsolid mesh"))]))
