@@ -39,14 +39,17 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, text: str = "text", site: s
     lines are never removed. A line goes, wherever it stands, if rows of at
     least min_sites distinct sites hold it; a null site counts for none. Null
     texts count as empty. Repeated rows, and rows with a null doc_id, are
-    treated each by its own text. Other columns take no part.
+    treated each by its own text. Texts of any length count whole, an empty
+    table gives an empty result, and other columns take no part.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(site).cast("string").alias("site"), text_or_empty(F.col(text)).alias("t"))
-    lines = rows.select("doc_id", "site", F.explode(F.split("t", "\n", -1)).alias("line")).where(F.trim("line") != "")
-    lines = lines.select("doc_id", "site", _line_hash(F.col("line")).alias("h"))
+    rows = rows.withColumn("th", F.xxhash64("t"))
+    lines = rows.select("doc_id", "th", "site", F.explode(F.split("t", "\n", -1)).alias("line")).where(F.trim("line") != "")
+    lines = lines.select("doc_id", "th", "site", _line_hash(F.col("line")).alias("h"))
     bad = boilerplate(lines.select("h", "site"), min_sites)
-    held = lines.join(bad, "h").groupBy("doc_id").agg(F.collect_set("h").alias("bad")).withColumnRenamed("doc_id", "_id")
-    both = rows.join(held, rows["doc_id"].eqNullSafe(held["_id"]), "left").drop("_id")
+    # What goes depends on the text: rows with one doc_id, or none, have a set of hashes for each text.
+    held = lines.join(bad, "h").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("h").alias("bad"))
+    both = rows.join(held, (rows["th"] == held["_th"]) & rows["doc_id"].eqNullSafe(held["_id"]), "left").drop("_id", "_th")
     parts = both.withColumn("l", F.split("t", "\n", -1))
     kept = F.filter("l", lambda x: (F.trim(x) == "") | ~F.array_contains("bad", _line_hash(x)))
     parts = parts.withColumn("k", F.when(F.col("bad").isNull(), F.col("l")).otherwise(kept))
