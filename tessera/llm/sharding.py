@@ -64,9 +64,10 @@ def _split(rows: DataFrame, limit: int, first_bits: int) -> DataFrame:
         rows, bits = table(here.join(rest, ["root", "cell"], "left_semi").drop("cell")), min(4, HASH_BITS - base)
 
 
-def shard(docs: DataFrame, limit_bytes: int = 128 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def shard(docs: DataFrame, limit_bytes: int = 128 << 20, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, shard_id, shard_depth, shard_bytes, shard_docs.
 
+    row names a column of distinct whole numbers, which the result then has too.
     A shard holds at most limit_bytes of UTF-8 text, unless one row alone is
     larger: that row is a shard of its own. The hash is that of doc_id, null as
     the empty text; where rows of one doc_id exceed the limit together, they
@@ -75,7 +76,7 @@ def shard(docs: DataFrame, limit_bytes: int = 128 << 20, text: str = "text", doc
     """
     rows = table(
         docs.select(
-            F.monotonically_increasing_id().alias("rid"),
+            (F.col(row) if row else F.monotonically_increasing_id()).alias("rid"),
             F.lit(0).cast("long").alias("root"),
             F.col(doc_id).alias("doc_id"),
             hash60(F.col(doc_id)).alias("key"),
@@ -94,11 +95,36 @@ def shard(docs: DataFrame, limit_bytes: int = 128 << 20, text: str = "text", doc
         again = again.withColumn("depth", F.col("depth") + HASH_BITS)
         cold = ~F.col("lone") | (F.col("shard_docs") == 1) | (F.col("shard_bytes") <= limit_bytes)
         final = final.where(cold).unionByName(again)
-    return final.select("doc_id", "shard_id", F.col("depth").alias("shard_depth"), "shard_bytes", "shard_docs")
+    return final.select("doc_id", "shard_id", F.col("depth").alias("shard_depth"), "shard_bytes", "shard_docs", *([F.col("rid").alias(row)] if row else []))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id") -> None:
-    """Write docs as one folder for each shard; every shard is written by one task, and no task holds more than its limit."""
-    where = placed.select("doc_id", "shard_id").dropDuplicates(["doc_id"])
-    joined = docs.join(where, docs[doc_id].eqNullSafe(where["doc_id"])).drop(where["doc_id"])
-    joined.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+def directory(placed: DataFrame) -> DataFrame:
+    """The directory of shards: shard_id, shard_depth, prefix, shard_bytes, shard_docs.
+
+    prefix has the leading bits of the hash as text; of a doc_id that was split
+    by rows, the doc_id's bits come before those of the row. An empty table has
+    an empty directory.
+    """
+    bits = lambda n, width: F.lpad(F.conv(n, 10, 2), width, "0")
+    part = F.split("shard_id", "-")
+    lone = F.size(part) == 4
+    width = F.when(lone, part[2]).otherwise(part[0]).cast("int")
+    own = F.when(width > 0, F.lpad(F.conv(F.when(lone, part[3]).otherwise(part[1]), 10, 2), width, F.lit("0"))).otherwise("")
+    prefix = F.when(lone, F.concat(bits(part[1], HASH_BITS), own)).otherwise(own)
+    return placed.select("shard_id", "shard_depth", "shard_bytes", "shard_docs").distinct().withColumn("prefix", prefix)
+
+
+def write_shards(docs: DataFrame, path: str, limit_bytes: int = 128 << 20, text: str = "text", doc_id: str = "doc_id") -> None:
+    """Write docs as one folder and file for each shard (shard_id=...), and the directory as _directory beside them.
+
+    Rows go where shard() puts them, repeated rows and null doc_ids too; a task
+    writes its shards one after the other. docs must not have a column shard_id;
+    an empty table writes no shard.
+    """
+    if "shard_id" in docs.columns:
+        raise ValueError("docs already has a column shard_id")
+    row = next(c for c in (f"_row{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    numbered = table(docs.withColumn(row, F.monotonically_increasing_id()))
+    placed = table(shard(numbered, limit_bytes, text, doc_id, row))
+    numbered.join(placed.select(row, "shard_id"), row).drop(row).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    directory(placed).write.parquet(f"{path}/_directory")
