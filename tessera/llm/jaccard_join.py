@@ -1,16 +1,19 @@
-"""Similarity join on word n-grams through MinHash prefixes of a fixed length.
+"""Similarity join on word n-grams through a MinHash LSH forest.
 
-Fixed prefixes, one for each tree, take the place of an LSH forest's sorted
-tries: their length is the longest whose expected share of found pairs at the
-threshold reaches the target. Rows that share a prefix in any tree meet in one
-group by links to the prefix's smallest row; groups are verified exactly, in
-blocks, so no group has to fit a task and no pair is written out.
+Each text has a path of DEPTH minima in each of TREES tries. The sizes of the
+nodes on all paths come from aggregates of the paths' sorted cells. Every row
+starts from its full paths; the ones whose shorter prefix adds the fewest other
+rows are shortened first, until the expected recall at the threshold reaches its
+target, and the rows of the largest nodes meet by their long prefixes only.
+Rows of one node are compared by their signatures there; what these link is
+then verified exactly, in blocks, so no group has to fit a task and no pair is
+written out.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +38,27 @@ def prefix_length(threshold: float, recall: float, trees: int = TREES, depth: in
     raise ValueError(f"{trees} trees can't reach a recall of {recall} at {threshold}")
 
 
-def signatures(sets: list[np.ndarray], trees: int, k: int, few: int = 1 << 15) -> np.ndarray:
-    """One key for each set (none empty) and tree: the first k minima of the tree, under as many hashes."""
-    times = np.random.default_rng(1).integers(1 << 31, size=trees * k, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    low = np.zeros((trees * k, len(sets)), np.uint32)
+def prefix_lengths(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> list[int]:
+    """The prefix of a row's tree by the tree's rank, from the one that gains most by a long prefix on.
+
+    Each is as long as the expected share of found pairs at the threshold
+    allows, the others after it as short as prefix_length().
+    """
+    low = prefix_length(threshold, recall, trees, depth)
+    out = [low] * trees
+    for r in range(trees):
+        for k in range(depth, low, -1):
+            tried = [*out[:r], k, *out[r + 1 :]]
+            if 1 - np.prod([1 - threshold**x for x in tried]) >= recall:
+                out = tried
+                break
+    return out
+
+
+def minima(sets: list[np.ndarray], count: int, few: int = 1 << 15) -> np.ndarray:
+    """(count, sets): the minimum of each set (none empty) under each hash."""
+    times = np.random.default_rng(1).integers(1 << 31, size=count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    low = np.zeros((count, len(sets)), np.uint32)
     at = 0
     while at < len(sets):
         end, size = at, 0
@@ -51,17 +71,25 @@ def signatures(sets: list[np.ndarray], trees: int, k: int, few: int = 1 << 15) -
             y = x * a
             low[i, at:end] = np.minimum.reduceat(y ^ (y >> np.uint32(15)), starts)
         at = end
-    out = np.zeros((len(sets), trees), np.uint64)
+    return low
+
+
+def paths(low: np.ndarray, trees: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set and tree: a key of the first k minima, and the rest of the path, one byte for each further minimum."""
+    depth = len(low) // trees
+    keys, rest = np.zeros((low.shape[1], trees), np.uint64), np.zeros((low.shape[1], trees), np.int64)
     for t in range(trees):
-        key = np.full(len(sets), t + 1, np.uint64)
+        key = np.full(low.shape[1], t + 1, np.uint64)
         for j in range(k):
-            key = mix(key * np.uint64(31) + low[t * k + j])
-        out[:, t] = key
-    return out
+            key = mix(key * np.uint64(31) + low[t * depth + j])
+        keys[:, t] = key
+        for j in range(k, depth):
+            rest[:, t] = rest[:, t] << 8 | (mix(low[t * depth + j].astype(np.uint64)) & np.uint64(255)).astype(np.int64)
+    return keys.view(np.int64), rest
 
 
 def _read(docs: DataFrame, trees: int, k: int, text: str, doc_id: str, row: str | None) -> DataFrame:
-    """rid, doc_id, t, n shingles, the set's 128-bit key, and prefix keys (null without words)."""
+    """rid, doc_id, t, n shingles, the set's 128-bit key, and keys, rests and a byte of each minimum (null without words)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -69,18 +97,87 @@ def _read(docs: DataFrame, trees: int, k: int, text: str, doc_id: str, row: str
             for at, part in batches(texts):
                 sets = shingle_sets(part, WORDS)
                 some = [i for i, s in enumerate(sets) if len(s)]
-                keys = signatures([sets[i] for i in some], trees, k)
-                rows: list = [None] * len(part)
-                for i, row in zip(some, keys.view(np.int64), strict=True):
-                    rows[i] = row
+                low = minima([sets[i] for i in some], trees * DEPTH)
+                rows: list[list] = [[None] * len(part) for _ in range(3)]
+                for i, *own in zip(some, *paths(low, trees, k), mix(low.T.astype(np.uint64)).astype(np.uint8), strict=True):
+                    for c, x in zip(rows, own, strict=True):
+                        c[i] = x
                 digest = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
                 cols = [batch.column(c).slice(at, len(part)) for c in range(3)]
-                cols += [pa.array([len(s) for s in sets], pa.int32()), pa.array([d[0] for d in digest]), pa.array([d[1] for d in digest]), pa.array(rows, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "t", "n", "s1", "s2", "keys"])
+                cols += [pa.array([len(s) for s in sets], pa.int32()), pa.array([d[0] for d in digest]), pa.array([d[1] for d in digest])]
+                cols += [pa.array(rows[0], pa.list_(pa.int64())), pa.array(rows[1], pa.list_(pa.int64())), pa.array([None if x is None else x.tobytes() for x in rows[2]], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "t", "n", "s1", "s2", "keys", "rests", "sig"])
 
     t = text_or_empty(F.col(text))
     rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), t.alias("t"), t.cast("binary").alias("b"))
-    return rows.mapInArrow(run, "rid long, doc_id long, t string, n int, s1 long, s2 long, keys array<long>")
+    return rows.mapInArrow(run, "rid long, doc_id long, t string, n int, s1 long, s2 long, keys array<long>, rests array<long>, sig binary")
+
+
+def _nodes(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(rid, group): the rows of each node of the forest in which some row, its prefixes shortened to the target recall, meets others.
+
+    Nodes with the same rows count once.
+    """
+    short = prefix_length(threshold, recall)
+    of_rank = prefix_lengths(threshold, recall)
+    up = lambda c, d: F.shiftright(c, 8 * (DEPTH - d))  # noqa: E731  the rest of a path of length d
+    cells = reps.select("rid", F.explode(F.arrays_zip("keys", "rests")).alias("p")).select("rid", F.col("p.keys").alias("key"), F.col("p.rests").alias("rest"))
+    prefixes = table(cells)
+    cells = table(prefixes.groupBy("key", "rest").agg(F.count("*").alias(f"m{DEPTH}")))
+    most = table(cells.groupBy("key").agg(F.sum(f"m{DEPTH}").alias(f"m{short}")).where(F.col(f"m{short}") > 1))
+    cells = cells.join(most, "key")
+    for d in range(short + 1, DEPTH):
+        sums = cells.groupBy("key", up("rest", d).alias("r")).agg(F.sum(f"m{DEPTH}").alias(f"m{d}"))
+        cells = cells.withColumn("r", up("rest", d)).join(sums, ["key", "r"]).drop("r")
+    live = table(prefixes.join(table(cells), ["key", "rest"]))
+    # A row has a place in at most as many nodes as there are trees.
+    rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.desc(F.col(f"m{short}") - F.col(f"m{DEPTH}")), "key"))
+    length = F.element_at(F.array(*[F.lit(x) for x in of_rank]), rank)
+    size = F.element_at(F.array(*[F.col(f"m{d}") for d in range(short, DEPTH + 1)]), F.col("d") - short + 1)
+    asked = live.withColumn("d", length).where(size > 1).groupBy("key", "rest").agg(F.min("d").alias("d"))
+    # A node that is asked for holds all cells below it.
+    asked = table(asked)
+    held = live.select("key", "rest").distinct().withColumn("d", F.lit(None).cast("int"))
+    for d in range(DEPTH, short - 1, -1):
+        here = asked.where(F.col("d") == d).select("key", up("rest", d).alias("r")).distinct().withColumn("_d", F.lit(d))
+        held = held.withColumn("r", up("rest", d)).join(here, ["key", "r"], "left").withColumn("d", F.coalesce("_d", "d")).drop("r", "_d")
+    held = held.where("d IS NOT NULL")
+    path = F.element_at(F.array(*[up("rest", d) for d in range(short, DEPTH + 1)]), F.col("d") - short + 1)
+    members = table(live.select("rid", "key", "rest").join(held, ["key", "rest"]).select("rid", F.xxhash64("key", "d", path).alias("group")))
+    alike = members.groupBy("group").agg(F.count("*").alias("m"), F.sum(F.xxhash64("rid").cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y"), F.min("rid").alias("r")).where("m > 1")
+    once = alike.groupBy("m", "x", "y", "r").agg(F.min("group").alias("group"))
+    return members.join(once.select("group"), "group")
+
+
+def agreements(sigs: np.ndarray) -> np.ndarray:
+    """In how many places each pair of rows has the same byte."""
+    out = np.zeros((len(sigs), len(sigs)), np.int32)
+    step = max(1, (1 << 22) // max(1, sigs.size))
+    for a in range(0, len(sigs), step):
+        out[a : a + step] = (sigs[a : a + step, None] == sigs[None]).sum(2, dtype=np.int32)
+    return out
+
+
+def _near(threshold: float) -> Callable[[list[bytes]], np.ndarray]:
+    """Which pairs of signatures may belong to sets that reach the threshold: estimates up to six standard errors below it count."""
+    least = (threshold - 6 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5) * TREES * DEPTH
+
+    def run(sigs: list[bytes]) -> np.ndarray:
+        return agreements(np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)) >= least
+
+    return run
+
+
+def _exactly(threshold: float) -> Callable[[list[bytes]], np.ndarray]:
+    """Which pairs of texts reach the threshold."""
+
+    def run(texts: list[bytes]) -> np.ndarray:
+        sets = shingle_sets(texts, WORDS)
+        size = np.array([len(s) for s in sets], float)
+        both = overlaps(sets)
+        return both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+
+    return run
 
 
 def overlaps(sets: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
@@ -119,8 +216,8 @@ def _forest(pairs: np.ndarray, known: np.ndarray, n: int) -> list[tuple[int, int
     return out
 
 
-def _verified(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(node, links, joins) from members (group, node, t): partial link counts, and links that connect each block pair.
+def _compared(members: DataFrame, alike: Callable[[list[bytes]], np.ndarray], block: int) -> DataFrame:
+    """(node, links, joins) from members (group, node, t): partial counts of alike pairs, and links that connect what they do in each block pair.
 
     A group of up to block members is one task's work; larger ones are dealt
     into blocks, and every pair of blocks is a unit of work of its own.
@@ -133,10 +230,7 @@ def _verified(members: DataFrame, threshold: float, block: int) -> DataFrame:
     )
 
     def unit(i: int, j: int, own: np.ndarray, node: np.ndarray, texts: list[bytes]) -> list[tuple]:
-        sets = shingle_sets(texts, WORDS)
-        size = np.array([len(s) for s in sets], float)
-        both = overlaps(sets)
-        like = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+        like = alike(texts)
         np.fill_diagonal(like, False)
         inner = np.zeros((0, 2), int)
         if i != j:  # links inside either block come from that block's own unit
@@ -181,24 +275,22 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999
     class, one with that doc_id. Texts of one to four words have all their words
     as one shingle; null texts and texts without words link to nothing, are
     classes of their own (rep_id and class_id their doc_id), and are first.
-    Null doc_ids come last in the order; repeated rows share a class. Other
+    Null doc_ids come last in the order; repeated rows share a class. Texts of
+    any length count whole, an empty table gives an empty result, and other
     columns take no part.
     """
-    k = prefix_length(threshold, recall)
-    read = table(_read(docs, TREES, k, text, doc_id, row))
+    read = table(_read(docs, TREES, prefix_length(threshold, recall), text, doc_id, row))
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))
     full = read.where("n > 0")
     sets = table(full.groupBy("s1", "s2", "n").agg(F.min(order).alias("k")).select("s1", "s2", "n", F.col("k.r").alias("rep"), F.col("k.d").alias("rep_id")))
     rows = table(full.select("rid", "doc_id", "s1", "s2", "n").join(sets, ["s1", "s2", "n"]).select("rid", "doc_id", "n", "rep", "rep_id"))
-    reps = full.select("rid", "keys").join(sets.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    prefixes = table(reps.select("rid", F.explode("keys").alias("key")))
-    hubs = table(prefixes.groupBy("key").agg(F.min("rid").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub"))
-    # Each row keeps a link to its smallest hub, which takes over the row's other hubs: few links are left. A row has a hub for each tree at most.
-    stars = prefixes.join(hubs, "key").select("rid", "hub").withColumn("least", F.min("hub").over(Window.partitionBy("rid")))
-    stars = stars.select("rid", "least").unionByName(stars.select(F.col("hub").alias("rid"), "least")).where("rid <> least").distinct()
-    groups = connected_components(stars, "rid", "least")
+    reps = full.select("rid", "keys", "rests").join(sets.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    nodes = table(_nodes(reps, threshold, recall))
+    signed = nodes.join(full.select("rid", "sig"), "rid").select("group", F.col("rid").alias("node"), F.col("sig").alias("t"))
+    likely = table(_compared(signed, _near(threshold), 16 * block))
+    groups = table(connected_components(likely.select("node", F.explode("joins").alias("to")), "node", "to"))
     members = full.select(F.col("rid").alias("node"), "t").join(groups.withColumnRenamed("label", "group"), "node")
-    links = table(_verified(members, threshold, block))
+    links = table(_compared(members, _exactly(threshold), block))
     near = connected_components(links.select("node", F.explode("joins").alias("to")), "node", "to")
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     linked = table(near.join(counts, "node").join(rows.where("rid = rep").select(F.col("rid").alias("node"), "rep_id"), "node"))
