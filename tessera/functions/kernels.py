@@ -85,53 +85,31 @@ def clip(pts: list[np.ndarray], values: list[float], level: float, above: bool)
     return out_p, out_v
 
 
-def triangle_overlap(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """The segment two triangles (3x3) share, None if they don't meet, share a plane or touch in a point."""
-    na, nb = np.cross(a[1] - a[0], a[2] - a[0]), np.cross(b[1] - b[0], b[2] - b[0])
-    la, lb = np.linalg.norm(na), np.linalg.norm(nb)
-    if la == 0 or lb == 0:
-        return None
-    na, nb = na / la, nb / lb
+def _spans(t: np.ndarray, n: np.ndarray, o: np.ndarray, along: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of triangles (k, 3, 3) and planes with normals n through o: the ends of what both share, and their places along a direction."""
+    d = np.einsum("kij,kj->ki", t - o[:, None], n)
+    d[np.abs(d) < EPS] = 0
+    e = np.roll(d, -1, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cross = t + (np.roll(t, -1, 1) - t) * (d / (d - e))[:, :, None]
+    ends = np.concatenate([t, cross], 1)
+    real = np.concatenate([d == 0, d * e < 0], 1)
+    ends = np.where(real[:, :, None], ends, 0.0)
+    k = np.einsum("kij,kj->ki", ends, along)
+    low, high = np.where(real, k, np.inf).argmin(1), np.where(real, k, -np.inf).argmax(1)
+    row = np.arange(len(t))
+    empty = real.sum(1) < 2
+    return ends[row, low], ends[row, high], np.where(empty, np.inf, k[row, low]), np.where(empty, -np.inf, k[row, high])
+
+
+def triangle_overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which pairs of triangles (k, 3, 3) share a segment, and its ends: not those that share a plane or touch in a point."""
+    na, nb = (np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]) for t in (a, b))
+    la, lb = np.linalg.norm(na, axis=1), np.linalg.norm(nb, axis=1)
+    na, nb = na / np.maximum(la, 1e-300)[:, None], nb / np.maximum(lb, 1e-300)[:, None]
     along = np.cross(na, nb)
-    if np.linalg.norm(along) < EPS:
-        return None
-
-    def span(t: np.ndarray, n: np.ndarray, o: np.ndarray) -> list[np.ndarray]:
-        d = (t - o) @ n
-        d[np.abs(d) < EPS] = 0
-        ends = [t[i] for i in range(3) if d[i] == 0]
-        for i in range(3):
-            j = (i + 1) % 3
-            if d[i] * d[j] < 0:
-                ends.append(t[i] + (t[j] - t[i]) * d[i] / (d[i] - d[j]))
-        return ends
-
-    ea, eb = span(a, nb, b[0]), span(b, na, a[0])
-    if len(ea) < 2 or len(eb) < 2:
-        return None
-    ka, kb = sorted(ea, key=lambda p: p @ along), sorted(eb, key=lambda p: p @ along)
-    low = max(ka[0], kb[0], key=lambda p: p @ along)
-    high = min(ka[-1], kb[-1], key=lambda p: p @ along)
-    return (low, high) if (high - low) @ along > EPS else None
-
-
-def split_by_planes(pts: np.ndarray, cutters: list[np.ndarray]) -> list[np.ndarray]:
-    """A convex polygon in pieces, none of which crosses a cutting triangle: a piece is cut by a triangle's plane only if it meets the triangle."""
-    pieces = [pts]
-    for c in cutters:
-        n = np.cross(c[1] - c[0], c[2] - c[0])
-        n = n / (np.linalg.norm(n) or 1.0)
-        out = []
-        for p in pieces:
-            d = (p - c[0]) @ n
-            d[np.abs(d) < EPS] = 0
-            meets = (d > 0).any() and (d < 0).any() and any(triangle_overlap(p[[0, k, k + 1]], c) is not None for k in range(1, len(p) - 1))
-            if not meets:
-                out.append(p)
-                continue
-            for above in (True, False):
-                q, _ = clip(list(p), list(d), 0.0, above)
-                if len(q) >= 3:
-                    out.append(np.array(q))
-        pieces = out
-    return pieces
+    pa, qa, la0, la1 = _spans(a, nb, b[:, 0], along)
+    pb, qb, lb0, lb1 = _spans(b, na, a[:, 0], along)
+    low, high = np.where((la0 >= lb0)[:, None], pa, pb), np.where((la1 <= lb1)[:, None], qa, qb)
+    ok = (la > 0) & (lb > 0) & (np.linalg.norm(along, axis=1) >= EPS) & (np.minimum(la1, lb1) - np.maximum(la0, lb0) > EPS)
+    return ok, low, high

@@ -42,21 +42,13 @@ def half_edges(faces: DataFrame) -> DataFrame:
 
 
 def corners(mesh: Mesh) -> DataFrame:
-    """One row for each corner of each face with its coordinates: one shuffle on (mesh_id, vid)."""
-    c = mesh.faces.select(KEY, "fid", F.posexplode("vids").alias("pos", "vid"))
+    """One row for each corner of each face with its coordinates and the number of the face's corners: one shuffle on (mesh_id, vid)."""
+    c = mesh.faces.select(KEY, "fid", F.size("vids").alias("n"), F.posexplode("vids").alias("pos", "vid"))
     return c.join(mesh.points.select(KEY, "vid", "x", "y", "z"), [KEY, "vid"])
 
 
 def fat_faces(mesh: Mesh) -> DataFrame:
     """mesh_id, fid, vids, pts: each face with its points in order. Faces with a missing point are left out."""
-    pts = F.sort_array(F.collect_list(F.struct("pos", "vid", "x", "y", "z")))
-    whole = corners(mesh).groupBy(KEY, "fid").agg(pts.alias("c"))
-    whole = whole.select(
-        KEY,
-        "fid",
-        F.col("c.vid").alias("vids"),
-        F.transform("c", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))).alias("pts"),
-        F.size("c").alias("_n"),
-    )
-    size = mesh.faces.select(KEY, "fid", F.size("vids").alias("_m"))
-    return whole.join(size, [KEY, "fid"]).where("_n = _m").drop("_n", "_m")
+    c = corners(mesh).groupBy(KEY, "fid").agg(F.sort_array(F.collect_list(F.struct("pos", "vid", "x", "y", "z"))).alias("c"), F.max("n").alias("n"))
+    pts = F.transform("c", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z")))
+    return c.where(F.size("c") == F.col("n")).select(KEY, "fid", F.col("c.vid").alias("vids"), pts.alias("pts"))
