@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import _byte_chars
-from ._io import text_or_empty
+from ._io import table, text_or_empty
 from ._memo import Spaced
 
 WINDOW = 32
@@ -138,20 +138,20 @@ class Joiner:
         return np.concatenate([*done, ids])
 
 
-def _shared_filter(names: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of fixed size with the names of chunks that stand in two places or more.
+def _shared_filter(names: DataFrame, most_bits: int) -> np.ndarray:
+    """A Bloom filter with the names of chunks that stand in two places or more.
 
-    It is summed up by Spark, one row for each 64 bits that are set, so at most
-    2 ** bits / 64 rows reach the driver. If more names fill it, more chunks
-    take the way of shared ones; results stay the same.
+    It has 16 bits for each of them, 2 ** most_bits in all at most, and is
+    summed up by Spark, one row for each 64 bits that are set. If more names
+    fill it, more chunks take the way of shared ones; results stay the same.
     """
-    twice = names.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
+    twice = table(names.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name"))
+    bits = min(most_bits, max(20, (16 * twice.count()).bit_length()))
     spot = lambda k: F.conv(F.hex(F.substring("name", k, 4)), 16, 10).cast("long").bitwiseAND((1 << bits) - 1)
     at = twice.select(F.explode(F.array(spot(1), spot(5))).alias("at"))
-    rows = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b")).collect()
+    rows = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
-    for w, b in rows:
-        out[w] = b
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy()
     return out.view(np.uint64)
 
 
@@ -194,14 +194,16 @@ def _slices(parts: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", filter_bits: int = 24) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", filter_bits: int = 26) -> DataFrame:
     """One row for each row of docs: doc_id, ids (little-endian uint32 bytes), text (decoded from the ids).
 
     The ids are those of the tokenizers library without special tokens added,
     for any byte-level tokenizer of the file's kind. A null text is an empty
     one and has no ids. Repeated rows and null doc_ids come back as they are;
-    texts of any length are cut into chunks of at most 8 KiB. Other columns
-    take no part.
+    texts of any length are cut into chunks of at most 8 KiB, an empty table
+    gives an empty result, and other columns take no part. Each shared chunk's
+    text goes to one task once for each task that read it; what all its holders
+    get back is its ids.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(F.col(text)).cast("binary").alias("t"))
     known = _shared_filter(rows.mapInArrow(_counted, "name binary, n long"), filter_bits)
@@ -245,14 +247,11 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: s
             yield pa.RecordBatch.from_pylist(out, _MOVED)
 
     def shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunk texts become ids; equal names follow each other, so each is encoded once."""
-        joiner, last = Joiner(tokenizer), (None, b"")
+        """The chunks' texts become ids."""
+        joiner = Joiner(tokenizer)
         for batch in parts:
-            names, data = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            new = {n: d for n, d in zip(names, data, strict=True) if n is not None and n != last[0]}
-            ids = dict(zip(new, map(_pack, joiner.encode(list(new.values()))), strict=True)) | dict([last])
-            last = (names[-1], ids[names[-1]]) if names and names[-1] is not None else last
-            yield batch.set_column(2, "data", pa.array([None if n is None else ids[n] for n in names], pa.binary()))
+            ids = [_pack(x) for x in joiner.encode(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["name", "data"])
 
     def together(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The chunks of a batch, then its documents."""
@@ -270,7 +269,11 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: s
                 doc_ids.append(doc)
             yield _result(out, joiner, doc_ids)
 
-    moved = rows.mapInArrow(apart, MOVED)
-    moved = moved.repartition(F.coalesce("name", F.col("batch").cast("string").cast("binary"))).sortWithinPartitions("name").mapInArrow(shared, MOVED)
+    moved = table(rows.mapInArrow(apart, MOVED))
+    asked = moved.where("name IS NOT NULL")
+    once = asked.groupBy("name").agg(F.first("data").alias("data")).mapInArrow(shared, "name binary, data binary")
+    none = F.lit(None)
+    sent = asked.select("batch", "name").join(once, "name").select("batch", "name", "data", none.cast("long").alias("doc_id"), none.cast(moved.schema["pieces"].dataType).alias("pieces"))
+    moved = sent.unionByName(moved.where("name IS NULL"))
     moved = moved.repartition("batch").sortWithinPartitions("batch", F.col("pieces").isNotNull()).mapInArrow(together, DONE)
     return rows.mapInArrow(in_place, DONE).unionByName(moved)
