@@ -10,7 +10,9 @@ no weight in the end.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,12 @@ from pyspark.sql import functions as F
 
 from ._ftrl import Ftrl, take
 from ._grams import codes, groups, hashed
-from ._io import held_out, text_or_empty
+from ._io import held_out, table, text_or_empty
 
 BITS = 18
+_EDGE = ",;:\"'()"
 GRAM = 5
-#: Neutral names of groups, by kind; each is swapped for the others of its row.
+#: Neutral names of groups, by kind and language; each is swapped for the others of its row.
 IDENTITIES = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -33,9 +36,18 @@ IDENTITIES = (
     ("black", "white", "asian", "latino", "african", "european"),
     ("immigrants", "refugees", "natives", "foreigners"),
     ("blind", "deaf", "disabled"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("einwanderer", "flüchtlinge", "ausländer"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("inmigrantes", "refugiados", "extranjeros"),
 )
 #: The others of a name's kind, and no name at all: a name shared by toxic sentences must not count by itself.
-_SWAPS = {t: (*(x for x in kind if x != t), "") for kind in IDENTITIES for t in kind}
+_SWAPS = {t: (*dict.fromkeys(x for kind in IDENTITIES if t in kind for x in kind if x != t), "") for row in IDENTITIES for t in row}
 
 
 def present(texts: list[str], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -53,29 +65,40 @@ def present(texts: list[str], among: np.ndarray | None = None) -> tuple[np.ndarr
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def _all(tokens: list[str]) -> set[int]:
-    return set(present([" ".join(tokens)])[1].tolist())
+@lru_cache(1 << 14)
+def _of(token: str) -> frozenset[int]:
+    """A token's features; no feature reaches across a space."""
+    return frozenset(present([token])[1].tolist())
 
 
-def _swapped(text: str) -> Iterator[tuple[list[int], list[int]]]:
-    """Features that come and go with each swap of a group's name in a sentence."""
+def swapped(text: str) -> set[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """Features that come and go with each swap of a group's name in a sentence, each such change once."""
+    out = set()
     for sentence in re.split(r"[.!?\n]", text):
         tokens = sentence.split()
-        for k, token in enumerate(tokens):
-            for other in _SWAPS.get(token.strip(",;:\"'()"), ()):
-                a, b = _all(tokens), _all([*tokens[:k], other, *tokens[k + 1 :]])
-                yield sorted(b - a), sorted(a - b)
+        named = [t for t in tokens if t.strip(_EDGE) in _SWAPS]
+        if named:
+            count = Counter(f for t in tokens for f in _of(t))
+            for token in named:
+                for other in _SWAPS[token.strip(_EDGE)]:
+                    old, new = _of(token), _of(other)
+                    out.add((tuple(sorted(f for f in new if not count[f])), tuple(sorted(f for f in old - new if count[f] == 1))))
+    return out
+
+
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """(_id, _y): one row for each doc_id outside the held-out quarter with a label of 0 or 1, 1 if it has both."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y"))
+    return usable.where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, text: str, doc_id: str) -> DataFrame:
-    """(y, idx, less) of at most per_class labelled rows of each class, y -1 for swaps: features gained and lost.
+def training_rows(docs: DataFrame, usable: DataFrame, per_class: int, text: str, doc_id: str) -> DataFrame:
+    """(y, idx, less) of the rows of at most per_class labels of each class, y -1 for swaps: features gained and lost.
 
-    The rows with the smallest hashes of doc_id are taken.
+    The labels with the smallest hashes of doc_id are taken.
     """
-    usable = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y"))
-    usable = usable.where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     first = [usable.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
-    chosen = first[0].unionByName(first[1]).dropDuplicates(["_id"])
+    chosen = first[0].unionByName(first[1])
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), text_or_empty(F.col(text)).alias("_t"))
     rows = rows.join(F.broadcast(chosen), "_id").select("_y", "_t")
 
@@ -84,7 +107,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, text: str,
             out: list[tuple] = []
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 out.append((y, present([t])[1], []))
-                out += [(-1, more, less) for more, less in _swapped(t.lower())]
+                out += [(-1, more, less) for more, less in sorted(swapped(t.lower()))]
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["y", "idx", "less"])
@@ -95,15 +118,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, text: str,
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, text: str = "text", doc_id: str = "doc_id", steady: float = 10.0, epochs: int = 4) -> dict:
     """Weights of a classifier: {"bias", "at", "w"}.
 
-    At most 2 * per_class labelled rows outside the held-out quarter are read;
-    each class counts as often as it stands among all such labels. steady is the
+    The texts of at most 2 * per_class labels outside the held-out quarter are
+    read; each class counts as often as it stands among all such labels. Null
+    labels don't count, repeated ones of a doc_id once, as toxic if they differ.
+    What a text sends is bounded by its distinct features and changes. steady is the
     weight of the penalty on score changes when a group's name is swapped.
     Without labels of both classes the score is the share of toxic labels
     (one half if there are none).
     """
-    y_all = F.col("toxic").cast("int")
-    counts = dict(labels.where(y_all.isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(y_all.alias("y")).count().collect())
-    t = training_rows(docs, labels, per_class, text, doc_id).toArrow()
+    usable = table(usable_labels(labels))
+    counts = dict(usable.groupBy("_y").count().collect())
+    t = training_rows(docs, usable, per_class, text, doc_id).toArrow()
     y = t["y"].to_numpy()
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1.0)
     bias = float(np.log(share / (1 - share)))
@@ -146,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, text: str = "
 
 def score(docs: DataFrame, model: dict, text: str = "text", column: str = "score") -> DataFrame:
     """docs with a column from 0 to 1, from the whole text alone; null and empty texts get the score of no feature."""
-    name = f"_text_{column}"
+    name = next(n for n in (f"_text{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros(1 << BITS)
@@ -169,8 +194,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text: s
     """One row for each row of docs: doc_id, held_out, score, predicted.
 
     Labels, lang, source and doc_id are no inputs of a score. Rows with a null
-    doc_id are scored too and not held out; repeated rows get the same score;
-    null or repeated labels count once or not at all. Other columns take no part.
+    doc_id are scored too and not held out; repeated rows get the same score,
+    texts of any length count whole, and an empty table gives an empty result.
+    Null labels don't count, repeated ones once. Other columns take no part.
     """
     model = fit(docs, labels, text=text, doc_id=doc_id, **how)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t"))
