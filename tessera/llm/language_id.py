@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._ftrl import Ftrl, take
@@ -22,6 +22,8 @@ from ._io import held_out, text_or_empty
 BITS = 15
 SIZE = 1 << BITS
 UNKNOWN = "und"
+#: A model has SIZE weights for each language, so there must be a bound.
+MOST_LANGUAGES = 2000
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,23 +87,28 @@ def document_frequencies(training: DataFrame) -> np.ndarray:
 
 
 def sample(training: DataFrame, counts: dict[str, int], per_language: int) -> DataFrame:
-    """About per_language rows of each language, at most twice as many in all: those of small hashes of _id."""
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("_lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    hashed_id = F.pmod(F.xxhash64("_id"), F.lit(1 << 20))
-    return training.where(hashed_id < share * (1 << 20)).withColumn("_h", hashed_id).orderBy("_h", "_id").limit(2 * per_language * len(counts)).drop("_h")
+    """The per_language rows with the smallest hashes of _id and text of each language, all rows of smaller ones.
+
+    Rows far above a language's share are left out before the ranking.
+    """
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (4.0 * per_language + 100) / n))])
+    h = F.xxhash64("_id", "_t")
+    few = training.withColumn("_h", h).where(h / float(1 << 64) + 0.5 <= F.element_at(share, F.col("_lang")))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id"))
+    return few.withColumn("_n", rank).where(F.col("_n") <= per_language).drop("_h", "_n")
 
 
 def fit(docs: DataFrame, per_language: int = 500, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", epochs: int = 4) -> dict:
     """{"langs", "w", "bias"}: weights that include the inverse document frequencies and the temperature.
 
     Learned from documents outside the held-out quarter with a language; the
-    classifier from a sample of per_language documents for each language, the
-    document frequencies from all.
+    classifier from at most per_language documents of each language, those with
+    the smallest hashes, the document frequencies from all.
     """
     training = _rows(docs, text, doc_id, lang).where(_usable())
     counts = dict(training.groupBy("_lang").count().collect())
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"{len(counts)} languages are more than {MOST_LANGUAGES}")
     langs = sorted(counts)
     if not langs:
         return {"langs": [], "w": np.zeros((SIZE, 0), np.float32), "bias": np.zeros(0)}
@@ -168,7 +175,8 @@ def language_id(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lan
 
     A text that is null or has no letters is "und" with score 0, as is every
     text if no document has a language. Null doc_ids are predicted and not held
-    out, repeated rows get the same answer, and other columns take no part.
+    out, repeated rows get the same answer, texts of any length count whole, an
+    empty table gives an empty result, and other columns take no part.
     """
     model = fit(docs, text=text, doc_id=doc_id, lang=lang, **how)
     langs, w = model["langs"], model["w"]
