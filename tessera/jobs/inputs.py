@@ -77,11 +77,6 @@ def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.lit(0).cast("long").alias("mesh_id"), F.col("o_orderkey").alias("eid"), F.col("o_custkey").alias("v0"), (F.col("o_orderkey") % 4001).alias("v1"))
 
 
-def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse edges among customers: those of order_edges that the queries with SQL read."""
-    return order_edges(spark, sf_dir).where(F.col("eid") % 5 == 0)
-
-
 def segments2d(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(edges, points) of short segments in the plane, one for each supplier, in pieces of a hundred."""
     s = F.col("s_suppkey")

@@ -11,6 +11,7 @@ from tessera.functions import primitives as P
 from tessera.jobs import inputs as I
 from tessera.jobs.report import mesh_report
 from tessera.model import KEY, Mesh, fat_faces, half_edges
+from tessera.sources.scratch import table as _table
 from tessera.operators import clean, measures, paths, reindex, spatial, topology
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,10 +175,10 @@ def t1_face_membership(spark, d):
     return m.select(KEY, "vid", F.size("fids").cast("long").alias("n"), F.aggregate("fids", F.lit(0).cast("long"), lambda a, b: a + b).alias("s"))
 
 
-@query("""WITH e AS (SELECT o_orderkey AS eid, o_custkey AS v0, o_orderkey % 4001 AS v1 FROM orders WHERE o_orderkey % 5 = 0), u AS (SELECT v0 AS vid, eid FROM e UNION SELECT v1, eid FROM e)
+@query("""WITH e AS (SELECT o_orderkey AS eid, o_custkey AS v0, o_orderkey % 4001 AS v1 FROM orders), u AS (SELECT v0 AS vid, eid FROM e UNION SELECT v1, eid FROM e)
     SELECT vid, list(eid ORDER BY eid) AS eids FROM u GROUP BY vid""")
 def t2_edge_membership(spark, d):
-    return topology.edge_membership(I.graph_edges(spark, d)).select("vid", "eids")
+    return topology.edge_membership(I.order_edges(spark, d)).select("vid", "eids")
 
 
 @query(f"""WITH {SOUP}, l AS (SELECT mesh_id, a AS vid, b AS neighbor FROM he UNION SELECT mesh_id, b, a FROM he) SELECT * FROM l WHERE vid <> neighbor""")
@@ -228,48 +229,62 @@ def t11_closedness(spark, d):
     return topology.closedness(I.soup_faces(spark, d))
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, o_orderkey % 4001 AS b FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 4001 % 7 = o_custkey % 7), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    r(a, b) AS (SELECT a, a FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS node, min(b) AS label FROM r GROUP BY a""")
-def t12_connected_components(spark, d):
-    from tessera.operators.graph import connected_components
+def _labels_sql(before: str, nodes: str, links: str, after: str) -> str:
+    """The smallest node that links (a, b, both ways) connect each of nodes (k) with, as r (k, label)."""
+    return f"""WITH RECURSIVE {before}, nodes AS ({nodes}), l AS ({links}), r(k, label) USING KEY (k) AS (SELECT k, k FROM nodes UNION
+    SELECT l.b, min(r.label) FROM r JOIN l ON r.k = l.a JOIN recurring.r AS w ON w.k = l.b WHERE r.label < w.label GROUP BY l.b) {after}"""
 
-    return connected_components(I.graph_edges(spark, d).where("v1 % 7 = v0 % 7"), "v0", "v1")
 
+@query(_labels_sql("e AS (SELECT o_custkey AS a, o_orderkey % 4001 AS b FROM orders)", "SELECT a AS k FROM e UNION SELECT b FROM e", "SELECT a, b FROM e UNION SELECT b, a FROM e", "SELECT k AS node, label FROM r"))
+def t12_connected_components(spark, d):
+    from tessera.operators.graph import connected_components
 
-FEW = f"{SOUP.replace('FROM (SELECT l_suppkey, l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL)', 'FROM (SELECT l_suppkey, l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL) WHERE l_orderkey % 23 = 0')}"
+    return connected_components(I.order_edges(spark, d), "v0", "v1")
 
 
-def _few(spark, d) -> Mesh:
-    m = I.soup(spark, d)
-    return Mesh(m.faces.where(F.floor(F.col("fid") / 8) % 23 == 0), m.points)
+def _component_sql(links: str, after: str = "SELECT k.mesh_id AS mesh_id, k.fid AS fid, label.fid AS label FROM r") -> str:
+    k = "{{'mesh_id': {0}.mesh_id, 'fid': {1}}}".format
+    pairs = links.format(a=k("x", "x.fid"), b=k("x", "y.fid"), f0=k("ec", "f0"), f1=k("ec", "f1"))
+    return _labels_sql(SOUP, f"SELECT {k('faces', 'fid')} AS k FROM faces", pairs, after)
 
 
-def _component_sql(links: str) -> str:
-    return f"""WITH RECURSIVE {FEW}, l AS ({links}), r(mesh_id, a, b) AS (SELECT mesh_id, fid, fid FROM faces UNION SELECT r.mesh_id, r.a, l.b FROM r JOIN l ON r.mesh_id = l.mesh_id AND r.b = l.a) SELECT mesh_id, a AS fid, min(b) AS label FROM r GROUP BY mesh_id, a"""
+MANIFOLD_LINKS = "SELECT {f0} AS a, {f1} AS b FROM ec WHERE n = 2 UNION SELECT {f1}, {f0} FROM ec WHERE n = 2"
 
 
-@query(_component_sql("SELECT DISTINCT x.mesh_id, x.fid AS a, y.fid AS b FROM he x JOIN he y ON x.mesh_id = y.mesh_id AND x.lo = y.lo AND x.hi = y.hi"))
+@query(_component_sql("SELECT DISTINCT {a} AS a, {b} AS b FROM he x JOIN he y ON x.mesh_id = y.mesh_id AND x.lo = y.lo AND x.hi = y.hi"))
 def t13_edge_components(spark, d):
-    return topology.face_components(_few(spark, d).faces, "edge")
+    return topology.face_components(I.soup_faces(spark, d), "edge")
 
 
-@query(_component_sql("SELECT DISTINCT mesh_id, f0 AS a, f1 AS b FROM ec WHERE n = 2 UNION SELECT DISTINCT mesh_id, f1, f0 FROM ec WHERE n = 2"))
+@query(_component_sql(MANIFOLD_LINKS))
 def t13_manifold_components(spark, d):
-    return topology.face_components(_few(spark, d).faces, "manifold_edge")
+    return topology.face_components(I.soup_faces(spark, d), "manifold_edge")
 
 
-@query(_component_sql("SELECT DISTINCT x.mesh_id, x.fid AS a, y.fid AS b FROM (SELECT mesh_id, fid, unnest(vids) AS v FROM faces) x JOIN (SELECT mesh_id, fid, unnest(vids) AS v FROM faces) y USING (mesh_id, v)"))
+@query(_component_sql("SELECT DISTINCT {a} AS a, {b} AS b FROM (SELECT mesh_id, fid, unnest(vids) AS v FROM faces) x JOIN (SELECT mesh_id, fid, unnest(vids) AS v FROM faces) y USING (mesh_id, v)"))
 def t13_vertex_components(spark, d):
-    return topology.face_components(_few(spark, d).faces, "vertex")
+    return topology.face_components(I.soup_faces(spark, d), "vertex")
 
 
-@query(f"""{_component_sql("SELECT DISTINCT mesh_id, f0 AS a, f1 AS b FROM ec WHERE n = 2 UNION SELECT DISTINCT mesh_id, f1, f0 FROM ec WHERE n = 2").replace("SELECT mesh_id, a AS fid", ", k AS (SELECT mesh_id, a AS fid").replace("), r(mesh_id", "), r(mesh_id")})
-    SELECT k.mesh_id, k.label, bool_and(c.closed) AS is_closed FROM k JOIN (SELECT he.mesh_id, he.fid, bool_and(ec.n > 1) AS closed FROM he JOIN ec USING (mesh_id, lo, hi) GROUP BY he.mesh_id, he.fid) c USING (mesh_id, fid) GROUP BY k.mesh_id, k.label""")
+@query(_component_sql(MANIFOLD_LINKS, """, c AS (SELECT he.mesh_id, he.fid, bool_and(ec.n > 1) AS closed FROM he JOIN ec USING (mesh_id, lo, hi) GROUP BY he.mesh_id, he.fid)
+    SELECT c.mesh_id, r.label.fid AS label, bool_and(c.closed) AS is_closed FROM r JOIN c ON c.mesh_id = r.k.mesh_id AND c.fid = r.k.fid GROUP BY c.mesh_id, r.label.fid"""))
 def t15_component_types(spark, d):
-    f = _few(spark, d).faces
+    f = I.soup_faces(spark, d)
     return topology.component_types(f, topology.face_components(f, "manifold_edge"))
 
 
+@query(f"""WITH {SOUP} SELECT mesh_id, fid, fid = min(fid) OVER (PARTITION BY mesh_id, list_min([vids, [vids[2], vids[3], vids[1]], [vids[3], vids[1], vids[2]]])) AS is_first FROM faces""")
+def t18_oriented_unique_faces(spark, d):
+    f = I.soup_faces(spark, d).withColumn("k", topology.oriented_face_key(F.col("vids")))
+    first = f.groupBy(KEY, "k").agg(F.min("fid").alias("keep"))
+    return f.join(first, [KEY, "k"]).select(KEY, "fid", (F.col("fid") == F.col("keep")).alias("is_first"))
+
+
+@query(_labels_sql(SOUP, "SELECT DISTINCT {'mesh_id': mesh_id, 'vid': a} AS k FROM he", "SELECT DISTINCT {'mesh_id': mesh_id, 'vid': lo} AS a, {'mesh_id': mesh_id, 'vid': hi} AS b FROM he UNION SELECT {'mesh_id': mesh_id, 'vid': hi}, {'mesh_id': mesh_id, 'vid': lo} FROM he", "SELECT k.mesh_id AS mesh_id, k.vid AS vid, label.vid AS label FROM r"))
+def t14_vertex_components(spark, d):
+    return topology.vertex_components(I.soup_faces(spark, d))
+
+
 @query()
 def t16_orient_consistently(spark, d):
     return topology.orient_consistently(I.soup(spark, d))
@@ -281,9 +296,9 @@ def t17_t18_unique_faces(spark, d):
     return topology.unique_faces_mask(I.soup_faces(spark, d))
 
 
-@query("""WITH e AS (SELECT o_orderkey AS eid, o_custkey AS v0, o_orderkey % 4001 AS v1 FROM orders WHERE o_orderkey % 5 = 0) SELECT x.eid, y.eid AS next_eid FROM e x JOIN e y ON x.v1 = y.v0""")
+@query("""WITH e AS (SELECT o_orderkey AS eid, o_custkey AS v0, o_orderkey % 4001 AS v1 FROM orders) SELECT x.eid, y.eid AS next_eid FROM e x JOIN e y ON x.v1 = y.v0""")
 def t24_directed_edge_link(spark, d):
-    return topology.directed_edge_link(I.graph_edges(spark, d)).select("eid", "next_eid")
+    return topology.directed_edge_link(I.order_edges(spark, d)).select("eid", "next_eid")
 
 
 @query(f"""WITH {SOUP} SELECT mesh_id, fid, list_position(vids, 7)::INT - 1 AS at, coalesce((SELECT min(i) - 1 FROM range(1, 4) AS r(i) WHERE vids[i] = 7 AND vids[i % 3 + 1] = 8), -1)::INT AS side FROM (SELECT mesh_id, fid, vids FROM faces WHERE list_contains(vids, 7))""")
@@ -312,18 +327,22 @@ def c3_clean_faces(spark, d):
     return clean.clean_faces(Mesh(m.faces, m.points.withColumn("x", F.col("x") + F.col("vid") * 100))).mesh.faces
 
 
-@query("""WITH e AS (SELECT o_orderkey AS eid, o_custkey AS v0, o_orderkey % 4001 AS v1 FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey < 4001 AND o_custkey <> o_orderkey % 4001)
+@query("""WITH e AS (SELECT o_orderkey AS eid, o_custkey AS v0, o_orderkey % 4001 AS v1 FROM orders WHERE o_custkey <> o_orderkey % 4001)
     SELECT min(eid) AS eid FROM e GROUP BY least(v0, v1), greatest(v0, v1)""")
 def c4_clean_edges(spark, d):
-    e = I.graph_edges(spark, d).where("v0 < 4001")
+    e = I.order_edges(spark, d)
     points = e.select(KEY, F.explode(F.array("v0", "v1")).alias("vid")).distinct().select(KEY, "vid", F.col("vid").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     return clean.clean_edges(e, points)[0].select("eid")
 
 
-@query(f"""WITH {TERRAIN} SELECT count(DISTINCT fid) AS n_faces, (SELECT count(DISTINCT v) FROM (SELECT unnest(vids) AS v FROM faces)) AS n_points FROM faces""")
+@query(f"""WITH {TERRAIN}, c AS (SELECT fid, vids[i] AS vid, i - 1 AS pos FROM faces, range(1, 4) AS r(i)), n AS (SELECT vid, count(*) AS n FROM c GROUP BY vid)
+    SELECT fid, pos::INT AS pos, x, y, z, n AS n_faces FROM c JOIN points USING (vid) JOIN n USING (vid)""")
 def c6_weld_soup(spark, d):
+    """Corners of the welded faces, and how many faces share each point."""
     m = clean.weld_soup(fat_faces(I.terrain(spark, d)).select(KEY, "fid", "pts"))
-    return m.faces.agg(F.count("*").alias("n_faces")).join(m.points.agg(F.count("*").alias("n_points")))
+    c = m.faces.select("fid", F.posexplode("vids").alias("pos", "vid"))
+    n = c.groupBy("vid").agg(F.count("*").alias("n_faces"))
+    return c.join(m.points, "vid").join(n, "vid").select("fid", "pos", "x", "y", "z", "n_faces")
 
 
 @query(f"""WITH {CLOUD}, k AS (SELECT vid FROM cloud WHERE x > 25) SELECT c.vid AS old_id, r.n AS new_id FROM cloud c LEFT JOIN (SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS n FROM k) r USING (vid)""")
@@ -342,17 +361,18 @@ def r2_faces_by_mask(spark, d):
     return reindex.faces_by_mask(I.terrain(spark, d), F.col("fid") % 3 == 0).points.select("vid")
 
 
-@query(f"""WITH {CLOUD}, w AS (SELECT o_custkey AS vid, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders WHERE o_orderkey % 50 = 0) SELECT pos AS vid, x, y, z FROM w JOIN cloud USING (vid)""")
+@query(f"""WITH {CLOUD}, w AS (SELECT o_custkey AS vid, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) SELECT pos AS vid, x, y, z FROM w JOIN cloud USING (vid)""")
 def r3_points_by_ids(spark, d):
-    o = I.read(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.lit(0).cast("long").alias(KEY), F.col("o_custkey").alias("vid"), "o_orderkey")
+    o = I.read(spark, d, "orders").select(F.lit(0).cast("long").alias(KEY), F.col("o_custkey").alias("vid"), "o_orderkey")
     wanted = reindex.dense_ids(o, "o_orderkey", "pos")
     return reindex.points_by_ids(I.cloud(spark, d), wanted).select("vid", "x", "y", "z")
 
 
-@query(f"""WITH {TERRAIN} SELECT count(*) AS n, sum(x)::DOUBLE AS sx FROM (SELECT x FROM points UNION ALL SELECT x + 100 FROM points)""")
+@query(f"""WITH {TERRAIN} SELECT fid + k * 4294967296 AS fid, i - 1 AS pos, x + k * 100 AS x, y, z FROM faces, range(2) AS t(k), range(1, 4) AS r(i) JOIN points ON points.vid = faces.vids[i]""")
 def r5_concatenated(spark, d):
     m = I.terrain(spark, d)
-    return reindex.concatenated(m, m, transforms=[None, P.translation(100, 0, 0)]).points.agg(F.count("*").alias("n"), F.sum("x").alias("sx"))
+    f = fat_faces(reindex.concatenated(m, m, transforms=[None, P.translation(100, 0, 0)]))
+    return f.select("fid", F.posexplode("pts").alias("pos", "p")).select("fid", F.col("pos").cast("long").alias("pos"), "p.x", "p.y", "p.z")
 
 
 @query(f"""WITH {TERRAIN}, l AS (SELECT fid // 400 AS label, unnest(vids) AS v FROM faces) SELECT label, count(DISTINCT v) AS n_points FROM l GROUP BY label""")
@@ -383,13 +403,14 @@ def j8_self_pairs(spark, d):
     return spatial.self_pairs_within(I.cloud(spark, d), 3.0).select("id0", "id1")
 
 
-BOXES = f"""{SOUP}, b AS (SELECT mesh_id, fid AS id, least(ax, bx, cx) AS lx, least(ay, by_, cy) AS ly, least(az, bz, cz) AS lz, greatest(ax, bx, cx) AS hx, greatest(ay, by_, cy) AS hy, greatest(az, bz, cz) AS hz FROM tri WHERE fid % 11 = 0)"""
+BOXES = f"""{SOUP}, b AS (SELECT mesh_id, fid AS id, least(ax, bx, cx) AS lx, least(ay, by_, cy) AS ly, least(az, bz, cz) AS lz, least(ax, bx, cx) + (greatest(ax, bx, cx) - least(ax, bx, cx)) / 4 AS hx, least(ay, by_, cy) + (greatest(ay, by_, cy) - least(ay, by_, cy)) / 4 AS hy, least(az, bz, cz) + (greatest(az, bz, cz) - least(az, bz, cz)) / 4 AS hz FROM tri)"""
 
 
 @query(f"""WITH {BOXES} SELECT x.mesh_id, x.id AS id0, y.id AS id1 FROM b x JOIN b y ON x.mesh_id = y.mesh_id AND x.id < y.id AND x.lx <= y.hx AND y.lx <= x.hx AND x.ly <= y.hy AND y.ly <= x.hy AND x.lz <= y.hz AND y.lz <= x.hz""")
 def j6_box_pairs(spark, d):
-    m = I.soup(spark, d)
-    b = spatial.face_boxes(Mesh(m.faces.where("fid % 11 = 0"), m.points))
+    """The low corners of the faces' boxes, a quarter as long."""
+    b = spatial.face_boxes(I.soup(spark, d))
+    b = b.withColumn("high", P.each(lambda x, y: x + (y - x) / 4, F.col("low"), F.col("high")))
     return spatial.box_pairs(b, b).where("id0 < id1")
 
 
@@ -420,10 +441,13 @@ def w1_path_steps(spark, d):
     return _round(e.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("next_value") - F.col("value"))).alias("travelled")), "travelled", digits=4)
 
 
-@query(f"""WITH {TERRAIN}, e AS (SELECT least(vids[i], vids[i % 3 + 1]) AS lo, greatest(vids[i], vids[i % 3 + 1]) AS hi FROM faces, range(1, 4) AS r(i)), b AS (SELECT lo, hi FROM e GROUP BY ALL HAVING count(*) = 1)
-    SELECT true AS closed, count(*) + 1 AS n, min(lo) AS path_id FROM b""")
+@query(f"""WITH {TERRAIN}, e AS (SELECT vids[i] AS a, vids[i % 3 + 1] AS b FROM faces, range(1, 4) AS r(i)), o AS (SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM e AS x WHERE x.a = e.b AND x.b = e.a))
+    SELECT a AS vid, b AS next_vid, true AS closed, (SELECT min(a) FROM o) AS path_id FROM o""")
 def t20_boundary_paths(spark, d):
-    return paths.boundary_paths(I.terrain(spark, d).faces).select("closed", F.size("vids").cast("long").alias("n"), F.col("path_id"))
+    """Every step of the boundary loop."""
+    p = paths.boundary_paths(I.terrain(spark, d).faces)
+    step = F.transform(F.sequence(F.lit(0), F.size("vids") - 2), lambda i: F.struct(F.get("vids", i).alias("vid"), F.get("vids", i + 1).alias("next_vid")))
+    return p.select("closed", "path_id", F.explode(step).alias("s")).select("s.vid", "s.next_vid", "closed", "path_id")
 
 
 @query()
@@ -458,23 +482,33 @@ def x1_isocontour_points(spark, d):
     return _round(p.select(F.col("v.lo").alias("lo"), F.col("v.hi").alias("hi"), "cut", "x", "y"), "x", "y")
 
 
-@query(f"""WITH {TERRAIN} SELECT round(count(*) * 0.5, 4)::DOUBLE AS flat_area FROM faces""")
+CLIPPED = f"""{TERRAIN}, t AS (SELECT f.fid, a.z AS za, b.z AS zb, c.z AS zc FROM faces f JOIN points a ON a.vid = f.vids[1] JOIN points b ON b.vid = f.vids[2] JOIN points c ON c.vid = f.vids[3]),
+    o AS (SELECT fid, list_sort([za, zb, zc]) AS z FROM t), v(cut) AS (VALUES (1.5), (4.5)),
+    -- The part of a triangle below a level, as a share of its area.
+    below AS (SELECT fid, cut, CASE WHEN cut <= z[1] THEN 0 WHEN cut >= z[3] THEN 1 WHEN cut <= z[2] THEN (cut - z[1]) ** 2 / ((z[2] - z[1]) * (z[3] - z[1])) ELSE 1 - (z[3] - cut) ** 2 / ((z[3] - z[1]) * (z[3] - z[2])) END AS s FROM o, v),
+    w AS (SELECT fid, max(s) FILTER (cut = 1.5) AS s0, max(s) FILTER (cut = 4.5) AS s1 FROM below GROUP BY fid),
+    bands AS (SELECT fid, band, CASE band WHEN 0 THEN s0 WHEN 1 THEN s1 - s0 ELSE 1 - s1 END AS share FROM w, range(3) AS r(band))"""
+
+
+@query(f"""WITH {CLIPPED} SELECT fid AS src_fid, band::INT AS band, round(share * 0.5, 6) AS flat_area FROM bands WHERE share > 1e-9""")
 def x2_embedded_isocurves(spark, d):
+    """The area of every piece of every face, seen from above."""
     from tessera.operators import contours
 
     m = I.terrain(spark, d)
     flat = Mesh(m.faces, m.points.withColumns({"scalar": F.col("z"), "z": F.lit(0.0)}))
-    split, _ = contours.embedded_isocurves(flat, [1.5, 4.5])
-    return _round(measures.areas(split).agg(F.sum("area").alias("flat_area")), "flat_area", digits=4)
+    split, labels = contours.embedded_isocurves(flat, [1.5, 4.5])
+    out = measures.areas(split).join(labels, [KEY, "fid"]).select("src_fid", "band", F.col("area").alias("flat_area")).where("flat_area > 5e-10")
+    return _round(out, "flat_area")
 
 
-@query()
+@query(f"""WITH {CLIPPED} SELECT 1 AS band, fid AS src_fid, round(share * 0.5, 6) AS flat_area FROM bands WHERE band = 1 AND share > 1e-9""")
 def x3_isobands(spark, d):
     from tessera.operators import contours
 
     m = I.terrain(spark, d)
-    _, labels = contours.isobands(Mesh(m.faces, m.points.withColumn("scalar", F.col("z"))), [1.5, 4.5], [1])
-    return labels.groupBy("band").agg(F.count("*").alias("n"), F.count_distinct("src_fid").alias("n_src"))
+    split, labels = contours.isobands(Mesh(m.faces, m.points.withColumns({"scalar": F.col("z"), "z": F.lit(0.0)})), [1.5, 4.5], [1])
+    return _round(measures.areas(split).join(labels, [KEY, "fid"]).select("band", "src_fid", F.col("area").alias("flat_area")).where("flat_area > 5e-10"), "flat_area")
 
 
 SEGMENTS = """s AS (SELECT s_suppkey // 100 AS mesh_id, s_suppkey AS id, (s_suppkey * 37 % 101)::DOUBLE AS x0, (s_suppkey * 53 % 103)::DOUBLE AS y0, (s_suppkey * 71 % 37 - 18)::DOUBLE AS dx, (s_suppkey * 29 % 41 - 20)::DOUBLE AS dy FROM supplier)"""
@@ -496,34 +530,69 @@ def x7_planar_arrangement(spark, d):
     return _round(r.groupBy(KEY, "kind").agg(F.count("*").alias("n"), F.sum("signed_area").alias("area")), "area", digits=4)
 
 
-def _raised(m: Mesh) -> Mesh:
-    """The terrain's plane at a height, as a mesh that crosses it."""
-    return Mesh(m.faces, m.points.withColumns({"x": F.col("x") + 0.37, "y": F.col("y") + 0.41, "z": F.lit(4.237)}))
+LEVEL = 4.2371
 
 
-@query()
+def _flat(m: Mesh) -> Mesh:
+    """Two triangles for each cell of the terrain, flat at LEVEL, off its grid and reaching beyond it."""
+    return Mesh(m.faces, m.points.withColumns({"x": F.col("x") * 1.0713 - 1.317, "y": F.col("y") * 1.0717 - 1.119, "z": F.lit(LEVEL)}))
+
+
+ISOLINES = f"""{TERRAIN}, h AS (SELECT f.fid, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz FROM faces f, range(1, 4) AS r(i) JOIN points a ON a.vid = f.vids[i] JOIN points b ON b.vid = f.vids[i % 3 + 1] WHERE (a.z - {LEVEL}) * (b.z - {LEVEL}) < 0),
+    c AS (SELECT fid, ax + ({LEVEL} - az) / (bz - az) * (bx - ax) AS x, ay + ({LEVEL} - az) / (bz - az) * (by_ - ay) AS y FROM h)"""
+
+
+@query(f"""WITH {ISOLINES} SELECT fid AS id0, round(sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2), 5) AS length FROM c GROUP BY fid""")
 def x4_intersection_edges(spark, d):
+    """How long the intersection with a plane of many faces is in each face."""
     from tessera.operators import cut
 
     m = I.terrain(spark, d)
-    e = cut.intersection_edges(m, _raised(m))
-    return _round(e.agg(F.count("*").alias("n"), F.max(F.abs(F.col("p.z") - 4.237)).alias("off")), "off")
+    e = cut.intersection_edges(m, _flat(m))
+    return _round(e.groupBy("id0").agg(F.sum(P.distance(F.col("p"), F.col("q"))).alias("length")), "length", digits=5)
 
 
-@query()
-def x5_self_intersection_edges(spark, d):
+@query(f"""WITH {ISOLINES}, e AS (SELECT fid, ax, ay, bx, by_ FROM h), t AS (SELECT f.fid, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz FROM faces f JOIN points a ON a.vid = f.vids[1] JOIN points b ON b.vid = f.vids[2] JOIN points c ON c.vid = f.vids[3]),
+    o AS (SELECT fid, list_sort([az, bz, cz]) AS z, sqrt(((by_ - ay) * (cz - az) - (bz - az) * (cy - ay)) ** 2 + ((bz - az) * (cx - ax) - (bx - ax) * (cz - az)) ** 2 + ((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) ** 2) / 2 AS area FROM t),
+    s AS (SELECT fid, area, CASE WHEN {LEVEL} <= z[1] THEN 0 WHEN {LEVEL} >= z[3] THEN 1 WHEN {LEVEL} <= z[2] THEN ({LEVEL} - z[1]) ** 2 / ((z[2] - z[1]) * (z[3] - z[1])) ELSE 1 - (z[3] - {LEVEL}) ** 2 / ((z[3] - z[1]) * (z[3] - z[2])) END AS below FROM o)
+    SELECT fid AS src_fid, round(area * below, 4) AS below, round(area * (1 - below), 4) AS above FROM s""")
+def x8_embedded_curves(spark, d):
+    """The areas of each face's pieces on either side of the plane: no piece crosses it."""
     from tessera.operators import cut
 
-    return cut.self_intersection_edges(I.soup(spark, d)).groupBy(KEY).agg(F.count("*").alias("n"))
+    m = I.terrain(spark, d)
+    split, labels = cut.embedded_curves(m, _flat(m))
+    f = fat_faces(split).select(KEY, "fid", P.area(F.col("pts")).alias("area"), P.centroid(F.col("pts"))["z"].alias("z")).join(labels, [KEY, "fid"])
+    side = lambda c: F.sum(F.when(c, F.col("area")).otherwise(0.0))
+    return _round(f.groupBy("src_fid").agg(side(F.col("z") < LEVEL).alias("below"), side(F.col("z") >= LEVEL).alias("above")), "below", "above", digits=4)
 
 
-@query()
-def x8_embedded_curves(spark, d):
+@query(f"""WITH {TERRAIN}, e AS (SELECT least(vids[i], vids[i % 3 + 1]) AS lo, greatest(vids[i], vids[i % 3 + 1]) AS hi FROM faces, range(1, 4) AS r(i)), b AS (SELECT lo, hi FROM e GROUP BY ALL HAVING count(*) = 1)
+    SELECT lo, hi, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2), 5) AS length FROM b JOIN points p ON p.vid = lo JOIN points q ON q.vid = hi""")
+def x8_embedded_boundary(spark, d):
+    """After embedding, the boundary is still the outer one and no crack has opened: its pieces, gathered by the old boundary edges."""
     from tessera.operators import cut
 
     m = I.terrain(spark, d)
-    split, labels = cut.embedded_curves(m, _raised(m))
-    return labels.groupBy("src_fid").agg(F.count("*").alias("pieces"))
+    split, _ = cut.embedded_curves(m, _flat(m))
+    at = lambda points, v, n: points.select(F.col("vid").alias(v), P.point().alias(n))
+    new = topology.boundary_edges(split.faces).join(at(split.points, "v0", "p"), "v0").join(at(split.points, "v1", "q"), "v1")
+    new = new.select(F.monotonically_increasing_id().alias("id"), F.lit(0).cast("long").alias(KEY), "p", "q", P.scale(P.add(F.col("p"), F.col("q")), 0.5).alias("c"))
+    old = topology.boundary_edges(m.faces).join(at(m.points, "v0", "a"), "v0").join(at(m.points, "v1", "b"), "v1").select(KEY, F.least("v0", "v1").alias("lo"), F.greatest("v0", "v1").alias("hi"), "a", "b").withColumn("id", F.monotonically_increasing_id())
+    new, old = _table(new), _table(old)
+    low = lambda f, d_: P.each(lambda x, y: f(x, y) + d_, F.col("a"), F.col("b"))
+    met = spatial.box_pairs(new.select(KEY, "id", F.col("c").alias("low"), F.col("c").alias("high")), old.select(KEY, "id", low(F.least, -1e-6).alias("low"), low(F.greatest, 1e-6).alias("high")))
+    both = met.join(new.select(F.col("id").alias("id0"), "p", "q", "c"), "id0").join(old.select(F.col("id").alias("id1"), "lo", "hi", "a", "b"), "id1")
+    both = both.where(P.distance2(F.col("c"), P.closest_on_segment(F.col("c"), F.col("a"), F.col("b"))) < 1e-12)
+    out = new.join(both.select(F.col("id0").alias("id"), "lo", "hi"), "id", "left")  # a crack has no old edge
+    return _round(out.groupBy("lo", "hi").agg(F.sum(P.distance(F.col("p"), F.col("q"))).alias("length")), "length", digits=5)
+
+
+@query()
+def x5_self_intersection_edges(spark, d):
+    from tessera.operators import cut
+
+    return cut.self_intersection_edges(I.soup(spark, d)).groupBy(KEY).agg(F.count("*").alias("n"))
 
 
 def _solids(spark, d) -> tuple[Mesh, Mesh]:
@@ -545,25 +614,44 @@ def x10_boolean_volumes(spark, d):
     from tessera.operators import cut
 
     a, b = _solids(spark, d)
-    inner = measures.volume(cut.boolean(a, b, "intersection")[0]).select(KEY, F.col("signed_volume").alias("inner_volume"))
-    whole = measures.volume(cut.boolean(a, b, "union")[0]).select(KEY, F.col("signed_volume").alias("union_volume"))
+    (inner, _), (whole, _) = cut.booleans(a, b, "intersection", "union")
+    inner = measures.volume(inner).select(KEY, F.col("signed_volume").alias("inner_volume"))
+    whole = measures.volume(whole).select(KEY, F.col("signed_volume").alias("union_volume"))
     return _round(inner.join(whole, KEY), "inner_volume", "union_volume", digits=5)
 
 
-@query()
+#: Of two similar tetrahedra one reaches into the other by its corner: what they share has three sides of the second and the slope of the first.
+SIDES = """p AS (SELECT s_suppkey AS mesh_id, (1 + s_suppkey % 7) ** 2 AS w, (1 - 0.17 * 2.4) ** 2 AS k FROM supplier), a(origin, side, area) AS (SELECT * FROM (VALUES (0, 'inside', 'slope'), (0, 'outside', 'rest'), (1, 'inside', 'walls'), (1, 'outside', 'rest'))),
+    s AS (SELECT mesh_id, origin, side, w * CASE WHEN origin = 0 AND side = 'inside' THEN k * sqrt(3) / 2 WHEN origin = 0 THEN 1.5 + sqrt(3) / 2 - k * sqrt(3) / 2 WHEN side = 'inside' THEN k * 1.5 ELSE 1.5 + sqrt(3) / 2 - k * 1.5 END AS area FROM p, a)"""
+
+
+@query(f"""WITH {SIDES} SELECT mesh_id, origin::INT AS origin, side, round(area, 5) AS area FROM s""")
 def x9_arrangement(spark, d):
     from tessera.operators import cut
 
-    return cut.arrangement(*_solids(spark, d)).groupBy("origin", "side").agg(F.count("*").alias("n"))
+    out = cut.arrangement(*_solids(spark, d)).groupBy(KEY, "origin", "side").agg(F.sum(P.area(F.col("pts"))).alias("area"))
+    return _round(out, "area", digits=5)
 
 
-@query()
+@query(f"""WITH {SIDES} SELECT mesh_id, origin::INT AS origin, round(area, 5) AS area FROM s WHERE side = 'outside'""")
 def x11_boolean_pair(spark, d):
     from tessera.operators import cut
 
     halves = cut.boolean_pair(*_solids(spark, d), "union")
-    n = [m.faces.agg(F.count("*").alias("n")).withColumn("origin", F.lit(k)) for k, m in enumerate(halves)]
-    return n[0].unionByName(n[1])
+    n = [measures.total_area(m).select(KEY, F.lit(k).alias("origin"), "area") for k, m in enumerate(halves)]
+    return _round(n[0].unionByName(n[1]), "area", digits=5)
+
+
+@query("""SELECT s_suppkey AS mesh_id, op, true AS is_closed, true AS is_manifold, 0::BIGINT AS n_boundary FROM supplier, (VALUES ('union'), ('intersection'), ('left_difference'), ('right_difference')) AS o(op)""")
+def x10_boolean_closedness(spark, d):
+    """Every result of every operation is closed and manifold."""
+    from tessera.operators import cut
+
+    out = []
+    for op, (m, _) in zip(cut.KEEP, cut.booleans(*_solids(spark, d), *cut.KEEP), strict=True):
+        n = topology.edge_counts(m.faces).groupBy(KEY).agg(F.count_if(F.col("n_faces") == 1).alias("n_boundary"))
+        out.append(topology.closedness(m.faces).join(n, KEY).select(KEY, F.lit(op).alias("op"), "is_closed", "is_manifold", "n_boundary"))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 @query("""WITH q AS (SELECT s_suppkey AS mesh_id, 1 + s_suppkey % 7 AS w FROM supplier), p AS (SELECT mesh_id, w, i, (i * 13 % 50) / 40.0 * w AS x, (i * 29 % 50) / 40.0 * w AS y, (i * 7 % 50) / 40.0 * w AS z FROM q, range(20) AS r(i))
@@ -589,12 +677,18 @@ def g11_laplacian(spark, d):
     return _round(out.withColumns({a: F.col(a) + 1e-8 for a in P.AXES}), "x", "y", "z").select("vid", "x", "y", "z")  # off the ties
 
 
-@query()
+STEP = "SELECT p.vid, p.x + {w} * (m.x - p.x) AS x, p.y + {w} * (m.y - p.y) AS y, p.z + {w} * (m.z - p.z) AS z FROM {p} p JOIN (SELECT l.a, avg(q.x) AS x, avg(q.y) AS y, avg(q.z) AS z FROM l JOIN {p} q ON q.vid = l.b GROUP BY l.a) m ON m.a = p.vid"
+GROW = 1 / (0.1 - 1 / 0.5)
+
+
+@query(f"""WITH {TERRAIN}, e AS (SELECT vids[i] AS a, vids[i % 3 + 1] AS b FROM faces, range(1, 4) AS r(i)), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    p1 AS ({STEP.format(w=0.5, p="points")}), p2 AS ({STEP.format(w=GROW, p="p1")}), p3 AS ({STEP.format(w=0.5, p="p2")}), p4 AS ({STEP.format(w=GROW, p="p3")}) SELECT vid, round(z + 1e-8, 4) AS z FROM p4""")
 def g12_taubin(spark, d):
     from tessera.operators import smoothing
 
     m = I.terrain(spark, d)
-    return _round(smoothing.taubin(m.points, topology.vertex_link(m.faces), 2), "z", digits=4).select("vid", "z")
+    out = smoothing.taubin(m.points, topology.vertex_link(m.faces), 2)
+    return _round(out.withColumn("z", F.col("z") + 1e-8), "z", digits=4).select("vid", "z")
 
 
 @query()
@@ -604,42 +698,65 @@ def g7_g9_shape_histogram(spark, d):
     return measures.shape_histogram(curvature.shape_index(curvature.principal_curvatures(I.terrain(spark, d)))).drop(KEY)
 
 
-@query(f"""WITH {CLOUD} SELECT 0::BIGINT AS mesh_id, 0.8::DOUBLE AS m0, -0.6::DOUBLE AS m1, 3.0::DOUBLE AS m3 FROM cloud GROUP BY mesh_id""")
-def g1_rigid_alignment(spark, d):
+def _fitted(spark, d, target, fit) -> DataFrame:
+    """The cloud, moved by what fit finds between it and the target: one row a point."""
     from tessera.operators import registration
 
     c = I.cloud(spark, d)
+    out = registration.transformed(c, fit(registration, c, target))
+    return _round(out.withColumns({a: F.col(a) + 1e-9 for a in P.AXES}), *P.AXES, digits=5).select("vid", *P.AXES)  # off the ties
+
+
+@query(f"""WITH {CLOUD} SELECT vid, round(0.8 * x - 0.6 * y + 3 + 1e-9, 5) AS x, round(0.6 * x + 0.8 * y + 1e-9, 5) AS y, round(z + 1e-9, 5) AS z FROM cloud""")
+def g1_rigid_alignment(spark, d):
     t = P.compose(P.translation(3, 0, 0), P.rotation((0, 0, 1), 0.6435011087932844))
-    moved = c.select(KEY, "vid", P.transform_point(P.point(), t).alias("p")).select(KEY, "vid", "p.x", "p.y", "p.z")
-    m = registration.fit_rigid(c, moved)
-    return _round(m.select(KEY, *[F.get("m", F.lit(i)).alias(f"m{i}") for i in (0, 1, 3)]), "m0", "m1", "m3")
+    moved = I.cloud(spark, d).select(KEY, "vid", P.transform_point(P.point(), t).alias("p")).select(KEY, "vid", "p.x", "p.y", "p.z")
+    return _fitted(spark, d, moved, lambda r, c, q: r.fit_rigid(c, q))
 
 
-@query(f"""WITH {CLOUD} SELECT 0::BIGINT AS mesh_id, 2.5::DOUBLE AS scale FROM cloud GROUP BY mesh_id""")
+@query(f"""WITH {CLOUD} SELECT vid, round(x * 2.5 + 1e-9, 5) AS x, round(y * 2.5 + 1e-9, 5) AS y, round(z * 2.5 + 1e-9, 5) AS z FROM cloud""")
 def g3_similarity_alignment(spark, d):
-    from tessera.operators import registration
+    moved = I.cloud(spark, d).withColumns({a: F.col(a) * 2.5 for a in P.AXES})
+    return _fitted(spark, d, moved, lambda r, c, q: r.fit_similarity(c, q))
 
-    c = I.cloud(spark, d)
-    m = registration.fit_similarity(c, c.withColumns({a: F.col(a) * 2.5 for a in P.AXES}))
-    return _round(m.select(KEY, F.get("m", F.lit(0)).alias("scale")), "scale")
 
+SHIFTED = "WITH {cloud} SELECT vid, round(x + {by} + 1e-9, 5) AS x, round(y + 1e-9, 5) AS y, round(z + 1e-9, 5) AS z FROM cloud"
 
-@query()
-def g4_obb_alignment(spark, d):
-    from tessera.operators import registration
 
-    c = I.cloud(spark, d)
-    m = registration.fit_obb(c, c.withColumns({"x": F.col("x") + 5}))
-    return _round(m.select(KEY, F.get("m", F.lit(3)).alias("dx")), "dx", digits=4)
+@query(SHIFTED.format(cloud=CLOUD, by=5))
+def g4_obb_alignment(spark, d):
+    moved = I.cloud(spark, d).withColumns({"x": F.col("x") + 5})
+    return _fitted(spark, d, moved, lambda r, c, q: r.fit_obb(c, q))
 
 
-@query()
+@query(SHIFTED.format(cloud=CLOUD, by=0.01))
 def g5_knn_alignment(spark, d):
-    from tessera.operators import registration
+    moved = I.cloud(spark, d).withColumns({"x": F.col("x") + 0.01})
+    return _fitted(spark, d, moved, lambda r, c, q: r.fit_knn(c, q, k=1))
 
-    c = I.cloud(spark, d)
-    m = registration.fit_knn(c, c.withColumns({"x": F.col("x") + 0.01}), k=1)
-    return _round(m.select(KEY, F.get("m", F.lit(3)).alias("dx")), "dx", digits=4)
+
+@query(SHIFTED.format(cloud=CLOUD, by=0.01))
+def g2_point_to_plane(spark, d):
+    """Normals that point every way fix all six unknowns."""
+
+    def fit(r, c, q):
+        both = c.select(KEY, "vid", P.point().alias("p")).join(q.select(KEY, "vid", P.point().alias("q")), [KEY, "vid"])
+        k = F.col("vid")
+        n = P.normalized(P.vec((k % 7 - 3).cast("double"), (k % 11 - 5).cast("double"), (k % 13 - 5.5).cast("double")))
+        return r.fit_point_to_plane(both.select(KEY, "p", "q", n.alias("n"), F.lit(1.0).alias("w")))
+
+    return _fitted(spark, d, I.cloud(spark, d).withColumns({"x": F.col("x") + 0.01}), fit)
+
+
+@query(SHIFTED.format(cloud=CLOUD, by=0.01))
+def g6_icp(spark, d):
+    """Iterated alignment of the cloud with itself, moved by less than its points are apart."""
+
+    def fit(r, c, q):
+        m = r.fit_icp(c, q, rounds=3, samples=2000)
+        return c.select(KEY).distinct().withColumn("m", F.array(*[F.lit(float(x)) for x in m.ravel()]))
+
+    return _fitted(spark, d, I.cloud(spark, d).withColumns({"x": F.col("x") + 0.01}), fit)
 
 
 @query(f"""WITH {TERRAIN} SELECT fid * 4096 AS fid, fid AS src_fid FROM faces""")
@@ -666,11 +783,11 @@ def j12_index_upkeep(spark, d):
     return spatial.update_index(index, keep, dirty, 10.0).select("id", "cx")
 
 
-@query(f"""WITH {TERRAIN} SELECT s_suppkey AS qid, round(min((p.x - (s_suppkey * 7 % 48)) ** 2 + (p.y - (s_suppkey * 13 % 20)) ** 2), 6) AS most FROM supplier, points p WHERE s_suppkey % 4 = 0 GROUP BY s_suppkey""")
+@query(f"""WITH {TERRAIN} SELECT s_suppkey AS qid, round(min((p.x - (s_suppkey * 7 % 48)) ** 2 + (p.y - (s_suppkey * 13 % 20)) ** 2), 6) AS most FROM supplier, points p GROUP BY s_suppkey""")
 def j1_nearest_vertex_in_plane(spark, d):
     flat = I.terrain_points(spark, d).withColumn("z", F.lit(0.0))
     s = F.col("s_suppkey")
-    q = I.read(spark, d, "supplier").where("s_suppkey % 4 = 0").select(F.lit(0).cast("long").alias(KEY), s.alias("qid"), (s * 7 % 48).cast("double").alias("x"), (s * 13 % 20).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    q = I.read(spark, d, "supplier").select(F.lit(0).cast("long").alias(KEY), s.alias("qid"), (s * 7 % 48).cast("double").alias("x"), (s * 13 % 20).cast("double").alias("y"), F.lit(0.0).alias("z"))
     return _round(spatial.knn(flat, q, 1).select("qid", F.col("d2").alias("most")), "most")
 
 

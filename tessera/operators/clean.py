@@ -93,10 +93,12 @@ def weld_soup(soup: DataFrame, tolerance: float = 0.0) -> Mesh:
     """Faces that carry their own points (mesh_id, fid, pts) as an indexed mesh.
 
     A corner's number is fid * 2**16 + its place; equal corners get the smallest.
+    Faces with more corners, or ids too large for that, are an error.
     The exact weld groups corners by place once and rebuilds faces once.
     """
     c = soup.select(KEY, "fid", F.posexplode("pts").alias("pos", "p"))
-    c = c.select(KEY, "fid", "pos", (F.shiftleft("fid", 16) + F.col("pos")).alias("vid"), "p.x", "p.y", "p.z")
+    corner = F.when((F.col("pos") < 1 << 16) & (F.abs("fid") < 1 << 46), F.shiftleft("fid", 16) + F.col("pos")).otherwise(F.raise_error(F.lit("a face's id or corners are too many to number its corners")).cast("long"))
+    c = c.select(KEY, "fid", "pos", corner.alias("vid"), "p.x", "p.y", "p.z")
     m = point_map(c, tolerance)
     points = c.join(m.where("old_id = new_id").select(KEY, F.col("old_id").alias("vid")), [KEY, "vid"], "left_semi")
     to = c.select(KEY, "fid", "pos", F.col("vid").alias("old_id")).join(m, [KEY, "old_id"])

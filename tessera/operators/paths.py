@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import primitives as P
 from tessera.model import KEY
 from tessera.operators.graph import chains, connected_components
+from tessera.operators.reindex import dense_ids
 from tessera.operators.topology import boundary_edges
 from tessera.sources.scratch import table
 
@@ -48,56 +46,75 @@ def connect_edges(edges: DataFrame) -> DataFrame:
     return _gather(out.withColumnsRenamed({"u": "v0", "v": "v1"}))
 
 
-def trails(edges: list[tuple[int, int]]) -> list[list[int]]:
-    """The fewest walks that use each edge of a connected directed graph once.
-
-    Extra edges from vertices where more edges arrive to such where more leave
-    make every vertex even; one circuit through all is then cut at the extras.
-    """
-    out, excess = defaultdict(list), defaultdict(int)
-    for a, b in sorted(edges, reverse=True):
-        out[a].append((b, True))
-        excess[a] += 1
-        excess[b] -= 1
-    short = [v for v in sorted(excess) for _ in range(-excess[v])]
-    over = [v for v in sorted(excess) for _ in range(excess[v])]
-    for a, b in zip(short, over, strict=True):
-        out[a].insert(0, (b, False))
-    stack, circuit = [(over[0] if over else min(out), True)], []
-    while stack:  # the second part says whether the step to the vertex is a real edge
-        v = stack[-1][0]
-        if out[v]:
-            stack.append(out[v].pop())
-        else:
-            circuit.append(stack.pop())
-    circuit.reverse()
-    found, part = [], [circuit[0][0]]
-    for v, real in circuit[1:]:
-        if real:
-            part.append(v)
-        else:
-            found.append(part)
-            part = [v]
-    found.append(part)
-    if short and len(found) > 1:  # the circuit's end runs on at its start
-        found[0] = found.pop() + found[0][1:] if found[-1][-1] == found[0][0] else found[0]
-    return [p for p in found if len(p) > 1]
+def _numbered(rows: DataFrame, key: list[str], order: str, name: str) -> DataFrame:
+    """rows with a number from 0 on within each key, in order; no key has to fit one task."""
+    keyed = rows.withColumnRenamed(KEY, "_mesh").withColumn(KEY, F.struct(*["_mesh" if c == KEY else c for c in key]))
+    return dense_ids(keyed, order, name).drop(KEY).withColumnRenamed("_mesh", KEY)
 
 
-def eulerian_paths(edges: DataFrame) -> DataFrame:
-    """Directed edges (mesh_id, eid, v0, v1) as edge-disjoint paths that use each once, loops where they can be.
+def eulerian_steps(edges: DataFrame) -> DataFrame:
+    """Directed edges (mesh_id, eid, v0, v1) placed on the fewest edge-disjoint walks that use each once: mesh_id, eid, v0, v1, path_id, pos, closed.
 
-    Components are found across tasks; each is then walked in one task
-    (Hierholzer), starting where more edges leave than arrive.
+    Extra edges from vertices where more edges arrive to such where more leave
+    make every vertex even. Arriving and leaving edges are paired by number at
+    each vertex, which makes circuits. Circuits that meet at a vertex are joined
+    by exchanging successors there: each goes to the smallest circuit it meets,
+    round by round, until one is left of each component. Walks are what is left
+    between the extra edges. path_id is a walk's smallest eid. All of it is
+    joins, sorts and counts; no vertex, circuit or component has to fit a task.
     """
-    v = connected_components(edges.select(F.struct(KEY, F.col("v0").alias("id")).alias("src"), F.struct(KEY, F.col("v1").alias("id")).alias("dst")))
-    where = v.select(F.col(f"node.{KEY}").alias(KEY), F.col("node.id").alias("v0"), F.col("label.id").alias("part"))
+    e = table(edges.select(KEY, "eid", "v0", "v1"))
+    kind = e.schema["eid"].dataType
+    part = connected_components(e.select(F.struct(KEY, F.col("v0").alias("id")).alias("src"), F.struct(KEY, F.col("v1").alias("id")).alias("dst")))
+    part = part.select(F.col(f"node.{KEY}").alias(KEY), F.col("node.id").alias("vid"), F.col("label.id").alias("part"))
+    ways = e.select(KEY, F.explode(F.array(F.struct(F.col("v0").alias("vid"), F.lit(1).alias("d")), F.struct(F.col("v1").alias("vid"), F.lit(-1).alias("d")))).alias("w"))
+    odd = ways.groupBy(KEY, F.col("w.vid").alias("vid")).agg(F.sum("w.d").alias("d")).where("d <> 0").join(part, [KEY, "vid"])
+    units = table(odd.withColumn("u", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("d")))).withColumn("o", F.struct("vid", "u")))
+    short, over = (_numbered(units.where(c).select(KEY, "part", "vid", "o"), [KEY, "part"], "o", "n") for c in ("d < 0", "d > 0"))
+    extra = short.select(KEY, "part", "n", F.col("vid").alias("v0")).join(over.select(KEY, "part", "n", F.col("vid").alias("v1")), [KEY, "part", "n"])
+    none = F.lit(None)
+    every = e.select(KEY, "eid", "v0", "v1", F.lit(False).alias("extra"), none.cast("long").alias("p"), none.cast("long").alias("n"))
+    every = every.unionByName(extra.select(KEY, none.cast(kind).alias("eid"), "v0", "v1", F.lit(True).alias("extra"), F.col("part").cast("long").alias("p"), F.col("n").cast("long").alias("n")))
+    every = every.withColumn("o", F.struct("extra", "eid", "p", "n"))
+    every = table(_numbered(every, [KEY], "o", "i").select(KEY, "i", "eid", "v0", "v1", "extra"))
+    arriving = _numbered(every.select(KEY, F.col("v1").alias("v"), "i"), [KEY, "v"], "i", "k")
+    leaving = _numbered(every.select(KEY, F.col("v0").alias("v"), F.col("i").alias("j")), [KEY, "v"], "j", "k")
+    pairs = table(arriving.join(leaving, [KEY, "v", "k"]).drop("k"))
+    item = lambda c: F.struct(F.col(KEY), F.col(c).alias("id"))
+    named = connected_components(pairs.select(item("i").alias("src"), item("j").alias("dst")))
+    state = table(pairs.join(named.select(F.col(f"node.{KEY}").alias(KEY), F.col("node.id").alias("i"), F.col("label.id").alias("c")), [KEY, "i"]))
+    while True:
+        low = state.groupBy(KEY, "v").agg(F.min("c").alias("m"), F.max("c").alias("x")).where("m <> x").drop("x")
+        hooks = state.join(low, [KEY, "v"]).where("c > m").groupBy(KEY, "c").agg(F.min(F.struct("m", "v")).alias("h"))
+        hooks = table(hooks.select(KEY, "c", "h.m", "h.v"))
+        if hooks.isEmpty():
+            break
+        joined = hooks.select(KEY, "v", "c").unionByName(hooks.select(KEY, "v", F.col("m").alias("c")).distinct())
+        chosen = state.join(joined, [KEY, "v", "c"]).groupBy(KEY, "v", "c").agg(F.min(F.struct("i", "j")).alias("r")).select(KEY, "v", "c", "r.i", "r.j")
+        chosen = table(_numbered(chosen, [KEY, "v"], "c", "k"))
+        # Each chosen edge goes on where the next one of its vertex did.
+        size = chosen.groupBy(KEY, "v").agg(F.count("*").alias("m"))
+        after = chosen.select(KEY, "v", F.col("k").alias("to"), F.col("j").alias("j2"))
+        moved = chosen.join(size, [KEY, "v"]).withColumn("to", (F.col("k") + 1) % F.col("m")).join(after, [KEY, "v", "to"]).select(KEY, "i", "j2")
+        roots = connected_components(hooks.select(item("c").alias("src"), item("m").alias("dst")))
+        roots = roots.select(F.col(f"node.{KEY}").alias(KEY), F.col("node.id").alias("c"), F.col("label.id").alias("c2"))
+        state = state.join(moved, [KEY, "i"], "left").join(roots, [KEY, "c"], "left")
+        state = table(state.select(KEY, "i", "v", F.coalesce("j2", "j").alias("j"), F.coalesce("c2", "c").alias("c")))
+    real = every.where("NOT extra").drop("extra")
+    on = real.select(KEY, F.col("i").alias("j"), F.lit(True).alias("go"))
+    links = real.select(KEY, "i").join(state.select(KEY, "i", "j"), [KEY, "i"]).join(on, [KEY, "j"], "left")
+    placed = chains(table(links.select(item("i").alias("item"), F.when(F.col("go"), item("j")).alias("next"))))
+    placed = placed.select(F.col(f"item.{KEY}").alias(KEY), F.col("item.id").alias("i"), F.col("label.id").alias("first"), "pos", "closed")
+    label = real.select(KEY, F.col("i").alias("first"), F.col("eid").alias("path_id"))
+    out = table(placed.join(real, [KEY, "i"]).join(label, [KEY, "first"]))
+    # A walk that comes back to its start is closed too.
+    ends = out.groupBy(KEY, "path_id").agg((F.min(F.struct("pos", "v0"))["v0"] == F.max(F.struct("pos", "v1"))["v1"]).alias("loop"))
+    return out.join(ends, [KEY, "path_id"]).select(KEY, "eid", "v0", "v1", "path_id", "pos", (F.col("closed") | F.col("loop")).alias("closed"))
 
-    def walk(t: pd.DataFrame) -> pd.DataFrame:
-        found = trails(list(zip(t["v0"].tolist(), t["v1"].tolist(), strict=True)))
-        return pd.DataFrame({KEY: t[KEY].iloc[0], "path_id": [min(p) for p in found], "vids": found, "closed": [p[0] == p[-1] for p in found]})
 
-    return edges.join(where, [KEY, "v0"]).groupBy(KEY, "part").applyInPandas(walk, f"{KEY} long, path_id long, vids array<long>, closed boolean")
+def eulerian_paths(edges: DataFrame) -> DataFrame:
+    """The walks of eulerian_steps as paths, a row each: for walks that fit one."""
+    return _gather(eulerian_steps(edges).withColumnRenamed("path_id", "label"))
 
 
 def boundary_paths(faces: DataFrame) -> DataFrame:
@@ -119,8 +136,11 @@ def boundary_paths(faces: DataFrame) -> DataFrame:
     links = line.join(on, [KEY, "v1"], "left").select(F.struct(KEY, F.col("v0").alias("id")).alias("item"), F.when(F.col("_go"), F.struct(F.col(KEY), F.col("v1").alias("id"))).alias("next"))
     placed = chains(links).select(F.col(f"item.{KEY}").alias(KEY), F.col("item.id").alias("v0"), F.col("label.id").alias("label"), "pos", "closed")
     loops = _gather(placed.join(line, [KEY, "v0"]))
-    rest = e.where("NOT simple").select(KEY, F.col("v0").alias("eid"), "v0", "v1")
-    return loops.unionByName(eulerian_paths(rest))
+    rest = table(e.where("NOT simple").select(KEY, F.struct("v0", "v1").alias("eid"), "v0", "v1"))
+    if rest.isEmpty():
+        return loops
+    pinched = eulerian_paths(rest)
+    return loops.unionByName(pinched.select(KEY, F.col("path_id.v0").alias("path_id"), "vids", "closed"))
 
 
 def planar_regions(edges: DataFrame, points: DataFrame) -> DataFrame:
@@ -181,7 +201,3 @@ def ordered_steps(rows: DataFrame, path: str, order: list[str], *columns: str) -
     """Each row of an ordered path with the next one's columns as next_<column>."""
     w = Window.partitionBy(path).orderBy(*order)
     return rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
-
-
-def every_nth(rows: DataFrame, id_col: str, n: int, start: int = 0) -> DataFrame:
-    return rows.where(F.pmod(F.col(id_col) - start, F.lit(n)) == 0)

@@ -48,7 +48,7 @@ def arrangement(edges: DataFrame, points: DataFrame, tolerance: float = 1e-9) ->
     stops = table(stops.withColumn("vid", F.xxhash64("x", "y").bitwiseAND((1 << 62) - 1)))
     w = Window.partitionBy(KEY, "eid").orderBy("k", "x", "y")
     parts = stops.withColumns({"v1": F.lead("vid").over(w), "_n": F.row_number().over(w)}).where("v1 IS NOT NULL")
-    parts = parts.select(KEY, (F.col("eid") * (1 << 20) + F.col("_n")).alias("eid"), F.col("vid").alias("v0"), "v1")
+    parts = parts.select(KEY, F.when((F.col("_n") < 1 << 20) & (F.abs("eid") < 1 << 42), F.col("eid") * (1 << 20) + F.col("_n")).otherwise(F.raise_error(F.lit("an edge's id or pieces are too many to number its pieces")).cast("long")).alias("eid"), F.col("vid").alias("v0"), "v1")
     places = stops.groupBy(KEY, "vid").agg(F.min("x").alias("x"), F.min("y").alias("y")).withColumn("z", F.lit(0.0))
     out, kept, _ = clean_edges(parts, places)
     return out, kept

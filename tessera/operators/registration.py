@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
@@ -72,10 +72,10 @@ def transformed(points: DataFrame, matrices: DataFrame) -> DataFrame:
     return moved.withColumns({a: F.col("_p")[a] for a in AXES}).select(*points.columns)
 
 
-def _nth(points: DataFrame, most: int) -> DataFrame:
-    """About most points, by a stride on vid."""
-    n = points.count()
-    return points.where(F.pmod(F.col("vid"), F.lit(max(1, -(-n // most)))) == 0)
+def sampled(points: DataFrame, most: int, turn: int = 0) -> DataFrame:
+    """The most points of each mesh, or all of fewer, with the smallest hashes of vid and turn, numbered from 0 on as _n."""
+    w = Window.partitionBy(KEY).orderBy(F.xxhash64("vid", F.lit(turn)), "vid")
+    return points.withColumn("_n", F.row_number().over(w) - 1).where(F.col("_n") < most)
 
 
 def fit_obb(source: DataFrame, target: DataFrame, sample: int = 100) -> DataFrame:
@@ -98,8 +98,8 @@ def fit_obb(source: DataFrame, target: DataFrame, sample: int = 100) -> DataFram
     s = obb(source).withColumnRenamed("axes", "a")
     t = obb(target).select(KEY, F.col("axes").alias("b"), *[F.col(f"o{a}").alias(f"p{a}") for a in AXES], *[F.col(f"e{k}").alias(f"f{k}") for k in range(3)])
     four = table(s.join(t, KEY).mapInPandas(run, f"{KEY} long, k int, m array<double>"))
-    tried = _nth(source, sample).join(four, KEY).withColumn("_p", P.transform_point(P.point(), F.col("m")))
-    probes = tried.select(KEY, (F.col("vid") * 4 + F.col("k")).alias("qid"), *[F.col("_p")[a].alias(a) for a in AXES])
+    tried = sampled(source, sample).join(four, KEY).withColumn("_p", P.transform_point(P.point(), F.col("m")))
+    probes = tried.select(KEY, (F.col("_n") * 4 + F.col("k")).cast("long").alias("qid"), *[F.col("_p")[a].alias(a) for a in AXES])
     error = knn(target, probes, 1).groupBy(KEY, F.pmod("qid", F.lit(4)).cast("int").alias("k")).agg(F.sum("d2").alias("e"))
     best = error.groupBy(KEY).agg(F.min(F.struct("e", "k")).alias("b")).select(KEY, F.col("b.k").alias("k"))
     return four.join(best, [KEY, "k"]).select(KEY, "m")
@@ -137,12 +137,10 @@ def fit_icp(source: DataFrame, target: DataFrame, rounds: int = 30, samples: int
     Every round moves a bounded sample of the source; the target stays where it
     is. The rounds end when the smoothed mean distance no longer falls.
     """
-    n = max(1, source.count())
-    stride = max(1, -(-n // samples))
     source, target = table(source), table(target)
     total, mean = np.eye(4), None
     for i in range(rounds):
-        part = source.where(F.pmod(F.col("vid") - i, F.lit(stride)) == 0)
+        part = sampled(source, samples, i)
         matrix = source.sparkSession.createDataFrame([(total.ravel().tolist(),)], "m array<double>")
         moved = part.join(F.broadcast(matrix)).withColumn("_p", P.transform_point(P.point(), F.col("m")))  # one row
         moved = table(moved.select(KEY, "vid", *[F.col("_p")[a].alias(a) for a in AXES]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import primitives as P
@@ -23,8 +23,8 @@ def dense_ids(rows: DataFrame, order: str, name: str = "new_id") -> DataFrame:
     at = table(rows.orderBy(KEY, order).withColumn("_k", F.monotonically_increasing_id()))
     part = F.shiftright("_k", 33)
     stretch = at.groupBy(KEY, part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_k").alias("_first"))
-    before = stretch.alias("s").join(stretch.alias("t"), (F.col(f"s.{KEY}") == F.col(f"t.{KEY}")) & (F.col("t._part") < F.col("s._part")), "left")
-    before = before.groupBy(F.col(f"s.{KEY}").alias(KEY), F.col("s._part").alias("_part"), F.col("s._first").alias("_first")).agg(F.coalesce(F.sum("t._n"), F.lit(0)).alias("_before"))
+    earlier = Window.partitionBy(KEY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    before = stretch.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     return at.withColumn("_part", part).join(before, [KEY, "_part"]).withColumn(name, F.col("_before") + F.col("_k") - F.col("_first")).drop("_k", "_part", "_first", "_before")
 
 
@@ -136,12 +136,13 @@ def _moved(by: int):
 
 
 def concatenated(*meshes: Mesh, transforms: list | None = None, stride: int = 1 << 32) -> Mesh:
-    """One mesh from several: ids of the k-th are moved by k * stride, its points by its transformation."""
+    """One mesh from several: ids of the k-th are moved by k * stride, its points by its transformation. Ids from 0 to stride - 1 fit; others are an error."""
     faces, points = [], []
+    fits = lambda c, by: F.when((c >= 0) & (c < stride), c + by).otherwise(F.raise_error(F.lit("an id doesn't fit the stride")).cast("long"))
     for k, m in enumerate(meshes):
-        p = m.points.select(KEY, (F.col("vid") + k * stride).alias("vid"), (P.transform_point(P.point(), transforms[k]) if transforms and transforms[k] else P.point()).alias("p"))
+        p = m.points.select(KEY, fits(F.col("vid"), k * stride).alias("vid"), (P.transform_point(P.point(), transforms[k]) if transforms and transforms[k] else P.point()).alias("p"))
         points.append(p.select(KEY, "vid", "p.x", "p.y", "p.z"))
-        faces.append(m.faces.select(KEY, (F.col("fid") + k * stride).alias("fid"), F.transform("vids", _moved(k * stride)).alias("vids")))
+        faces.append(m.faces.select(KEY, fits(F.col("fid"), k * stride).alias("fid"), F.transform("vids", _moved(k * stride)).alias("vids")))
     return Mesh(reduce(DataFrame.unionByName, faces), reduce(DataFrame.unionByName, points))
 
 

@@ -1,9 +1,9 @@
 """Spatial joins on a grid of several levels.
 
 A box lies on the level whose cells are about its size and so in eight cells at
-most; it is also entered on all coarser levels. Two boxes meet on the coarser of
-their levels, in the first cell they share, so each pair comes up once and large
-boxes never spread over many small cells.
+most; it is also entered on the coarser levels on which boxes of the other side
+lie. Two boxes meet on the coarser of their levels, in the first cell they share,
+so each pair comes up once and large boxes never spread over many small cells.
 """
 
 from __future__ import annotations
@@ -21,11 +21,15 @@ from tessera.sources.scratch import table
 AXES = P.AXES
 
 
-def _cells(boxes: DataFrame, size: float, levels: int, side: str) -> DataFrame:
-    """Box rows (mesh_id, id, low, high) by level and cell; home marks a box's own level."""
+def _level(size: float, levels: int) -> Column:
     extent = F.greatest(*[F.col("high")[a] - F.col("low")[a] for a in AXES])
-    own = F.least(F.lit(levels), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(1e-300)) / size)))).cast("int")
-    at = boxes.withColumn("_own", own).withColumn("level", F.explode(F.sequence("_own", F.lit(levels))))
+    return F.least(F.lit(levels), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(1e-300)) / size)))).cast("int")
+
+
+def _cells(boxes: DataFrame, size: float, levels: int, others: list[int], side: str) -> DataFrame:
+    """Box rows (mesh_id, id, low, high) by level and cell, on their own level (home) and coarser ones among others."""
+    coarser = F.filter(F.array(*[F.lit(k) for k in others]), lambda k: k > F.col("_own"))
+    at = boxes.withColumn("_own", _level(size, levels)).withColumn("level", F.explode(F.concat(F.array("_own"), coarser)))
     at = at.withColumn("_size", F.pow(F.lit(2.0), F.col("level")) * size)
     for a in AXES:
         at = at.withColumn(f"_{a}0", F.floor(F.col("low")[a] / F.col("_size"))).withColumn(f"c{a}", F.explode(F.sequence(F.col(f"_{a}0"), F.floor(F.col("high")[a] / F.col("_size")))))
@@ -38,7 +42,8 @@ def box_pairs(left: DataFrame, right: DataFrame, size: float | None = None) -> D
     mean, most = left.select(extent.alias("e")).unionByName(right.select(extent.alias("e"))).agg(F.avg("e"), F.max("e")).first()
     size = size or max(mean or 0.0, 1e-9)
     levels = max(0, math.ceil(math.log2(max(most or size, size) / size)))
-    both = _cells(left, size, levels, "0").join(_cells(right, size, levels, "1"), [KEY, "level", "cx", "cy", "cz"])
+    held = [sorted(r[0] for r in b.select(_level(size, levels)).distinct().collect()) for b in (left, right)]  # at most levels + 1 rows each
+    both = _cells(left, size, levels, held[1], "0").join(_cells(right, size, levels, held[0], "1"), [KEY, "level", "cx", "cy", "cz"])
     first = (F.col("cx") == F.greatest("x0", "x1")) & (F.col("cy") == F.greatest("y0", "y1")) & (F.col("cz") == F.greatest("z0", "z1"))
     met = both.where((F.col("home0") | F.col("home1")) & first & P.box_overlaps(F.col("low0"), F.col("high0"), F.col("low1"), F.col("high1")))
     return met.select(KEY, "id0", "id1")
@@ -83,10 +88,12 @@ def ids_meeting(rows: DataFrame, predicate: Column) -> DataFrame:
 def knn(points: DataFrame, queries: DataFrame, k: int = 1, radius: float | None = None, size: float | None = None) -> DataFrame:
     """The k nearest points (mesh_id, vid, x, y, z) of each query (mesh_id, qid, x, y, z), of one mesh_id: mesh_id, qid, vid, d2, rank.
 
-    Rings of cells around the queries are searched, each round twice as far; a
-    query is done when its k-th distance lies within the cells seen. Only
-    unfinished queries go on. Ties go to the smaller vid. radius is a plain
-    distance; fewer than k may lie within it.
+    Counts of points by cell, on levels of cells twice as large each, say at
+    which level the cells around a query hold k points, or all of a mesh that
+    has fewer. The points of these 27 cells give the k-th distance; where it
+    reaches beyond them, the level that covers it is searched once more. So a
+    query meets points twice at most, however far they lie. Ties go to the
+    smaller vid. radius is a plain distance; fewer than k may lie within it.
     """
     ends = points.select(*AXES).unionByName(queries.select(*AXES)).agg(*[f(a) for a in AXES for f in (F.min, F.max)]).first()
     if ends[0] is None:
@@ -96,40 +103,76 @@ def knn(points: DataFrame, queries: DataFrame, k: int = 1, radius: float | None
         live = [s for s in spans if s > 0] or [1.0]
         n = max(1, points.count())
         size = max((math.prod(live) * max(k, 4) / n) ** (1 / len(live)), max(live) * 1e-4)
-    most = max(1, math.ceil(max(spans) / size) + 1)
+    top = max(0, math.ceil(math.log2(max(max(spans) / size, 1.0))))
+    if radius is not None:
+        top = min(top, max(0, math.ceil(math.log2(max(radius / size, 1e-300)))))
     dims = [a for a, s in zip(AXES, spans, strict=True) if s > 0] or ["x"]
-    cell = lambda a: F.floor(F.col(a) / size)
-    held = table(points.select(KEY, "vid", P.point().alias("p"), *[cell(a).alias(f"c{a}") for a in dims]))
-    left = table(queries.select(KEY, "qid", P.point().alias("q"), *[cell(a).alias(f"q{a}") for a in dims]))
-    ring, done = 1, None
-    while True:
-        near = left
+    cell = lambda v, a, level: F.floor(v[a] / (F.pow(F.lit(2.0), level) * size))
+    held = table(points.select(KEY, "vid", P.point().alias("p")))
+    left = queries.select(KEY, "qid", P.point().alias("q")).join(held.groupBy(KEY).agg(F.least(F.count("*"), F.lit(k)).alias("want")), KEY)
+    left = table(left)
+
+    def around(rows: DataFrame) -> DataFrame:
+        """Each query with the cells of its level next to it."""
         for a in dims:
-            near = near.withColumn(f"c{a}", F.explode(F.sequence(F.col(f"q{a}") - ring, F.col(f"q{a}") + ring)))
-        near = near.join(held, [KEY, *[f"c{a}" for a in dims]]).select(KEY, "qid", "vid", P.distance2(F.col("p"), F.col("q")).alias("d2"))
-        if radius is not None:
-            near = near.where(F.col("d2") <= radius * radius)
+            c = cell(F.col("q"), a, F.col("level"))
+            rows = rows.withColumn(f"c{a}", F.explode(F.sequence(c - 1, c + 1)))
+        return rows
+
+    def met(asked: DataFrame) -> DataFrame:
+        """The best of the points in the cells around queries (with level and reach, the largest d2 that counts)."""
+        used = sorted(r[0] for r in asked.select("level").distinct().collect())  # at most top + 1 rows
+        at = held.withColumn("level", F.explode(F.array(*[F.lit(x) for x in used]))) if used else held.withColumn("level", F.lit(0))
+        at = at.withColumns({f"c{a}": cell(F.col("p"), a, F.col("level")) for a in dims})
+        near = around(asked).join(at, [KEY, "level", *[f"c{a}" for a in dims]]).withColumn("d2", P.distance2(F.col("p"), F.col("q"))).where("reach IS NULL OR d2 <= reach")
         w = Window.partitionBy(KEY, "qid").orderBy("d2", "vid")
-        best = table(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-        whole = ring >= most or (radius is not None and ring * size >= radius)
-        if whole:
-            return best if done is None else done.unionByName(best)
-        full = best.where(F.col("rank") == k).where(F.col("d2") <= (ring * size) ** 2).select(KEY, "qid")
-        ready = best.join(full, [KEY, "qid"], "left_semi")
-        done = ready if done is None else done.unionByName(ready)
-        left = table(left.join(full, [KEY, "qid"], "left_anti"))
-        if left.isEmpty():
-            return done
-        ring *= 2
-
-
-def nearest_faces(mesh: Mesh, queries: DataFrame, radius: float) -> DataFrame:
-    """The nearest triangle of each query within radius: mesh_id, qid, fid, d2, point."""
-    met = box_pairs(point_boxes(queries, radius, "qid"), face_boxes(mesh))
-    tri = fat_faces(mesh).select(KEY, F.col("fid").alias("id1"), "pts")
-    both = met.join(_named(queries, "qid", 0), [KEY, "id0"]).join(tri, [KEY, "id1"])
+        return table(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(KEY, "qid", "vid", "d2", "rank"))
+
+    names = [f"c{a}" for a in dims]
+    counts = held.groupBy(KEY, *[cell(F.col("p"), a, F.lit(0)).alias(f"c{a}") for a in dims]).agg(F.count("*").alias("n"))
+    ready, rest = None, left
+    for level in range(top + 1):
+        counts = table(counts)
+        enough = F.lit(True) if level == top else F.col("m") >= F.col("want")
+        seen = around(rest.withColumn("level", F.lit(level))).join(counts, [KEY, *names], "left").groupBy(KEY, "qid").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("m"))
+        found = table(rest.join(seen, [KEY, "qid"]).withColumn("level", F.when(enough, F.lit(level))).drop("m"))
+        here = found.where("level IS NOT NULL")
+        ready = here if ready is None else ready.unionByName(here)
+        rest = found.where("level IS NULL").drop("level")
+        if rest.isEmpty():
+            break
+        counts = counts.groupBy(KEY, *[F.floor(F.col(c) / 2).alias(c) for c in names]).agg(F.sum("n").alias("n"))
+    ready = table(ready)
+    limit = F.lit(None).cast("double") if radius is None else F.lit(float(radius) ** 2)
+    best = met(ready.withColumn("reach", limit))
+    far = best.groupBy(KEY, "qid").agg(F.max("d2").alias("_d"), F.count("*").alias("_n"))
+    # With fewer than wanted, only a radius can end the search: then the last level has covered it.
+    reach = F.when(F.col("_n") >= F.col("want"), F.col("_d")).otherwise(limit)
+    again = ready.join(far, [KEY, "qid"], "left").withColumn("reach", reach).where(F.col("reach") > F.pow(F.pow(F.lit(2.0), F.col("level")) * size, F.lit(2.0)))
+    again = table(again.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.sqrt("reach") / size))).cast("int")).select(*ready.columns, "reach"))
+    if again.isEmpty():
+        return best
+    return best.join(again.select(KEY, "qid"), [KEY, "qid"], "left_anti").unionByName(met(again))
+
+
+def nearest_faces(mesh: Mesh, queries: DataFrame, radius: float | None = None) -> DataFrame:
+    """The nearest triangle of each query, within radius where there is one: mesh_id, qid, fid, d2, point.
+
+    No face is farther than its nearest vertex, so each query looks as far as
+    the nearest vertex of a face lies.
+    """
+    f = table(fat_faces(mesh))
+    named = mesh.points.join(f.select(KEY, F.explode("vids").alias("vid")).distinct(), [KEY, "vid"], "left_semi")
+    far = knn(named, queries, 1).select(KEY, "qid", F.sqrt("d2").alias("far"))
+    at = queries.join(far, [KEY, "qid"]).withColumn("far", F.col("far") * (1 + 1e-9) + 1e-12)
+    at = table(at if radius is None else at.withColumn("far", F.least("far", F.lit(float(radius)))))
+    p = F.col("pts")
+    spots = at.select(KEY, F.col("qid").alias("id"), P.each(lambda v: v - F.col("far"), P.point()).alias("low"), P.each(lambda v: v + F.col("far"), P.point()).alias("high"))
+    met = box_pairs(spots, f.select(KEY, F.col("fid").alias("id"), P.box_low(p).alias("low"), P.box_high(p).alias("high")))
+    both = met.join(_named(at, "qid", 0), [KEY, "id0"]).join(f.select(KEY, F.col("fid").alias("id1"), "pts"), [KEY, "id1"])
     c = [F.get("pts", F.lit(i)) for i in range(3)]
-    both = both.withColumn("point", P.closest_on_triangle(F.col("p0"), *c)).withColumn("d2", P.distance2(F.col("p0"), F.col("point"))).where(F.col("d2") <= radius * radius)
+    both = both.withColumn("point", P.closest_on_triangle(F.col("p0"), *c)).withColumn("d2", P.distance2(F.col("p0"), F.col("point")))
+    both = both if radius is None else both.where(F.col("d2") <= radius * radius)
     best = both.groupBy(KEY, F.col("id0").alias("qid")).agg(F.min(F.struct("d2", F.col("id1").alias("fid"), "point")).alias("b"))
     return best.select(KEY, "qid", "b.fid", "b.d2", "b.point")
 
@@ -176,7 +219,7 @@ def ray_hits(mesh: Mesh, rays: DataFrame, pieces: int = 64) -> DataFrame:
 
 
 #: Directions of the crossing test: off every axis and diagonal, so that edge hits are rare; the next is used where one occurs.
-_TILTS = ((0.0137421, 0.0291733), (-0.0410287, 0.0173529), (0.0219041, -0.0371113))
+_TILTS = ((0.0137421, 0.0291733), (-0.0410287, 0.0173529), (0.0219041, -0.0371113), (-0.0317733, -0.0203391), (0.0470119, 0.0118827), (-0.0081553, 0.0433721))
 
 
 def _tilted(a: float, b: float) -> Callable[[Column], Column]:
@@ -206,10 +249,10 @@ def points_in_mesh(mesh: Mesh, queries: DataFrame) -> DataFrame:
         total = F.col("w0") + F.col("w1") + F.col("w2")
         x = sum((F.col(f"w{i}") * F.get("pts", F.lit(i))["x"] for i in range(3)), F.lit(0.0)) / total
         same = ((F.col("w0") > 0) & (F.col("w1") > 0) & (F.col("w2") > 0)) | ((F.col("w0") < 0) & (F.col("w1") < 0) & (F.col("w2") < 0))
-        tiny = 1e-13
-        close = (F.abs("w0") < tiny) | (F.abs("w1") < tiny) | (F.abs("w2") < tiny)
+        tiny = 1e-12 * F.abs(total)
+        close = (F.abs("w0") <= tiny) | (F.abs("w1") <= tiny) | (F.abs("w2") <= tiny)
         ahead = x > F.col("q")["x"]
-        sums = both.groupBy(KEY, "qid").agg(F.sum(F.when(same & ahead, F.signum(total)).otherwise(0.0)).alias("n"), F.bool_or(close & (F.abs(total) > tiny)).alias("edge"))
+        sums = both.groupBy(KEY, "qid").agg(F.sum(F.when(same & ahead, F.signum(total)).otherwise(0.0)).alias("n"), F.bool_or(close & (total != 0)).alias("edge"))
         found = left.join(sums, [KEY, "qid"], "left").select(KEY, "qid", F.when(F.coalesce("n", F.lit(0.0)) != 0, "inside").otherwise("outside").alias("side"), F.coalesce("edge", F.lit(False)).alias("edge"))
         found = table(found)
         last = n == len(_TILTS) - 1

@@ -106,14 +106,15 @@ def k_rings(link: DataFrame, k: int, inclusive: bool = False) -> DataFrame:
     return seen if inclusive else seen.where("hops > 0")
 
 
-def neighborhoods(link: DataFrame, points: DataFrame, radius: float, inclusive: bool = False, most: int = 1000) -> DataFrame:
+def neighborhoods(link: DataFrame, points: DataFrame, radius: float, inclusive: bool = False) -> DataFrame:
     """mesh_id, vid, neighbor, d2: vertices within radius of vid that a walk along edges reaches through such vertices only."""
     at = points.select(KEY, F.col("vid").alias("_v"), P.point().alias("_p"))
     named = lambda v, p: at.select(KEY, F.col("_v").alias(v), F.col("_p").alias(p))
     seen = named("vid", "p").select(KEY, "vid", F.col("vid").alias("neighbor"), F.lit(0.0).alias("d2"), F.lit(0).alias("hops"))
     step = link.select(KEY, F.col("vid").alias("neighbor"), F.col("neighbor").alias("next"))
-    seen = table(seen)
-    for hop in range(1, most):
+    seen, hop = table(seen), 0
+    while True:
+        hop += 1
         front = seen.where(F.col("hops") == hop - 1).join(step, [KEY, "neighbor"]).select(KEY, "vid", F.col("next").alias("neighbor")).distinct()
         front = front.join(seen, [KEY, "vid", "neighbor"], "left_anti").join(named("vid", "p"), [KEY, "vid"]).join(named("neighbor", "q"), [KEY, "neighbor"])
         front = front.withColumn("d2", P.distance2(F.col("p"), F.col("q"))).where(F.col("d2") <= radius * radius)

@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from meshes import APART, HOLE, MIXED, NON_MANIFOLD, TETRA, TURNED, TWO, mesh
+from meshes import APART, BOOK, HOLE, HOUSE, MIXED, OCTA, TURNED, mesh
 from pyspark.sql import functions as F
 
 from tessera.functions import primitives as P
@@ -22,18 +22,17 @@ def value(spark, column):
 
 
 def test_boundaries(spark):
-    two = mesh(spark, *TWO).faces
-    assert {tuple(sorted(r[1:])) for r in rows(topology.boundary_edges(two))} == {(0, 1), (0, 2), (1, 3), (2, 3)}
-    assert topology.boundary_edges(mesh(spark, *TETRA).faces).count() == 0
-    assert rows(topology.non_manifold_edges(mesh(spark, *NON_MANIFOLD).faces)) == [(0, 0, 1, 0)]
-    assert tuple(topology.closedness(mesh(spark, *TETRA).faces).first())[1:] == (True, False, True, False)
+    house = mesh(spark, *HOUSE).faces
+    assert {tuple(sorted(r[1:])) for r in rows(topology.boundary_edges(house))} == {(0, 1), (1, 2), (2, 3), (3, 4), (0, 4)}
+    assert topology.boundary_edges(mesh(spark, *OCTA).faces).count() == 0
+    assert rows(topology.non_manifold_edges(mesh(spark, *BOOK).faces)) == [(0, 0, 1, 0)]
+    assert tuple(topology.closedness(mesh(spark, *OCTA).faces).first())[1:] == (True, False, True, False)
 
 
 def test_measures(spark):
-    m = mesh(spark, *TETRA)
-    assert measures.volume(m).first().signed_volume == pytest.approx(1 / (6 * math.sqrt(2)))
+    assert measures.volume(mesh(spark, *OCTA)).first().signed_volume == pytest.approx(4 / 3)
     assert measures.total_area(mesh(spark, *HOLE)).first().area == pytest.approx(3)
-    assert measures.total_area(mesh(spark, *TWO)).first().area == pytest.approx(1)
+    assert measures.total_area(mesh(spark, *HOUSE)).first().area == pytest.approx(9)
     b = measures.obb(generate.box(spark, 4, 2, 1).points).first()
     assert [round(b[k], 6) for k in ("e0", "e1", "e2")] == [4, 2, 1]
 
@@ -42,7 +41,7 @@ def test_components_and_orientation(spark):
     assert {r.label for r in topology.face_components(mesh(spark, *APART).faces).collect()} == {0, 1}
     out = topology.orient_consistently(mesh(spark, *TURNED))
     sides = [(a, b) for r in out.collect() for a, b in zip(r.vids, r.vids[1:] + r.vids[:1])]
-    assert len(set(sides)) == 6
+    assert len(set(sides)) == 9
     m = generate.box(spark, 1, 1, 1)
     inside_out = Mesh(topology.reverse_winding(m.faces), m.points)
     assert measures.volume(Mesh(topology.ensure_positive_orientation(inside_out), m.points)).first().signed_volume == pytest.approx(1)
@@ -63,9 +62,6 @@ def test_paths(spark):
     assert got == {(0, 1), (1, 2), (1, 3, 4)}
     loops = paths.boundary_paths(mesh(spark, *HOLE).faces).collect()
     assert sorted(len(r.vids) for r in loops) == [5, 5] and all(r.closed and r.vids[0] == r.vids[-1] for r in loops)
-    assert paths.trails([(0, 1), (1, 2), (5, 1), (1, 6), (2, 0)]) == [[5, 1, 2, 0, 1, 6]]
-    edges = [(0, 1), (2, 1), (1, 3), (3, 1), (4, 3)]
-    assert sorted(s for t in paths.trails(edges) for s in zip(t, t[1:])) == sorted(edges)
     pinch = [(0, 1, 2), (0, 3, 4)]
     p = mesh(spark, [(0, 0, 0), (1, 0, 0), (1, 1, 0), (-1, 0, 0), (-1, -1, 0)], pinch)
     used = [s for r in paths.boundary_paths(p.faces).collect() for s in zip(r.vids, r.vids[1:])]
@@ -73,21 +69,35 @@ def test_paths(spark):
 
 
 def test_clean(spark):
-    near = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0.001, 0, 0)]
-    c = clean.clean_faces(mesh(spark, near, [(0, 1, 2), (3, 1, 2)]), 0.01)
-    assert c.mesh.points.count() == 3 and c.mesh.faces.count() == 1
-    dup = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 0), (5, 5, 0)]
-    c = clean.clean_faces(mesh(spark, dup, [(0, 1, 2), (3, 1, 4)]))
-    assert c.mesh.points.count() == 4 and c.mesh.faces.count() == 2
-    assert {r.old_id: r.new_id for r in c.point_map.collect()}[3] == 0
-    c = clean.clean_faces(mesh(spark, [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 0), (1, 0, 0)], [(0, 1, 2), (0, 3, 4)]))
-    assert c.mesh.faces.count() == 1
-    masks = topology.unique_faces_mask(mesh(spark, TWO[0], [(0, 1, 2), (1, 2, 0), (2, 1, 0), (1, 3, 2)]).faces)
+    """A random mesh with copied and slightly moved points, faces that become equal and faces that shrink, against plain Python."""
+    rng = np.random.default_rng(6)
+    for tolerance in (0.0, 0.01):
+        base = rng.integers(0, 50, (40, 3)).astype(float)
+        copies = rng.integers(0, 40, 30)
+        pts = np.concatenate([base, base[copies] + (rng.uniform(-0.002, 0.002, (30, 3)) if tolerance else 0)])
+        faces = [tuple(map(int, rng.choice(70, 3, replace=False))) for _ in range(120)]
+        faces += [(f[1], f[2], f[0]) for f in faces[:10]] + [(f[2], f[1], f[0]) for f in faces[10:20]]
+        place, name = {}, []
+        for p in pts:
+            name.append(place.setdefault(tuple(np.round(p)), len(name)))
+        want, seen = {}, {}
+        for i, f in enumerate(faces):
+            g = [name[v] for v in f]
+            if len(set(g)) == 3:
+                want[i] = seen.setdefault(tuple(sorted(g)), i)
+        c = clean.clean_faces(mesh(spark, pts.tolist(), faces), tolerance)
+        kept = {r.fid: r.vids for r in c.mesh.faces.collect()}
+        assert set(kept) == set(want.values()) and all(v == [name[x] for x in faces[i]] for i, v in kept.items())
+        assert {r.old_id: r.new_id for r in c.face_map.collect()} == {i: want.get(i) for i in range(len(faces))}
+        used = {v for f in kept.values() for v in f}
+        assert {r.vid for r in c.mesh.points.collect()} == used
+        assert {r.old_id: r.new_id for r in c.point_map.collect()} == {i: n if n in used else None for i, n in enumerate(name)}
+    masks = topology.unique_faces_mask(mesh(spark, HOUSE[0], [(4, 2, 3), (2, 3, 4), (3, 2, 4), (0, 1, 2)]).faces)
     assert [r.is_first for r in masks.orderBy("fid").collect()] == [True, False, False, True]
 
 
 def test_triangulate(spark):
-    assert triangulated(mesh(spark, *MIXED)).count() == 3
+    assert triangulated(mesh(spark, *MIXED)).count() == 4
     star = [(0, 0, 0), (4, 0, 0), (4, 4, 0), (2, 1, 0), (0, 4, 0)]
     m = mesh(spark, star, [(0, 1, 2, 3, 4)])
     t = triangulated(m)
@@ -264,7 +274,7 @@ def test_reindex_and_index_upkeep(spark):
 
 
 def test_null_and_empty(spark):
-    empty = Mesh(mesh(spark, *TWO).faces.limit(0), mesh(spark, *TWO).points.limit(0))
+    empty = Mesh(mesh(spark, *HOUSE).faces.limit(0), mesh(spark, *HOUSE).points.limit(0))
     assert topology.boundary_edges(empty.faces).count() == 0
     assert clean.clean_faces(empty).mesh.faces.count() == 0
     assert paths.boundary_paths(empty.faces).count() == 0
