@@ -28,6 +28,8 @@ from ._shingles import batches, mix, shingle_sets
 WORDS = 5
 TREES = 32
 DEPTH = 8
+#: A byte of every STRIDE-th minimum is kept to compare rows by.
+STRIDE = 2
 
 
 def prefix_length(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -89,7 +91,7 @@ def paths(low: np.ndarray, trees: int, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _read(docs: DataFrame, trees: int, k: int, text: str, doc_id: str, row: str | None) -> DataFrame:
-    """rid, doc_id, t, n shingles, the set's 128-bit key, and keys, rests and a byte of each minimum (null without words)."""
+    """rid, doc_id, t, n shingles, the set's 128-bit key, and keys, rests and bytes of minima (null without words)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -99,7 +101,7 @@ def _read(docs: DataFrame, trees: int, k: int, text: str, doc_id: str, row: str
                 some = [i for i, s in enumerate(sets) if len(s)]
                 low = minima([sets[i] for i in some], trees * DEPTH)
                 rows: list[list] = [[None] * len(part) for _ in range(3)]
-                for i, *own in zip(some, *paths(low, trees, k), mix(low.T.astype(np.uint64)).astype(np.uint8), strict=True):
+                for i, *own in zip(some, *paths(low, trees, k), mix(low[: trees * DEPTH : STRIDE].T.astype(np.uint64)).astype(np.uint8), strict=True):
                     for c, x in zip(rows, own, strict=True):
                         c[i] = x
                 digest = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
@@ -123,13 +125,13 @@ def _nodes(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
     up = lambda c, d: F.shiftright(c, 8 * (DEPTH - d))  # noqa: E731  the rest of a path of length d
     cells = reps.select("rid", F.explode(F.arrays_zip("keys", "rests")).alias("p")).select("rid", F.col("p.keys").alias("key"), F.col("p.rests").alias("rest"))
     prefixes = table(cells)
-    cells = table(prefixes.groupBy("key", "rest").agg(F.count("*").alias(f"m{DEPTH}")))
-    most = table(cells.groupBy("key").agg(F.sum(f"m{DEPTH}").alias(f"m{short}")).where(F.col(f"m{short}") > 1))
-    cells = cells.join(most, "key")
+    most = prefixes.groupBy("key").agg(F.count("*").alias(f"m{short}")).where(F.col(f"m{short}") > 1)
+    shared = table(prefixes.join(table(most), "key"))
+    cells = shared.groupBy("key", "rest").agg(F.count("*").alias(f"m{DEPTH}"), F.first(f"m{short}").alias(f"m{short}"))
     for d in range(short + 1, DEPTH):
         sums = cells.groupBy("key", up("rest", d).alias("r")).agg(F.sum(f"m{DEPTH}").alias(f"m{d}"))
         cells = cells.withColumn("r", up("rest", d)).join(sums, ["key", "r"]).drop("r")
-    live = table(prefixes.join(table(cells), ["key", "rest"]))
+    live = table(shared.drop(f"m{short}").join(table(cells), ["key", "rest"]))
     # A row has a place in at most as many nodes as there are trees.
     rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.desc(F.col(f"m{short}") - F.col(f"m{DEPTH}")), "key"))
     length = F.element_at(F.array(*[F.lit(x) for x in of_rank]), rank)
@@ -160,7 +162,8 @@ def agreements(sigs: np.ndarray) -> np.ndarray:
 
 def _near(threshold: float) -> Callable[[list[bytes]], np.ndarray]:
     """Which pairs of signatures may belong to sets that reach the threshold: estimates up to six standard errors below it count."""
-    least = (threshold - 6 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5) * TREES * DEPTH
+    size = TREES * DEPTH // STRIDE
+    least = (threshold - 6 * (threshold * (1 - threshold) / size) ** 0.5) * size
 
     def run(sigs: list[bytes]) -> np.ndarray:
         return agreements(np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)) >= least
