@@ -791,12 +791,19 @@ def j1_nearest_vertex_in_plane(spark, d):
     return _round(spatial.knn(flat, q, 1).select("qid", F.col("d2").alias("most")), "most")
 
 
-@query()
+@query(f"""WITH {TERRAIN}, q AS (SELECT s_suppkey AS qid, (s_suppkey * 7 % 48) + 0.3::DOUBLE AS x, (s_suppkey * 13 % 20) + 0.2::DOUBLE AS y, 4.0::DOUBLE AS z FROM supplier),
+    t AS (SELECT f.fid, f.vids, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) AS nx, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) AS ny, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS nz
+        FROM faces f JOIN points a ON a.vid = f.vids[1] JOIN points b ON b.vid = f.vids[2] JOIN points c ON c.vid = f.vids[3]),
+    h AS (SELECT t.fid, nx, ny, nz, s.x AS sx, s.y AS sy, s.z AS sz, e.x - s.x AS dx, e.y - s.y AS dy, e.z - s.z AS dz FROM t, range(1, 4) AS r(i) JOIN points s ON s.vid = t.vids[i] JOIN points e ON e.vid = t.vids[i % 3 + 1]),
+    g AS (SELECT qid, h.*, q.x - sx AS ux, q.y - sy AS uy, q.z - sz AS uz FROM q, h),
+    k AS (SELECT *, greatest(0, least(1, (ux * dx + uy * dy + uz * dz) / (dx * dx + dy * dy + dz * dz))) AS w, (dy * uz - dz * uy) * nx + (dz * ux - dx * uz) * ny + (dx * uy - dy * ux) * nz >= 0 AS inner_side FROM g),
+    d AS (SELECT qid, fid, CASE WHEN bool_and(inner_side) THEN max((ux * nx + uy * ny + uz * nz) ** 2 / (nx * nx + ny * ny + nz * nz)) ELSE min((ux - w * dx) ** 2 + (uy - w * dy) ** 2 + (uz - w * dz) ** 2) END AS d2 FROM k GROUP BY qid, fid)
+    SELECT qid, round(min(d2), 6) AS d2 FROM d GROUP BY qid""")
 def j1_nearest_faces(spark, d):
     m = I.terrain(spark, d)
     s = F.col("s_suppkey")
     q = I.read(spark, d, "supplier").select(F.lit(0).cast("long").alias(KEY), s.alias("qid"), (s * 7 % 48 + 0.3).alias("x"), (s * 13 % 20 + 0.2).alias("y"), F.lit(4.0).alias("z"))
-    return _round(spatial.nearest_faces(m, q, 3.0).select("qid", "d2"), "d2")
+    return _round(spatial.nearest_faces(m, q).select("qid", "d2"), "d2")
 
 
 @query()
