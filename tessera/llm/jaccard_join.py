@@ -126,12 +126,12 @@ def _nodes(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
     cells = reps.select("rid", F.explode(F.arrays_zip("keys", "rests")).alias("p")).select("rid", F.col("p.keys").alias("key"), F.col("p.rests").alias("rest"))
     prefixes = table(cells)
     most = prefixes.groupBy("key").agg(F.count("*").alias(f"m{short}")).where(F.col(f"m{short}") > 1)
-    shared = table(prefixes.join(table(most), "key"))
+    shared = table(prefixes.join(table(most).hint("merge"), "key"))  # both sides grow with the input
     cells = shared.groupBy("key", "rest").agg(F.count("*").alias(f"m{DEPTH}"), F.first(f"m{short}").alias(f"m{short}"))
     for d in range(short + 1, DEPTH):
         sums = cells.groupBy("key", up("rest", d).alias("r")).agg(F.sum(f"m{DEPTH}").alias(f"m{d}"))
         cells = cells.withColumn("r", up("rest", d)).join(sums, ["key", "r"]).drop("r")
-    live = table(shared.drop(f"m{short}").join(table(cells), ["key", "rest"]))
+    live = table(shared.drop(f"m{short}").join(table(cells).hint("merge"), ["key", "rest"]))
     # A row has a place in at most as many nodes as there are trees.
     rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.desc(F.col(f"m{short}") - F.col(f"m{DEPTH}")), "key"))
     length = F.element_at(F.array(*[F.lit(x) for x in of_rank]), rank)
@@ -286,13 +286,13 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))
     full = read.where("n > 0")
     sets = table(full.groupBy("s1", "s2", "n").agg(F.min(order).alias("k")).select("s1", "s2", "n", F.col("k.r").alias("rep"), F.col("k.d").alias("rep_id")))
-    rows = table(full.select("rid", "doc_id", "s1", "s2", "n").join(sets, ["s1", "s2", "n"]).select("rid", "doc_id", "n", "rep", "rep_id"))
-    reps = full.select("rid", "keys", "rests").join(sets.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    rows = table(full.select("rid", "doc_id", "s1", "s2", "n").join(sets.hint("merge"), ["s1", "s2", "n"]).select("rid", "doc_id", "n", "rep", "rep_id"))
+    reps = full.select("rid", "keys", "rests").join(sets.select(F.col("rep").alias("rid")).hint("merge"), "rid", "left_semi")
     nodes = table(_nodes(reps, threshold, recall))
-    signed = nodes.join(full.select("rid", "sig"), "rid").select("group", F.col("rid").alias("node"), F.col("sig").alias("t"))
+    signed = nodes.hint("merge").join(full.select("rid", "sig"), "rid").select("group", F.col("rid").alias("node"), F.col("sig").alias("t"))
     likely = table(_compared(signed, _near(threshold), 16 * block))
     groups = table(connected_components(likely.select("node", F.explode("joins").alias("to")), "node", "to"))
-    members = full.select(F.col("rid").alias("node"), "t").join(groups.withColumnRenamed("label", "group"), "node")
+    members = full.select(F.col("rid").alias("node"), "t").join(groups.withColumnRenamed("label", "group").hint("merge"), "node")
     links = table(_compared(members, _exactly(threshold), block))
     near = connected_components(links.select("node", F.explode("joins").alias("to")), "node", "to")
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
