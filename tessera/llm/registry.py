@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_search, queries_text
+from . import queries_corpus, queries_dedup, queries_search, queries_text
 
-MODULES = (queries_dedup, queries_search, queries_text)
+MODULES = (queries_dedup, queries_search, queries_text, queries_corpus)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
