@@ -456,10 +456,34 @@ def t19_connect_edges(spark, d):
     return paths.connect_edges(e).select("path_id", F.size("vids").alias("n"), "closed")
 
 
-@query()
+def _walks(spark, d):
+    """Steps of the walks, each with the vertex where the next one of its walk begins."""
+    at = paths.eulerian_steps(I.order_edges(spark, d))
+    begins = at.select("path_id", (F.col("pos") - 1).alias("pos"), F.col("v0").alias("then"))
+    return at.join(begins, ["path_id", "pos"], "left")
+
+
+@query("""WITH o AS (SELECT o_custkey AS v0, o_orderkey % 4001 AS v1 FROM orders), w AS (SELECT v0 AS vid, 1 AS a, 0 AS b FROM o UNION ALL SELECT v1, 0, 1 FROM o)
+    SELECT vid, sum(a)::BIGINT AS n_out, sum(b)::BIGINT AS n_in, greatest(sum(a) - sum(b), 0)::BIGINT AS n_starts, greatest(sum(b) - sum(a), 0)::BIGINT AS n_ends, 0::BIGINT AS n_breaks
+    FROM w GROUP BY vid""")
 def t21_eulerian_paths(spark, d):
-    e = I.order_edges(spark, d)
-    return paths.eulerian_paths(e).select("path_id", F.size("vids").alias("n"), "closed")
+    """By vertex: edges walked, open walks that start and end there, and steps that don't go on where they arrived."""
+    at = _walks(spark, d)
+    n = lambda c: F.when(c, 1).otherwise(0)
+    out = F.struct(F.col("v0").alias("vid"), F.lit(1).alias("a"), F.lit(0).alias("b"), n((F.col("pos") == 0) & ~F.col("closed")).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("x"))
+    to = F.struct(F.col("v1").alias("vid"), F.lit(0).alias("a"), F.lit(1).alias("b"), F.lit(0).alias("s"), n(F.col("then").isNull() & ~F.col("closed")).alias("e"), n(F.col("then") != F.col("v1")).alias("x"))
+    named = {"a": "n_out", "b": "n_in", "s": "n_starts", "e": "n_ends", "x": "n_breaks"}
+    return at.select(F.explode(F.array(out, to)).alias("w")).groupBy("w.vid").agg(*[F.sum(f"w.{c}").alias(m) for c, m in named.items()])
+
+
+@query(_labels_sql("e AS (SELECT o_custkey AS a, o_orderkey % 4001 AS b FROM orders)", "SELECT a AS k FROM e UNION SELECT b FROM e", "SELECT a, b FROM e UNION SELECT b, a FROM e",
+    """, w AS (SELECT a AS k, 1 AS d FROM e UNION ALL SELECT b, -1 FROM e), x AS (SELECT k, sum(d) AS d FROM w GROUP BY k), p AS (SELECT label, sum(greatest(d, 0)) AS n FROM x JOIN r USING (k) GROUP BY label)
+    SELECT sum(greatest(n, 1))::BIGINT AS n_walks, count(*) FILTER (n = 0) AS n_closed, (SELECT count(*) FROM e) AS n_edges FROM p"""))
+def t21_walk_counts(spark, d):
+    at = paths.eulerian_steps(I.order_edges(spark, d))
+    return at.groupBy("path_id").agg(F.any_value("closed").alias("closed"), F.countDistinct("eid").alias("n")).agg(
+        F.count("*").alias("n_walks"), F.count(F.when(F.col("closed"), 1)).alias("n_closed"), F.sum("n").alias("n_edges")
+    )
 
 
 @query(f"""WITH {TERRAIN}, e AS (SELECT DISTINCT least(vids[i], vids[i % 3 + 1]) AS lo, greatest(vids[i], vids[i % 3 + 1]) AS hi FROM faces, range(1, 4) AS r(i))

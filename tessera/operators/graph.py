@@ -1,4 +1,4 @@
-"""Connected components and list ranking over edge tables, in rounds that double their reach."""
+"""Connected components, spanning forests and list ranking over edge tables, in rounds that double their reach."""
 
 from __future__ import annotations
 
@@ -31,24 +31,59 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         labels = moved.select("node", F.col("next").alias("label"))
 
 
+def spanning_forest(edges: DataFrame, src: str = "src", dst: str = "dst", name: str = "id") -> DataFrame:
+    """(id,): the edges of a spanning forest of an undirected edge table; id must tell edges apart.
+
+    Each round every tree goes to the smallest tree it has an edge to, if that is
+    smaller than itself, by its smallest such edge. A tree with edges left goes
+    or is gone to, so their number halves at least; what is left of the graph
+    is written each round, one edge for each pair of trees.
+    """
+    e = table(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), F.col(name).alias("id")).where("a <> b"))
+    chosen = e.limit(0).select("id")
+    while True:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "id")).where("b < a")
+        hooks = table(both.groupBy("a").agg(F.min(F.struct("b", "id")).alias("h")).select("a", "h.b", "h.id"))
+        if hooks.isEmpty():
+            return chosen
+        chosen = chosen.unionByName(hooks.select("id"))
+        root, further = hooks.select("a", "b"), True
+        while further:
+            up = root.select(F.col("a").alias("b"), F.col("b").alias("_b"))
+            moved = table(root.join(up, "b", "left").select("a", F.coalesce("_b", "b").alias("b"), F.col("_b").isNotNull().alias("_on")))
+            root, further = moved.drop("_on"), not moved.where("_on").isEmpty()
+        for end in ("a", "b"):
+            to = root.select(F.col("a").alias(end), F.col("b").alias("_to"))
+            e = e.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        e = table(e.where("a <> b").groupBy(*pair).agg(F.min("id").alias("id")))
+
+
 def chains(links: DataFrame, item: str = "item", nxt: str = "next") -> DataFrame:
     """(item, label, pos, closed): the place of each item in its chain or ring.
 
     links has one row for each item and its successor, null at an end; no two
     items share a successor. label is the chain's smallest item, from which a
-    ring counts. Places come from list ranking: every round doubles the distance
-    each item sees, so a chain of n items takes log2(n) rounds and never has to
-    fit one task.
+    ring counts. Each item knows the smallest item of a stretch that it begins,
+    how far ahead that is, and what follows the stretch; every round doubles the
+    stretches. A ring is known once two stretches that follow each other have
+    one smallest item, since items differ; a chain once its end is reached. So n
+    items take log2(n) rounds of one join, and no chain has to fit one task.
     """
-    every = links.select(F.col(item).alias("item"), F.col(nxt).alias("next"))
-    found = connected_components(every.select(F.col("item").alias("a"), F.coalesce("next", "item").alias("b")), "a", "b")
-    ends = every.where("next IS NULL").join(found, every["item"] == found["node"]).select("label", F.lit(True).alias("_open"))
-    lab = every.join(found, every["item"] == found["node"]).select("item", "next", "label").join(ends, "label", "left")
-    ring = F.col("_open").isNull()
-    step = F.when(~ring | (F.col("next") != F.col("label")), F.col("next"))
-    state = table(lab.select("item", "label", ring.alias("closed"), step.alias("to"), step.isNotNull().cast("long").alias("dist")))
-    while not state.where("to IS NOT NULL").isEmpty():
-        ahead = state.select(F.col("item").alias("to"), F.col("to").alias("_to"), F.col("dist").alias("_dist"))
-        state = table(state.join(ahead, "to", "left").select("item", "label", "closed", F.col("_to").alias("to"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist")))
-    most = state.groupBy("label").agg(F.max("dist").alias("_m"))
-    return state.join(most, "label").select("item", "label", (F.col("_m") - F.col("dist")).alias("pos"), "closed")
+    start = links.select(F.col(item).alias("item"), F.col(nxt).alias("to"), F.col(item).alias("last"), F.lit(1).cast("long").alias("n"), F.col(item).alias("low"), F.lit(0).cast("long").alias("far"))
+    state, moving = table(start), True
+    while moving:
+        ahead = state.select(F.col("item").alias("to"), *[F.col(c).alias(f"_{c}") for c in ("to", "last", "n", "low", "far")])
+        less = F.col("_low") < F.col("low")
+        met = state.where("to IS NOT NULL").join(ahead, "to").select(
+            "item", F.col("_to").alias("to"), F.col("_last").alias("last"), (F.col("n") + F.col("_n")).alias("n"),
+            F.when(less, F.col("_low")).otherwise(F.col("low")).alias("low"), F.when(less, F.col("n") + F.col("_far")).otherwise(F.col("far")).alias("far"),
+            (F.col("_low") != F.col("low")).alias("_moving"),
+        )
+        grown = table(met.unionByName(state.where("to IS NULL").withColumn("_moving", F.lit(False))))
+        state, moving = grown.drop("_moving"), not grown.where("_moving").isEmpty()
+    line, ring = state.where("to IS NULL"), state.where("to IS NOT NULL")
+    whole = line.groupBy("last").agg(F.max(F.struct("n", "low")).alias("w"))
+    line = line.join(whole, "last").select("item", F.col("w.low").alias("label"), (F.col("w.n") - F.col("n")).alias("pos"), F.lit(False).alias("closed"))
+    size = ring.groupBy("low").agg(F.count("*").alias("w"))
+    return line.unionByName(ring.join(size, "low").select("item", F.col("low").alias("label"), ((F.col("w") - F.col("far")) % F.col("w")).alias("pos"), F.lit(True).alias("closed")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import primitives as P
 from tessera.model import KEY
-from tessera.operators.graph import chains, connected_components
+from tessera.operators.graph import chains, spanning_forest
 from tessera.operators.reindex import dense_ids
 from tessera.operators.topology import boundary_edges
 from tessera.sources.scratch import table
@@ -57,53 +57,48 @@ def eulerian_steps(edges: DataFrame) -> DataFrame:
 
     Extra edges from vertices where more edges arrive to such where more leave
     make every vertex even. Arriving and leaving edges are paired by number at
-    each vertex, which makes circuits. Circuits that meet at a vertex are joined
-    by exchanging successors there: each goes to the smallest circuit it meets,
-    round by round, until one is left of each component. Walks are what is left
-    between the extra edges. path_id is a walk's smallest eid. All of it is
-    joins, sorts and counts; no vertex, circuit or component has to fit a task.
+    each vertex, which makes circuits. Circuits and the vertices they meet at
+    are a graph; along one spanning forest of it, the circuits at each vertex
+    exchange successors in turn, which joins all circuits of a component at
+    once. Walks are what is left between the extra edges. path_id is a walk's
+    smallest eid. All of it is joins, sorts and counts; no vertex, circuit or
+    component has to fit a task.
     """
     e = table(edges.select(KEY, "eid", "v0", "v1"))
     kind = e.schema["eid"].dataType
-    part = connected_components(e.select(F.struct(KEY, F.col("v0").alias("id")).alias("src"), F.struct(KEY, F.col("v1").alias("id")).alias("dst")))
-    part = part.select(F.col(f"node.{KEY}").alias(KEY), F.col("node.id").alias("vid"), F.col("label.id").alias("part"))
     ways = e.select(KEY, F.explode(F.array(F.struct(F.col("v0").alias("vid"), F.lit(1).alias("d")), F.struct(F.col("v1").alias("vid"), F.lit(-1).alias("d")))).alias("w"))
-    odd = ways.groupBy(KEY, F.col("w.vid").alias("vid")).agg(F.sum("w.d").alias("d")).where("d <> 0").join(part, [KEY, "vid"])
-    units = table(odd.withColumn("u", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("d")))).withColumn("o", F.struct("vid", "u")))
-    short, over = (_numbered(units.where(c).select(KEY, "part", "vid", "o"), [KEY, "part"], "o", "n") for c in ("d < 0", "d > 0"))
-    extra = short.select(KEY, "part", "n", F.col("vid").alias("v0")).join(over.select(KEY, "part", "n", F.col("vid").alias("v1")), [KEY, "part", "n"])
-    none = F.lit(None)
-    every = e.select(KEY, "eid", "v0", "v1", F.lit(False).alias("extra"), none.cast("long").alias("p"), none.cast("long").alias("n"))
-    every = every.unionByName(extra.select(KEY, none.cast(kind).alias("eid"), "v0", "v1", F.lit(True).alias("extra"), F.col("part").cast("long").alias("p"), F.col("n").cast("long").alias("n")))
-    every = every.withColumn("o", F.struct("extra", "eid", "p", "n"))
-    every = table(_numbered(every, [KEY], "o", "i").select(KEY, "i", "eid", "v0", "v1", "extra"))
-    arriving = _numbered(every.select(KEY, F.col("v1").alias("v"), "i"), [KEY, "v"], "i", "k")
-    leaving = _numbered(every.select(KEY, F.col("v0").alias("v"), F.col("i").alias("j")), [KEY, "v"], "j", "k")
-    pairs = table(arriving.join(leaving, [KEY, "v", "k"]).drop("k"))
+    odd = ways.groupBy(KEY, F.col("w.vid").alias("vid")).agg(F.sum("w.d").alias("d")).where("d <> 0")
+    units = odd.withColumn("u", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("d")))).select(KEY, (F.col("d") > 0).alias("over"), "vid", F.struct("vid", "u").alias("o"))
+    units = table(_numbered(units, [KEY, "over"], "o", "n"))
+    extra = units.where("NOT over").select(KEY, "n", F.col("vid").alias("v0")).join(units.where("over").select(KEY, "n", F.col("vid").alias("v1")), [KEY, "n"])
+    every = e.select(KEY, "eid", "v0", "v1", F.lit(None).cast("long").alias("n"))
+    every = every.unionByName(extra.select(KEY, F.lit(None).cast(kind).alias("eid"), "v0", "v1", F.col("n").cast("long").alias("n")))
+    every = every.withColumn("o", F.struct(F.col("n").isNotNull().alias("x"), "eid", "n"))
+    every = table(dense_ids(every, "o", "i").select(KEY, "i", "eid", "v0", "v1", F.col("n").isNotNull().alias("extra")))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("v1").alias("v")), F.struct(F.lit(1).alias("way"), F.col("v0").alias("v"))))
+    met = table(_numbered(every.select(KEY, "i", ends.alias("w")).select(KEY, "w.way", "w.v", "i"), [KEY, "v", "way"], "i", "k"))
+    pairs = met.where("way = 0").select(KEY, "v", "k", "i").join(met.where("way = 1").select(KEY, "v", "k", F.col("i").alias("j")), [KEY, "v", "k"])
+    pairs = table(pairs.select(KEY, "v", "i", "j"))
     item = lambda c: F.struct(F.col(KEY), F.col(c).alias("id"))
-    named = connected_components(pairs.select(item("i").alias("src"), item("j").alias("dst")))
-    state = table(pairs.join(named.select(F.col(f"node.{KEY}").alias(KEY), F.col("node.id").alias("i"), F.col("label.id").alias("c")), [KEY, "i"]))
-    while True:
-        low = state.groupBy(KEY, "v").agg(F.min("c").alias("m"), F.max("c").alias("x")).where("m <> x").drop("x")
-        hooks = state.join(low, [KEY, "v"]).where("c > m").groupBy(KEY, "c").agg(F.min(F.struct("m", "v")).alias("h"))
-        hooks = table(hooks.select(KEY, "c", "h.m", "h.v"))
-        if hooks.isEmpty():
-            break
-        joined = hooks.select(KEY, "v", "c").unionByName(hooks.select(KEY, "v", F.col("m").alias("c")).distinct())
-        chosen = state.join(joined, [KEY, "v", "c"]).groupBy(KEY, "v", "c").agg(F.min(F.struct("i", "j")).alias("r")).select(KEY, "v", "c", "r.i", "r.j")
-        chosen = table(_numbered(chosen, [KEY, "v"], "c", "k"))
-        # Each chosen edge goes on where the next one of its vertex did.
-        size = chosen.groupBy(KEY, "v").agg(F.count("*").alias("m"))
-        after = chosen.select(KEY, "v", F.col("k").alias("to"), F.col("j").alias("j2"))
-        moved = chosen.join(size, [KEY, "v"]).withColumn("to", (F.col("k") + 1) % F.col("m")).join(after, [KEY, "v", "to"]).select(KEY, "i", "j2")
-        roots = connected_components(hooks.select(item("c").alias("src"), item("m").alias("dst")))
-        roots = roots.select(F.col(f"node.{KEY}").alias(KEY), F.col("node.id").alias("c"), F.col("label.id").alias("c2"))
-        state = state.join(moved, [KEY, "i"], "left").join(roots, [KEY, "c"], "left")
-        state = table(state.select(KEY, "i", "v", F.coalesce("j2", "j").alias("j"), F.coalesce("c2", "c").alias("c")))
+    named = chains(pairs.select(item("i").alias("item"), item("j").alias("next")))
+    named = named.select(F.col(f"item.{KEY}").alias(KEY), F.col("item.id").alias("i"), F.col("label.id").alias("c"))
+    at = pairs.join(named, [KEY, "i"]).groupBy(KEY, "v", "c").agg(F.min(F.struct("i", "j")).alias("r"))
+    low = at.groupBy(KEY, "v").agg(F.min("c").alias("m"), F.count("*").alias("w")).where("w > 1").drop("w")
+    at = table(at.join(low, [KEY, "v"]))
+    # A vertex belongs to its smallest circuit; every other circuit there is an edge to that one.
+    tree = spanning_forest(at.where("c <> m").select(item("c").alias("src"), item("m").alias("dst"), F.struct(F.col(KEY), "v", "c").alias("id")))
+    tree = table(tree.select(F.col(f"id.{KEY}").alias(KEY), "id.v", "id.c"))
+    hubs = tree.join(low, [KEY, "v"]).select(KEY, "v", F.col("m").alias("c")).distinct()
+    chosen = table(_numbered(at.join(tree.unionByName(hubs), [KEY, "v", "c"]).select(KEY, "v", "c", "r"), [KEY, "v"], "c", "k"))
+    # Each chosen edge goes on where the next one of its vertex did.
+    size = chosen.groupBy(KEY, "v").agg(F.count("*").alias("m"))
+    after = chosen.select(KEY, "v", F.col("k").alias("to"), F.col("r.j").alias("j2"))
+    moved = chosen.join(size, [KEY, "v"]).withColumn("to", (F.col("k") + 1) % F.col("m")).join(after, [KEY, "v", "to"]).select(KEY, F.col("r.i").alias("i"), "j2")
     real = every.where("NOT extra").drop("extra")
     on = real.select(KEY, F.col("i").alias("j"), F.lit(True).alias("go"))
-    links = real.select(KEY, "i").join(state.select(KEY, "i", "j"), [KEY, "i"]).join(on, [KEY, "j"], "left")
-    placed = chains(table(links.select(item("i").alias("item"), F.when(F.col("go"), item("j")).alias("next"))))
+    goes = pairs.join(moved, [KEY, "i"], "left").select(KEY, "i", F.coalesce("j2", "j").alias("j"))
+    links = real.select(KEY, "i").join(goes, [KEY, "i"]).join(on, [KEY, "j"], "left")
+    placed = chains(links.select(item("i").alias("item"), F.when(F.col("go"), item("j")).alias("next")))
     placed = placed.select(F.col(f"item.{KEY}").alias(KEY), F.col("item.id").alias("i"), F.col("label.id").alias("first"), "pos", "closed")
     label = real.select(KEY, F.col("i").alias("first"), F.col("eid").alias("path_id"))
     out = table(placed.join(real, [KEY, "i"]).join(label, [KEY, "first"]))
@@ -120,27 +115,19 @@ def eulerian_paths(edges: DataFrame) -> DataFrame:
 def boundary_paths(faces: DataFrame) -> DataFrame:
     """The boundary as directed loops (first vertex repeated at the end).
 
-    Loops whose vertices all have one way out are placed by list ranking;
-    components with pinched vertices are walked as Eulerian paths.
+    Where every vertex has one way in and one way out at most, loops are placed
+    by list ranking; if any is pinched, all are walked as Eulerian paths. A
+    loop is named by its smallest vertex, from which it counts.
     """
-    e = table(boundary_edges(faces))
-    ways = e.groupBy(KEY, "v0").agg(F.count("*").alias("out")).withColumnRenamed("v0", "vid")
-    part = connected_components(e.select(F.struct(KEY, F.col("v0").alias("id")).alias("src"), F.struct(KEY, F.col("v1").alias("id")).alias("dst")))
-    part = part.select(F.col(f"node.{KEY}").alias(KEY), F.col("node.id").alias("vid"), F.col("label.id").alias("part"))
-    simple = part.join(ways, [KEY, "vid"], "left").groupBy(KEY, "part").agg(F.bool_and(F.coalesce("out", F.lit(1)) == 1).alias("simple"), F.count("*").alias("n"))
-    arrive = e.join(part.withColumnRenamed("vid", "v1"), [KEY, "v1"]).groupBy(KEY, "part", "v1").agg(F.count("*").alias("m")).groupBy(KEY, "part").agg((F.max("m") == 1).alias("one"))
-    kind = simple.join(arrive, [KEY, "part"]).select(KEY, "part", (F.col("simple") & F.col("one")).alias("simple"))
-    e = table(e.join(part.withColumnRenamed("vid", "v0"), [KEY, "v0"]).join(kind, [KEY, "part"]))
-    line = e.where("simple").select(KEY, "v0", "v1")
-    on = line.select(KEY, F.col("v0").alias("v1"), F.lit(True).alias("_go"))
-    links = line.join(on, [KEY, "v1"], "left").select(F.struct(KEY, F.col("v0").alias("id")).alias("item"), F.when(F.col("_go"), F.struct(F.col(KEY), F.col("v1").alias("id"))).alias("next"))
+    e = table(boundary_edges(faces).select(KEY, "v0", "v1"))
+    pinched = e.groupBy(KEY, "v0").count().unionByName(e.groupBy(KEY, F.col("v1").alias("v0")).count()).where("count > 1")
+    if not pinched.isEmpty():
+        walks = eulerian_paths(e.withColumn("eid", F.struct("v0", "v1")))
+        return walks.select(KEY, F.col("path_id.v0").alias("path_id"), "vids", "closed")
+    on = e.select(KEY, F.col("v0").alias("v1"), F.lit(True).alias("_go"))
+    links = e.join(on, [KEY, "v1"], "left").select(F.struct(KEY, F.col("v0").alias("id")).alias("item"), F.when(F.col("_go"), F.struct(F.col(KEY), F.col("v1").alias("id"))).alias("next"))
     placed = chains(links).select(F.col(f"item.{KEY}").alias(KEY), F.col("item.id").alias("v0"), F.col("label.id").alias("label"), "pos", "closed")
-    loops = _gather(placed.join(line, [KEY, "v0"]))
-    rest = table(e.where("NOT simple").select(KEY, F.struct("v0", "v1").alias("eid"), "v0", "v1"))
-    if rest.isEmpty():
-        return loops
-    pinched = eulerian_paths(rest)
-    return loops.unionByName(pinched.select(KEY, F.col("path_id.v0").alias("path_id"), "vids", "closed"))
+    return _gather(placed.join(e, [KEY, "v0"]))
 
 
 def planar_regions(edges: DataFrame, points: DataFrame) -> DataFrame:
