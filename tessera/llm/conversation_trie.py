@@ -220,7 +220,7 @@ def prefix_trie(rows: DataFrame, convs: DataFrame, segment: int = SEGMENT, shard
     if each.where("open").isEmpty():
         every = _tries(closed, shard_turns)
     else:
-        later = table(_tries(each.where("level > 0").select("*", *zero)).where("depth = 0").select("trie", "children", "leaves", "saved", "ends"))
+        later = table(_tries(each.where("level > 0").select("*", *zero), shard_turns).where("depth = 0").select("trie", "children", "leaves", "saved", "ends"))
         known = _totals(later, each.where("open").select("trie", "child"))
         known = known.select(F.col("trie").alias("child"), F.col("children").alias("o_children"), F.col("leaves").alias("o_leaves"), F.col("saved").alias("o_saved"), F.col("ends").alias("_e"))
         opened = each.where("open").join(known, "child").withColumn("ends", F.col("_e")).drop("_e")
