@@ -85,3 +85,25 @@ def segments2d(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = F.explode(F.array(F.struct((F.col("eid") * 2).alias("vid"), F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct((F.col("eid") * 2 + 1).alias("vid"), (F.col("x0") + F.col("dx")).alias("x"), (F.col("y0") + F.col("dy")).alias("y"))))
     points = ends.select("mesh_id", p.alias("p")).select("mesh_id", "p.vid", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"), F.lit(0.0).alias("z"))
     return edges, points
+
+
+def quad_terrain(spark: SparkSession, sf_dir: str) -> Mesh:
+    """The terrain, a fiftieth as high, with one face of four corners a cell, named by its first corner."""
+    m = terrain(spark, sf_dir)
+    k = F.col("vids")[0]
+    quads = m.faces.where(F.col("fid") % 2 == 0).select("mesh_id", k.alias("fid"), F.array(k, k + 1, k + COLUMNS + 1, k + COLUMNS).alias("vids"))
+    return Mesh(quads, m.points.withColumn("z", F.col("z") / 50))
+
+
+#: The sides of a box by its corners, bits of a corner's number telling its place on x, y and z.
+BOX = ((0, 2, 3, 1), (4, 5, 7, 6), (0, 1, 5, 4), (2, 6, 7, 3), (0, 4, 6, 2), (1, 3, 7, 5))
+
+
+def quad_boxes(spark: SparkSession, sf_dir: str, move: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> Mesh:
+    """A box of six quads for each supplier, in a mesh of its own: its sides are 1 to 7 long, and move is in parts of them."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("mesh_id"))
+    size = 1 + F.col("mesh_id") % 7
+    place = [[float(i >> k & 1) + m for k, m in enumerate(move)] for i in range(8)]
+    p = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("vid"), *[(F.lit(c) * size).alias(a) for a, c in zip("xyz", xyz, strict=True)]) for i, xyz in enumerate(place)]))
+    f = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("fid"), F.array(*[F.lit(v).cast("long") for v in side]).alias("vids")) for i, side in enumerate(BOX)]))
+    return Mesh(s.select("mesh_id", f.alias("f")).select("mesh_id", "f.fid", "f.vids"), s.select("mesh_id", p.alias("p")).select("mesh_id", "p.*"))

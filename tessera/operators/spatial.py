@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import primitives as P
 from tessera.model import KEY, Mesh, fat_faces
+from tessera.operators.triangulate import fat_triangles
 from tessera.sources.scratch import table
 
 AXES = P.AXES
@@ -155,25 +156,31 @@ def knn(points: DataFrame, queries: DataFrame, k: int = 1, radius: float | None
     return best.join(again.select(KEY, "qid"), [KEY, "qid"], "left_anti").unionByName(met(again))
 
 
+def _triangles(mesh: Mesh) -> DataFrame:
+    """mesh_id, id, vids, pts: the triangles of all faces; id names face and triangle."""
+    return fat_triangles(mesh).select(KEY, F.struct("fid", "tri").alias("id"), "vids", "pts")
+
+
 def nearest_faces(mesh: Mesh, queries: DataFrame, radius: float | None = None) -> DataFrame:
-    """The nearest triangle of each query, within radius where there is one: mesh_id, qid, fid, d2, point.
+    """The nearest face of each query, within radius where there is one: mesh_id, qid, fid, d2, point.
 
     No face is farther than its nearest vertex, so each query looks as far as
-    the nearest vertex of a face lies.
+    the nearest vertex of a face lies. Faces of any number of corners are met as
+    triangles; ties go to the smaller fid.
     """
-    f = table(fat_faces(mesh))
+    f = table(_triangles(mesh))
     named = mesh.points.join(f.select(KEY, F.explode("vids").alias("vid")).distinct(), [KEY, "vid"], "left_semi")
     far = knn(named, queries, 1).select(KEY, "qid", F.sqrt("d2").alias("far"))
     at = queries.join(far, [KEY, "qid"]).withColumn("far", F.col("far") * (1 + 1e-9) + 1e-12)
     at = table(at if radius is None else at.withColumn("far", F.least("far", F.lit(float(radius)))))
     p = F.col("pts")
     spots = at.select(KEY, F.col("qid").alias("id"), P.each(lambda v: v - F.col("far"), P.point()).alias("low"), P.each(lambda v: v + F.col("far"), P.point()).alias("high"))
-    met = box_pairs(spots, f.select(KEY, F.col("fid").alias("id"), P.box_low(p).alias("low"), P.box_high(p).alias("high")))
-    both = met.join(_named(at, "qid", 0), [KEY, "id0"]).join(f.select(KEY, F.col("fid").alias("id1"), "pts"), [KEY, "id1"])
+    met = box_pairs(spots, f.select(KEY, "id", P.box_low(p).alias("low"), P.box_high(p).alias("high")))
+    both = met.join(_named(at, "qid", 0), [KEY, "id0"]).join(f.select(KEY, F.col("id").alias("id1"), "pts"), [KEY, "id1"])
     c = [F.get("pts", F.lit(i)) for i in range(3)]
     both = both.withColumn("point", P.closest_on_triangle(F.col("p0"), *c)).withColumn("d2", P.distance2(F.col("p0"), F.col("point")))
     both = both if radius is None else both.where(F.col("d2") <= radius * radius)
-    best = both.groupBy(KEY, F.col("id0").alias("qid")).agg(F.min(F.struct("d2", F.col("id1").alias("fid"), "point")).alias("b"))
+    best = both.groupBy(KEY, F.col("id0").alias("qid")).agg(F.min(F.struct("d2", F.col("id1.fid").alias("fid"), "point")).alias("b"))
     return best.select(KEY, "qid", "b.fid", "b.d2", "b.point")
 
 
@@ -188,12 +195,12 @@ def set_distance(points: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def ray_hits(mesh: Mesh, rays: DataFrame, pieces: int = 64) -> DataFrame:
-    """The nearest hit of each ray (mesh_id, ray_id, ox, oy, oz, dx, dy, dz, min_t, max_t) on triangles: mesh_id, ray_id, fid, t, point.
+    """The nearest hit of each ray (mesh_id, ray_id, ox, oy, oz, dx, dy, dz, min_t, max_t) on faces: mesh_id, ray_id, fid, t, point.
 
     A ray is cut where it leaves the mesh's box and into pieces, whose boxes
     meet those of faces; hits are then exact. Rays without a hit have no row.
     """
-    tri = table(fat_faces(mesh))
+    tri = table(_triangles(mesh))
     ends = tri.select(KEY, P.box_low(F.col("pts")).alias("l"), P.box_high(F.col("pts")).alias("h")).groupBy(KEY)
     ends = ends.agg(*[f(F.col(c)[a]).alias(f"{c}{a}") for c, f in (("l", F.min), ("h", F.max)) for a in AXES])
     o, d = P.vec(F.col("ox"), F.col("oy"), F.col("oz")), P.vec(F.col("dx"), F.col("dy"), F.col("dz"))
@@ -210,11 +217,11 @@ def ray_hits(mesh: Mesh, rays: DataFrame, pieces: int = 64) -> DataFrame:
     slack = 1e-9
     boxes = cut.select(KEY, F.col("ray_id").alias("id"), P.each(lambda a, b: F.least(a, b) - slack, at(0), at(1)).alias("low"), P.each(lambda a, b: F.greatest(a, b) + slack, at(0), at(1)).alias("high"))
     p = F.col("pts")
-    faces = tri.select(KEY, F.col("fid").alias("id"), P.box_low(p).alias("low"), P.box_high(p).alias("high"))
-    met = box_pairs(boxes, faces).distinct().select(KEY, F.col("id0").alias("ray_id"), F.col("id1").alias("fid"))
-    both = met.join(rays, [KEY, "ray_id"]).join(tri.select(KEY, "fid", "pts"), [KEY, "fid"])
+    faces = tri.select(KEY, "id", P.box_low(p).alias("low"), P.box_high(p).alias("high"))
+    met = box_pairs(boxes, faces).distinct().select(KEY, F.col("id0").alias("ray_id"), F.col("id1").alias("id"))
+    both = met.join(rays, [KEY, "ray_id"]).join(tri.select(KEY, "id", "pts"), [KEY, "id"])
     hit = both.withColumn("h", P.ray_triangle(o, d, *[F.get("pts", F.lit(i)) for i in range(3)], F.col("min_t"), F.col("max_t"))).where("h.status = 'intersection'")
-    best = hit.groupBy(KEY, "ray_id").agg(F.min(F.struct("h.t", "fid", "h.point")).alias("b"))
+    best = hit.groupBy(KEY, "ray_id").agg(F.min(F.struct("h.t", "id.fid", "h.point")).alias("b"))
     return best.select(KEY, "ray_id", "b.fid", "b.t", "b.point")
 
 
@@ -228,20 +235,20 @@ def _tilted(a: float, b: float) -> Callable[[Column], Column]:
 
 
 def points_in_mesh(mesh: Mesh, queries: DataFrame) -> DataFrame:
-    """mesh_id, qid, side (inside or outside) of points against a closed triangle mesh.
+    """mesh_id, qid, side (inside or outside) of points against a closed mesh of any faces.
 
     Signed crossings of a ray are summed; along a fixed tilted direction the
-    search is a join of points with the triangles' shadows.
+    search is a join of points with the shadows of the faces' triangles.
     """
-    tri = table(fat_faces(mesh))
+    tri = table(_triangles(mesh))
     left, out = queries.select(KEY, "qid", "x", "y", "z"), None
     for n, (a, b) in enumerate(_TILTS):
         flat = _tilted(a, b)
-        shadow = tri.select(KEY, F.col("fid").alias("id"), F.transform("pts", flat).alias("s"))
+        shadow = tri.select(KEY, "id", F.transform("pts", flat).alias("s"))
         boxes = shadow.select(KEY, "id", P.box_low(F.col("s")).alias("low"), P.box_high(F.col("s")).alias("high"))
         spot = left.select(KEY, F.col("qid").alias("id"), flat(P.point()).alias("low")).withColumn("high", F.col("low"))
-        met = box_pairs(spot, boxes).select(KEY, F.col("id0").alias("qid"), F.col("id1").alias("fid"))
-        both = met.join(left.select(KEY, "qid", P.point().alias("q")), [KEY, "qid"]).join(tri.select(KEY, "fid", "pts"), [KEY, "fid"])
+        met = box_pairs(spot, boxes).select(KEY, F.col("id0").alias("qid"), F.col("id1").alias("id"))
+        both = met.join(left.select(KEY, "qid", P.point().alias("q")), [KEY, "qid"]).join(tri.select(KEY, "id", "pts"), [KEY, "id"])
         q = flat(F.col("q"))
         c = [flat(F.get("pts", F.lit(i))) for i in range(3)]
         turn = lambda u, v: (u["y"] - q["y"]) * (v["z"] - q["z"]) - (v["y"] - q["y"]) * (u["z"] - q["z"])
