@@ -86,16 +86,18 @@ def document_frequencies(training: DataFrame) -> np.ndarray:
     return out
 
 
-def sample(training: DataFrame, counts: dict[str, int], per_language: int) -> DataFrame:
-    """The per_language rows with the smallest hashes of _id and text of each language, all rows of smaller ones.
+def sample(training: DataFrame, distinct: dict[str, int], per_language: int) -> DataFrame:
+    """The per_language documents with the smallest hashes of _id and text of each language, all documents of smaller ones.
 
-    Rows far above a language's share are left out before the ranking.
+    A document counts once however often its row is repeated. distinct: about
+    how many documents each language has; those far above its share are left
+    out before the ranking, but where it has few all stay.
     """
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (4.0 * per_language + 100) / n))])
-    h = F.xxhash64("_id", "_t")
-    few = training.withColumn("_h", h).where(h / float(1 << 64) + 0.5 <= F.element_at(share, F.col("_lang")))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id"))
-    return few.withColumn("_n", rank).where(F.col("_n") <= per_language).drop("_h", "_n")
+    share = F.create_map(*[F.lit(x) for lang, n in distinct.items() for x in (lang, min(1.0, (4.0 * per_language + 100) / max(1, n)))])
+    few = training.withColumn("_h", F.xxhash64("_id", "_t")).where(F.col("_h") / float(1 << 64) + 0.5 <= F.element_at(share, F.col("_lang")))
+    each = few.groupBy("_lang", "_h").agg(F.min("_id").alias("_id"), F.min("_t").alias("_t"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))
+    return each.withColumn("_n", rank).where(F.col("_n") <= per_language).drop("_h", "_n")
 
 
 def fit(docs: DataFrame, per_language: int = 500, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", epochs: int = 4) -> dict:
@@ -103,16 +105,19 @@ def fit(docs: DataFrame, per_language: int = 500, text: str = "text", doc_id: st
 
     Learned from documents outside the held-out quarter with a language; the
     classifier from at most per_language documents of each language, those with
-    the smallest hashes, the document frequencies from all.
+    the smallest hashes, the document frequencies from all. Of more than
+    MOST_LANGUAGES languages those with the most rows are learned (of equals, the
+    first by code point), so that stray values of lang neither fail the job nor
+    crowd out real ones.
     """
     training = _rows(docs, text, doc_id, lang).where(_usable())
-    counts = dict(training.groupBy("_lang").count().collect())
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"{len(counts)} languages are more than {MOST_LANGUAGES}")
+    counts = training.groupBy("_lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("_id", "_t")).alias("d"))
+    counts = {lang: d for lang, _, d in counts.orderBy(F.desc("n"), "_lang").limit(MOST_LANGUAGES).collect()}
     langs = sorted(counts)
     if not langs:
         return {"langs": [], "w": np.zeros((SIZE, 0), np.float32), "bias": np.zeros(0)}
     df = document_frequencies(training)
+    training = training.where(F.element_at(F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(True))]), F.col("_lang")))
     idf = np.log((1 + df[SIZE]) / (1 + df[:SIZE]))
     idf = 1.0 + idf
 
@@ -174,7 +179,8 @@ def language_id(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lan
     """One row for each row of docs: doc_id, held_out, lang_pred, score.
 
     A text that is null or has no letters is "und" with score 0, as is every
-    text if no document has a language. Null doc_ids are predicted and not held
+    text if no document has a language. The MOST_LANGUAGES languages with the
+    most rows can be predicted, however few documents a language's rows repeat. Null doc_ids are predicted and not held
     out, repeated rows get the same answer, texts of any length count whole, an
     empty table gives an empty result, and other columns take no part.
     """

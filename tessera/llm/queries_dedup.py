@@ -19,7 +19,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+    return passages(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash", "salt")
 
 
 QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op4_jaccard_join": op4_jaccard_join, "op6_exact_dedup": op6_exact_dedup}

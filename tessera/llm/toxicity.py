@@ -93,14 +93,17 @@ def usable_labels(labels: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, usable: DataFrame, per_class: int, text: str, doc_id: str) -> DataFrame:
-    """(y, idx, less) of the rows of at most per_class labels of each class, y -1 for swaps: features gained and lost.
+    """(y, idx, less) of one row for each of at most per_class labels of each class, y -1 for swaps: features gained and lost.
 
-    The labels with the smallest hashes of doc_id are taken.
+    The labels with the smallest hashes of doc_id are taken, and of the rows of
+    one doc_id a text with the smallest hash: however often a document is
+    repeated, a label has one row.
     """
     first = [usable.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     chosen = first[0].unionByName(first[1])
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), text_or_empty(F.col(text)).alias("_t"))
-    rows = rows.join(F.broadcast(chosen), "_id").select("_y", "_t")
+    first = F.min(F.struct(F.xxhash64("_t").alias("h"), "_t"))["_t"].alias("_t")
+    rows = rows.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.max("_y").alias("_y"), first).select("_y", "_t")  # 2 * per_class labels at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,8 +121,8 @@ def training_rows(docs: DataFrame, usable: DataFrame, per_class: int, text: str,
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, text: str = "text", doc_id: str = "doc_id", steady: float = 10.0, epochs: int = 4) -> dict:
     """Weights of a classifier: {"bias", "at", "w"}.
 
-    The texts of at most 2 * per_class labels outside the held-out quarter are
-    read; each class counts as often as it stands among all such labels. Null
+    One text for each of at most 2 * per_class labels outside the held-out quarter
+    is read; each class counts as often as it stands among all such labels. Null
     labels don't count, repeated ones of a doc_id once, as toxic if they differ.
     What a text sends is bounded by its distinct features and changes. steady is the
     weight of the penalty on score changes when a group's name is swapped.
