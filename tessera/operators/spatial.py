@@ -1,9 +1,12 @@
-"""Spatial joins on a grid of several levels.
-
-A box lies on the level whose cells are about its size and so in eight cells at
-most; it is also entered on the coarser levels on which boxes of the other side
-lie. Two boxes meet on the coarser of their levels, in the first cell they share,
-so each pair comes up once and large boxes never spread over many small cells.
+"""Spatial joins on grids whose cells are as fine as the data.
+
+A box lies on the level whose cells are about its own size, whatever the others'
+sizes are, and so in eight cells at most; it is also entered on the coarser
+levels on which boxes of the other side lie. Two boxes meet on the coarser of
+their levels, in the first cell they share, so each pair comes up once, large
+boxes never spread over many small cells and a dense cluster of small ones is
+as far apart as it is anywhere. Points have a tree of cells that go on splitting
+where many points lie.
 """
 
 from __future__ import annotations
@@ -22,31 +25,43 @@ from tessera.sources.scratch import table
 AXES = P.AXES
 
 
-def _level(size: float, levels: int) -> Column:
+def _level(low: int) -> Column:
+    """The power of two that is a box's size or next above it, low at least."""
     extent = F.greatest(*[F.col("high")[a] - F.col("low")[a] for a in AXES])
-    return F.least(F.lit(levels), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(1e-300)) / size)))).cast("int")
+    return F.greatest(F.lit(low), F.ceil(F.log2(F.greatest(extent, F.lit(1e-300))))).cast("int")
 
 
-def _cells(boxes: DataFrame, size: float, levels: int, others: list[int], side: str) -> DataFrame:
+def _cells(boxes: DataFrame, lowest: int, others: list[int], side: str) -> DataFrame:
     """Box rows (mesh_id, id, low, high) by level and cell, on their own level (home) and coarser ones among others."""
     coarser = F.filter(F.array(*[F.lit(k) for k in others]), lambda k: k > F.col("_own"))
-    at = boxes.withColumn("_own", _level(size, levels)).withColumn("level", F.explode(F.concat(F.array("_own"), coarser)))
-    at = at.withColumn("_size", F.pow(F.lit(2.0), F.col("level")) * size)
+    at = boxes.withColumn("_own", _level(lowest)).withColumn("level", F.explode(F.concat(F.array("_own"), coarser)))
+    at = at.withColumn("_size", F.pow(F.lit(2.0), F.col("level")))
     for a in AXES:
         at = at.withColumn(f"_{a}0", F.floor(F.col("low")[a] / F.col("_size"))).withColumn(f"c{a}", F.explode(F.sequence(F.col(f"_{a}0"), F.floor(F.col("high")[a] / F.col("_size")))))
     return at.select(KEY, F.col("id").alias(f"id{side}"), "level", "cx", "cy", "cz", (F.col("_own") == F.col("level")).alias(f"home{side}"), *[F.col(f"_{a}0").alias(f"{a}{side}") for a in AXES], F.col("low").alias(f"low{side}"), F.col("high").alias(f"high{side}"))
 
 
-def box_pairs(left: DataFrame, right: DataFrame, size: float | None = None) -> DataFrame:
-    """(mesh_id, id0, id1) of overlapping boxes (mesh_id, id, low, high), each pair once."""
+def cell_meetings(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Boxes of two sides that share a cell, once for each pair: mesh_id, id0, low0, high0, id1, low1, high1.
+
+    Levels are powers of two, so at most a few dozen hold boxes; a cell that
+    very many boxes of one side share is split by adaptive execution.
+    """
     extent = F.greatest(*[F.col("high")[a] - F.col("low")[a] for a in AXES])
-    mean, most = left.select(extent.alias("e")).unionByName(right.select(extent.alias("e"))).agg(F.avg("e"), F.max("e")).first()
-    size = size or max(mean or 0.0, 1e-9)
-    levels = max(0, math.ceil(math.log2(max(most or size, size) / size)))
-    held = [sorted(r[0] for r in b.select(_level(size, levels)).distinct().collect()) for b in (left, right)]  # at most levels + 1 rows each
-    both = _cells(left, size, levels, held[1], "0").join(_cells(right, size, levels, held[0], "1"), [KEY, "level", "cx", "cy", "cz"])
+    far = F.greatest(*[F.greatest(F.abs(F.col("low")[a]), F.abs(F.col("high")[a])) for a in AXES])
+    small, reach = left.select(extent.alias("e"), far.alias("f")).unionByName(right.select(extent.alias("e"), far.alias("f"))).agg(F.min(F.when(F.col("e") > 0, F.col("e"))), F.max("f")).first()
+    # Cells too small for the coordinates' own precision would not be told apart.
+    floor = math.ceil(math.log2(max(reach or 0.0, 1e-290))) - 44
+    lowest = floor if small is None else max(floor, math.ceil(math.log2(small)))
+    held = [sorted(r[0] for r in b.select(_level(lowest)).distinct().collect()) for b in (left, right)]
+    both = _cells(left, lowest, held[1], "0").join(_cells(right, lowest, held[0], "1"), [KEY, "level", "cx", "cy", "cz"])
     first = (F.col("cx") == F.greatest("x0", "x1")) & (F.col("cy") == F.greatest("y0", "y1")) & (F.col("cz") == F.greatest("z0", "z1"))
-    met = both.where((F.col("home0") | F.col("home1")) & first & P.box_overlaps(F.col("low0"), F.col("high0"), F.col("low1"), F.col("high1")))
+    return both.where((F.col("home0") | F.col("home1")) & first)
+
+
+def box_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(mesh_id, id0, id1) of overlapping boxes (mesh_id, id, low, high), each pair once."""
+    met = cell_meetings(left, right).where(P.box_overlaps(F.col("low0"), F.col("high0"), F.col("low1"), F.col("high1")))
     return met.select(KEY, "id0", "id1")
 
 
@@ -66,7 +81,7 @@ def _named(points: DataFrame, id_col: str, n: int) -> DataFrame:
 
 def pairs_within(left: DataFrame, right: DataFrame, distance: float, left_id: str = "vid", right_id: str = "vid") -> DataFrame:
     """(mesh_id, id0, id1, d2) of points of two sets within a distance."""
-    met = box_pairs(point_boxes(left, distance, left_id), point_boxes(right, 0.0, right_id), size=2 * distance)
+    met = box_pairs(point_boxes(left, distance, left_id), point_boxes(right, 0.0, right_id))
     both = met.join(_named(left, left_id, 0), [KEY, "id0"]).join(_named(right, right_id, 1), [KEY, "id1"])
     return both.select(KEY, "id0", "id1", P.distance2(F.col("p0"), F.col("p1")).alias("d2")).where(F.col("d2") <= distance * distance)
 
@@ -86,74 +101,118 @@ def ids_meeting(rows: DataFrame, predicate: Column) -> DataFrame:
     return rows.where(predicate)
 
 
+#: Points in a cell above which it splits, times k; levels that a split goes down.
+_CROWD, _DOWN = 16, 3
+
+
+def _tree(held: DataFrame, dims: list[str], size: float, top: int, crowd: int) -> tuple[DataFrame, int]:
+    """(counts of points by mesh_id, level and cell, the lowest level), from cells on level 0 that split while they are crowded.
+
+    A round counts only points of crowded cells, on cells an eighth as long.
+    Cells of a split level are known wherever the one above was crowded; counts
+    on coarser levels are sums of finer ones.
+    """
+    cell = lambda a, level: F.floor(F.col("p")[a] / (2.0**level * size)).alias(f"c{a}")
+    names = [f"c{a}" for a in dims]
+    level, points, leaves = 0, held.select(KEY, "p"), None
+    while True:
+        at = points.select(KEY, "p", *[cell(a, level) for a in dims])
+        counts = table(at.groupBy(KEY, *names).agg(F.count("*").alias("n"), F.min("p").alias("_l"), F.max("p").alias("_h")))
+        crowded = counts.where((F.col("n") > crowd) & (F.col("_l") != F.col("_h")))  # equal points can't be told apart
+        done = level - _DOWN < -60 or crowded.isEmpty()
+        calm = counts if done else counts.join(crowded.select(KEY, *names), [KEY, *names], "left_anti")
+        calm = calm.select(KEY, F.lit(level).alias("level"), *names, "n")
+        leaves = calm if leaves is None else leaves.unionByName(calm)
+        if done:
+            break
+        points = table(at.join(crowded.select(KEY, *names), [KEY, *names], "left_semi").select(KEY, "p"))
+        level -= _DOWN
+    up = leaves.select(KEY, F.explode(F.sequence("level", F.lit(top))).alias("_to"), "level", *names, "n")
+    up = up.select(KEY, F.col("_to").alias("level"), *[F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_to") - F.col("level"))).alias(c) for c in names], "n")
+    return table(up.groupBy(KEY, "level", *names).agg(F.sum("n").alias("n"))), level
+
+
+def _around(rows: DataFrame, dims: list[str], size: float) -> DataFrame:
+    """Each query with the cells of its level next to it."""
+    for a in dims:
+        c = F.floor(F.col("q")[a] / (F.pow(F.lit(2.0), F.col("level")) * size))
+        rows = rows.withColumn(f"c{a}", F.explode(F.sequence(c - 1, c + 1)))
+    return rows
+
+
+def _levels(queries: DataFrame, counts: DataFrame, dims: list[str], size: float, lowest: int, top: int) -> DataFrame:
+    """queries (mesh_id, qid, q, want) with the lowest level on which the cells around each hold want points.
+
+    The number never falls from one level to the next coarser one, so level 0 is
+    asked first and each round then halves the levels left.
+    """
+    names = [f"c{a}" for a in dims]
+    left = table(queries.withColumns({"_low": F.lit(lowest), "_high": F.lit(top), "level": F.lit(min(max(0, lowest), top))}))
+    found = None
+    while True:
+        seen = _around(left, dims, size).join(counts, [KEY, "level", *names]).groupBy(KEY, "qid").agg(F.sum("n").alias("m"))
+        enough = F.coalesce(F.col("m"), F.lit(0)) >= F.col("want")
+        asked = left.join(seen, [KEY, "qid"], "left")
+        asked = asked.withColumns({"_high": F.when(enough, F.col("level")).otherwise(F.col("_high")), "_low": F.when(enough, F.col("_low")).otherwise(F.least(F.col("level") + 1, F.col("_high")))})
+        # Few points around already: finer cells would save nothing.
+        ready = (F.col("_low") >= F.col("_high")) | (enough & (F.col("m") <= 4 * _CROWD * F.col("want")))
+        asked = table(asked.withColumn("_ready", ready).drop("m"))
+        here = asked.where("_ready").select(*queries.columns, F.col("_high").alias("level"))
+        found = here if found is None else found.unionByName(here)
+        left = asked.where("NOT _ready").drop("_ready").withColumn("level", F.floor((F.col("_low") + F.col("_high")) / 2).cast("int"))
+        if left.isEmpty():
+            return table(found)
+
+
+def _meetings(asked: DataFrame, held: DataFrame, dims: list[str], size: float) -> DataFrame:
+    """Queries (with level and reach, the largest d2 that counts) and the points in the cells around them."""
+    names = [f"c{a}" for a in dims]
+    around = table(_around(asked, dims, size))
+    used = sorted(r[0] for r in around.select("level").distinct().collect())  # no more than the tree has levels
+    at = held.withColumn("level", F.explode(F.array(*[F.lit(x) for x in used]))) if used else held.withColumn("level", F.lit(0))
+    at = at.withColumns({f"c{a}": F.floor(F.col("p")[a] / (F.pow(F.lit(2.0), F.col("level")) * size)) for a in dims})
+    return around.join(at, [KEY, "level", *names]).withColumn("d2", P.distance2(F.col("p"), F.col("q"))).where("reach IS NULL OR d2 <= reach")
+
+
 def knn(points: DataFrame, queries: DataFrame, k: int = 1, radius: float | None = None, size: float | None = None) -> DataFrame:
     """The k nearest points (mesh_id, vid, x, y, z) of each query (mesh_id, qid, x, y, z), of one mesh_id: mesh_id, qid, vid, d2, rank.
 
     Counts of points by cell, on levels of cells twice as large each, say at
     which level the cells around a query hold k points, or all of a mesh that
-    has fewer. The points of these 27 cells give the k-th distance; where it
-    reaches beyond them, the level that covers it is searched once more. So a
-    query meets points twice at most, however far they lie. Ties go to the
-    smaller vid. radius is a plain distance; fewer than k may lie within it.
+    has fewer; where points are dense, cells split further, so neither clusters
+    nor outliers change how many a query meets. The points of these 27 cells
+    give the k-th distance; where it reaches beyond them, the level that covers
+    it is searched once more. So a query meets points twice at most, however far
+    they lie. Ties go to the smaller vid. radius is a plain distance; fewer than
+    k may lie within it. size: the cells of level 0.
     """
     ends = points.select(*AXES).unionByName(queries.select(*AXES)).agg(*[f(a) for a in AXES for f in (F.min, F.max)]).first()
     if ends[0] is None:
         return points.join(queries.limit(0), KEY).select(KEY, "qid", "vid", F.lit(0.0).alias("d2"), F.lit(1).alias("rank"))
     spans = [ends[2 * i + 1] - ends[2 * i] for i in range(3)]
+    held = table(points.select(KEY, "vid", P.point().alias("p")))
     if size is None:
         live = [s for s in spans if s > 0] or [1.0]
-        n = max(1, points.count())
-        size = max((math.prod(live) * max(k, 4) / n) ** (1 / len(live)), max(live) * 1e-4)
+        size = max((math.prod(live) * max(k, 4) / max(1, held.count())) ** (1 / len(live)), max(live) * 1e-4)
     top = max(0, math.ceil(math.log2(max(max(spans) / size, 1.0))))
     if radius is not None:
         top = min(top, max(0, math.ceil(math.log2(max(radius / size, 1e-300)))))
     dims = [a for a, s in zip(AXES, spans, strict=True) if s > 0] or ["x"]
-    cell = lambda v, a, level: F.floor(v[a] / (F.pow(F.lit(2.0), level) * size))
-    held = table(points.select(KEY, "vid", P.point().alias("p")))
     left = queries.select(KEY, "qid", P.point().alias("q")).join(held.groupBy(KEY).agg(F.least(F.count("*"), F.lit(k)).alias("want")), KEY)
-    left = table(left)
-
-    def around(rows: DataFrame) -> DataFrame:
-        """Each query with the cells of its level next to it."""
-        for a in dims:
-            c = cell(F.col("q"), a, F.col("level"))
-            rows = rows.withColumn(f"c{a}", F.explode(F.sequence(c - 1, c + 1)))
-        return rows
-
-    def met(asked: DataFrame) -> DataFrame:
-        """The best of the points in the cells around queries (with level and reach, the largest d2 that counts)."""
-        used = sorted(r[0] for r in asked.select("level").distinct().collect())  # at most top + 1 rows
-        at = held.withColumn("level", F.explode(F.array(*[F.lit(x) for x in used]))) if used else held.withColumn("level", F.lit(0))
-        at = at.withColumns({f"c{a}": cell(F.col("p"), a, F.col("level")) for a in dims})
-        near = around(asked).join(at, [KEY, "level", *[f"c{a}" for a in dims]]).withColumn("d2", P.distance2(F.col("p"), F.col("q"))).where("reach IS NULL OR d2 <= reach")
-        w = Window.partitionBy(KEY, "qid").orderBy("d2", "vid")
-        return table(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(KEY, "qid", "vid", "d2", "rank"))
-
-    names = [f"c{a}" for a in dims]
-    counts = held.groupBy(KEY, *[cell(F.col("p"), a, F.lit(0)).alias(f"c{a}") for a in dims]).agg(F.count("*").alias("n"))
-    ready, rest = None, left
-    for level in range(top + 1):
-        counts = table(counts)
-        enough = F.lit(True) if level == top else F.col("m") >= F.col("want")
-        seen = around(rest.withColumn("level", F.lit(level))).join(counts, [KEY, *names], "left").groupBy(KEY, "qid").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("m"))
-        found = table(rest.join(seen, [KEY, "qid"]).withColumn("level", F.when(enough, F.lit(level))).drop("m"))
-        here = found.where("level IS NOT NULL")
-        ready = here if ready is None else ready.unionByName(here)
-        rest = found.where("level IS NULL").drop("level")
-        if rest.isEmpty():
-            break
-        counts = counts.groupBy(KEY, *[F.floor(F.col(c) / 2).alias(c) for c in names]).agg(F.sum("n").alias("n"))
-    ready = table(ready)
+    counts, lowest = _tree(held, dims, size, top, _CROWD * max(k, 4))
+    ready = _levels(left, counts, dims, size, lowest, top)
+    w = Window.partitionBy(KEY, "qid").orderBy("d2", "vid")
+    ranked = lambda met: table(met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(KEY, "qid", "vid", "d2", "rank"))
     limit = F.lit(None).cast("double") if radius is None else F.lit(float(radius) ** 2)
-    best = met(ready.withColumn("reach", limit))
+    best = ranked(_meetings(ready.withColumn("reach", limit), held, dims, size))
     far = best.groupBy(KEY, "qid").agg(F.max("d2").alias("_d"), F.count("*").alias("_n"))
     # With fewer than wanted, only a radius can end the search: then the last level has covered it.
     reach = F.when(F.col("_n") >= F.col("want"), F.col("_d")).otherwise(limit)
     again = ready.join(far, [KEY, "qid"], "left").withColumn("reach", reach).where(F.col("reach") > F.pow(F.pow(F.lit(2.0), F.col("level")) * size, F.lit(2.0)))
-    again = table(again.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.sqrt("reach") / size))).cast("int")).select(*ready.columns, "reach"))
+    again = table(again.withColumn("level", F.greatest(F.lit(lowest), F.ceil(F.log2(F.sqrt("reach") / size))).cast("int")).select(*ready.columns, "reach"))
     if again.isEmpty():
         return best
-    return best.join(again.select(KEY, "qid"), [KEY, "qid"], "left_anti").unionByName(met(again))
+    return best.join(again.select(KEY, "qid"), [KEY, "qid"], "left_anti").unionByName(ranked(_meetings(again, held, dims, size)))
 
 
 def _triangles(mesh: Mesh) -> DataFrame:
