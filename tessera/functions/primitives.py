@@ -201,26 +201,69 @@ def closest_on_triangle(p: Column, a: Column, b: Column, c: Column) -> Column:
     return let(F.struct(p.alias("p"), a.alias("a"), b.alias("b"), c.alias("c")), products)
 
 
-def closest_of_segments(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """struct<p, q, d2> for segments a b and c d."""
+#: Where a line, a ray and a segment end, along a direction from their origin.
+_ENDS = {"line": (float("-inf"), float("inf")), "ray": (0.0, float("inf")), "segment": (0.0, 1.0)}
+
+
+def closest_of_lines(kind0: str, o0: Column, d0: Column, kind1: str, o1: Column, d1: Column) -> Column:
+    """struct<p, q, d2>: the closest points of two of line, ray and segment, each by an origin and a direction (a segment's end is origin + direction).
+
+    One solve for both parameters, each clamped to where its primitive ends.
+    Parallel ones and such without a length count from the first one's origin.
+    """
+    (low0, high0), (low1, high1) = _ENDS[kind0], _ENDS[kind1]
 
     def products(r: Column) -> Column:
-        u, v, w = sub(r["b"], r["a"]), sub(r["d"], r["c"]), sub(r["a"], r["c"])
+        u, v, w = r["u"], r["v"], sub(r["a"], r["c"])
         pairs = {"uu": (u, u), "uv": (u, v), "vv": (v, v), "uw": (u, w), "vw": (v, w)}
         return let(F.struct(*[dot(*x).alias(n) for n, x in pairs.items()]), lambda k: first(r, k))
 
     def first(r: Column, k: Column) -> Column:
         den = k["uu"] * k["vv"] - k["uv"] * k["uv"]
-        s = F.when(den > EPS2 * k["uu"] * k["vv"], _clamp((k["uv"] * k["vw"] - k["vv"] * k["uw"]) / den)).otherwise(0.0)
+        alone = F.when((k["vv"] <= 0) & (k["uu"] > 0), _clamp(-k["uw"] / k["uu"], low0, high0)).otherwise(0.0)
+        s = F.when(den > EPS2 * k["uu"] * k["vv"], _clamp((k["uv"] * k["vw"] - k["vv"] * k["uw"]) / den, low0, high0)).otherwise(alone)
         return let(s, lambda s: let(F.when(k["vv"] > 0, (k["uv"] * s + k["vw"]) / k["vv"]).otherwise(0.0), lambda t: both(r, k, s, t)))
 
     def both(r: Column, k: Column, s: Column, t: Column) -> Column:
-        t1 = _clamp(t)
-        s1 = F.when(t == t1, s).otherwise(F.when(k["uu"] > 0, _clamp((k["uv"] * t1 - k["uw"]) / k["uu"])).otherwise(0.0))
-        p, q = add(r["a"], scale(sub(r["b"], r["a"]), s1)), add(r["c"], scale(sub(r["d"], r["c"]), t1))
+        t1 = _clamp(t, low1, high1)
+        s1 = F.when(t == t1, s).otherwise(F.when(k["uu"] > 0, _clamp((k["uv"] * t1 - k["uw"]) / k["uu"], low0, high0)).otherwise(0.0))
+        p, q = add(r["a"], scale(r["u"], s1)), add(r["c"], scale(r["v"], t1))
         return let(F.struct(p.alias("p"), q.alias("q")), lambda e: F.struct(e["p"].alias("p"), e["q"].alias("q"), distance2(e["p"], e["q"]).alias("d2")))
 
-    return let(F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")), products)
+    return let(F.struct(o0.alias("a"), d0.alias("u"), o1.alias("c"), d1.alias("v")), products)
+
+
+def closest_of_segments(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """struct<p, q, d2> for segments a b and c d."""
+    return closest_of_lines("segment", a, sub(b, a), "segment", c, sub(d, c))
+
+
+def closest_in_polygon(p: Column, pts: Column) -> Column:
+    """The point of a flat polygon, an array of points in order, that comes closest to p."""
+
+    def place(r: Column) -> Column:
+        ends = F.zip_with(r["pts"], F.concat(F.slice(r["pts"], F.lit(2), F.size(r["pts"])), F.slice(r["pts"], F.lit(1), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        near = F.transform(ends, lambda e: closest_on_segment(r["p"], e["a"], e["b"]))
+        side = F.array_min(F.transform(near, lambda q: F.struct(distance2(r["p"], q).alias("d2"), q.alias("q"))))["q"]
+        foot = let(dot(sub(r["p"], F.get(r["pts"], F.lit(0))), r["n"]), lambda h: sub(r["p"], scale(r["n"], h)))
+        return let(foot, lambda f: F.when(r["n"].isNotNull() & (point_in_polygon(f, r["pts"]) != "outside"), f).otherwise(side))
+
+    return let(F.struct(p.alias("p"), pts.alias("pts")), lambda r: let(newell(r["pts"]), lambda n: let(F.struct(r["p"].alias("p"), r["pts"].alias("pts"), normalized(n).alias("n")), place)))
+
+
+def segment_box_distance2(a: Column, b: Column, low: Column, high: Column) -> Column:
+    """Zero where the segment meets the solid box; else from its ends to the box or from it to the box's edges."""
+    edges = [(i, i | 1 << k) for i in range(8) for k in range(3) if not i >> k & 1]
+
+    def placed(r: Column) -> Column:
+        corner = lambda i: F.struct(*[r["high" if i >> k & 1 else "low"][x].alias(x) for k, x in enumerate(AXES)])
+        ends = F.array(*[F.struct(corner(i).alias("c"), corner(j).alias("d")) for i, j in edges])
+        sides = F.array_min(F.transform(ends, lambda e: closest_of_segments(r["a"], r["b"], e["c"], e["d"])["d2"]))
+        nearest = F.transform(F.array(r["a"], r["b"]), lambda p: let(closest_in_box(p, r["low"], r["high"]), lambda q: distance2(p, q)))
+        hit = ray_box(r["a"], r["u"], r["low"], r["high"], 0.0, 1.0)["status"] == "intersection"
+        return F.when(hit, 0.0).otherwise(F.least(sides, F.array_min(nearest)))
+
+    return let(F.struct(a.alias("a"), b.alias("b"), low.alias("low"), high.alias("high"), sub(b, a).alias("u")), placed)
 
 
 def distance2(p: Column, q: Column) -> Column:
@@ -301,6 +344,30 @@ def point_in_polygon2d(p: Column, pts: Column) -> Column:
     return F.when(out["on"], "on_boundary").when(out["w"] != 0, "inside").otherwise("outside")
 
 
+def point_in_polygon(p: Column, pts: Column) -> Column:
+    """point_in_polygon2d in the plane of a polygon in space: along the axis on which its area vector is longest."""
+
+    def seen(r: Column) -> Column:
+        size = {x: F.abs(r["n"][x]) for x in AXES}
+        flat = lambda x, y: point_in_polygon2d(vec(r["p"][x], r["p"][y]), F.transform(r["pts"], lambda q: vec(q[x], q[y])))
+        return F.when((size["z"] >= size["x"]) & (size["z"] >= size["y"]), flat("x", "y")).when(size["x"] >= size["y"], flat("y", "z")).otherwise(flat("z", "x"))
+
+    return let(F.struct(p.alias("p"), pts.alias("pts")), lambda r: let(F.struct(r["p"].alias("p"), r["pts"].alias("pts"), newell(r["pts"]).alias("n")), seen))
+
+
+def classify_wedge2d(p: Column, corner: Column, one: Column, other: Column) -> Column:
+    """Sides of the wedge that turns left from the direction one to the direction other at its corner: within is the positive side, its rays are on_boundary."""
+
+    def placed(r: Column) -> Column:
+        turn, a, b = _cross2(vec(0, 0), r["u"], r["v"]), _cross2(vec(0, 0), r["u"], r["w"]), _cross2(vec(0, 0), r["w"], r["v"])
+        on = ((F.abs(a) <= EPS) & (dot(r["u"], r["w"]) >= -EPS)) | ((F.abs(b) <= EPS) & (dot(r["v"], r["w"]) >= -EPS))
+        # Up to half a turn a point is left of the first ray and right of the second; beyond, one of both will do.
+        within = F.when(turn > 0, (a > 0) & (b > 0)).when((turn == 0) & (dot(r["u"], r["v"]) > 0), F.lit(False)).otherwise((a > 0) | (b > 0))
+        return F.when(on, "on_boundary").when(within, "on_positive_side").otherwise("on_negative_side")
+
+    return let(F.struct(one.alias("u"), other.alias("v"), sub(p, corner).alias("w")), placed)
+
+
 def box_overlaps(low0: Column, high0: Column, low1: Column, high1: Column) -> Column:
     return reduce(lambda a, b: a & b, [(low0[a] <= high1[a]) & (low1[a] <= high0[a]) for a in AXES])
 
