@@ -777,12 +777,23 @@ def g6_icp(spark, d):
     """Iterated alignment of the cloud with itself, moved by less than its points are apart."""
 
     def fit(r, c, q):
-        m = r.fit_icp(c, q, rounds=3, samples=2000)
-        return c.select(KEY).distinct().withColumn("m", F.array(*[F.lit(float(x)) for x in m.ravel()]))
+        return r.fit_icp(c, q, rounds=3, samples=2000).select(KEY, "m")
 
     return _fitted(spark, d, I.cloud(spark, d).withColumns({"x": F.col("x") + 0.01}), fit)
 
 
+@query("""SELECT s_suppkey AS mesh_id, vid, round(((vid * 37 + s_suppkey * 11) % 101) / 7.0::DOUBLE + (s_suppkey % 7 - 3) * 0.01, 5) AS x, round(((vid * 53 + s_suppkey * 29) % 103) / 7.0::DOUBLE + (s_suppkey % 5 - 2) * 0.01, 5) AS y,
+    round(((vid * 71 + s_suppkey * 5) % 107) / 7.0::DOUBLE + (s_suppkey % 3 - 1) * 0.01, 5) AS z FROM supplier, range(60) AS r(vid)""")
+def g6_icp_corpus(spark, d):
+    """Iterated alignment of every supplier's points with the same points under a motion of its own."""
+    from tessera.operators import registration as r
+
+    c, k = I.soup_points(spark, d), F.col(KEY)
+    moves = {"x": (k % 7 - 3) * 0.01, "y": (k % 5 - 2) * 0.01, "z": (k % 3 - 1) * 0.01}
+    goal = c.withColumns({a: F.col(a) + m for a, m in moves.items()})
+    return _round(r.transformed(c, r.fit_icp(c, goal, rounds=2).select(KEY, "m")), "x", "y", "z", digits=5)
+
+
 @query(f"""WITH {TERRAIN} SELECT fid * 4096 AS fid, fid AS src_fid FROM faces""")
 def p16_triangulated(spark, d):
     from tessera.operators.triangulate import triangulated

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
@@ -72,10 +72,18 @@ def transformed(points: DataFrame, matrices: DataFrame) -> DataFrame:
     return moved.withColumns({a: F.col("_p")[a] for a in AXES}).select(*points.columns)
 
 
-def sampled(points: DataFrame, most: int, turn: int = 0) -> DataFrame:
-    """The most points of each mesh, or all of fewer, with the smallest hashes of vid and turn, numbered from 0 on as _n."""
-    w = Window.partitionBy(KEY).orderBy(F.xxhash64("vid", F.lit(turn)), "vid")
-    return points.withColumn("_n", F.row_number().over(w) - 1).where(F.col("_n") < most)
+def sampled(points: DataFrame, most: int, turn: int = 0, counts: DataFrame | None = None) -> DataFrame:
+    """The most points of each mesh, or all of fewer, with the smallest hashes of vid and turn, numbered from 0 on as _n.
+
+    counts (mesh_id, n), where known: points with hashes far above a mesh's
+    share are left out before the ranking, so that no task sorts a whole mesh.
+    """
+    h = F.xxhash64("vid", F.lit(turn))
+    counts = points.groupBy(KEY).agg(F.count("*").alias("n")) if counts is None else counts
+    share = (4.0 * most + 100) / F.col("_total")
+    few = points.join(counts.select(KEY, F.col("n").alias("_total")), KEY).where(h / float(1 << 64) + 0.5 <= share).select(*points.columns)
+    rank = F.row_number().over(Window.partitionBy(KEY).orderBy(h, "vid"))
+    return few.withColumn("_n", rank).where(F.col("_n") <= most).withColumn("_n", F.col("_n") - 1)
 
 
 def fit_obb(source: DataFrame, target: DataFrame, sample: int = 100) -> DataFrame:
@@ -105,13 +113,13 @@ def fit_obb(source: DataFrame, target: DataFrame, sample: int = 100) -> DataFram
     return four.join(best, [KEY, "k"]).select(KEY, "m")
 
 
-def soft_targets(source: DataFrame, target: DataFrame, k: int = 1, sigma: float = -1.0, outlier: float = 0.0, max_k: int = 10) -> DataFrame:
+def soft_targets(source: DataFrame, target: DataFrame, k: int = 1, sigma: float = -1.0, outlier: float = 0.0) -> DataFrame:
     """(mesh_id, vid, x, y, z, d2): for each source point the Gaussian-weighted mean of its k nearest targets.
 
     sigma below zero: the distance to the k-th. outlier: the share of source
     points with the largest nearest distance that is left out.
     """
-    near = knn(target, source.withColumnRenamed("vid", "qid"), min(k, max_k))
+    near = knn(target, source.withColumnRenamed("vid", "qid"), k)
     near = near.join(target.select(KEY, "vid", *AXES), [KEY, "vid"])
     if sigma > 0:
         w = F.exp(-F.col("d2") / (2 * sigma * sigma))
@@ -131,26 +139,54 @@ def fit_knn(source: DataFrame, target: DataFrame, k: int = 1, sigma: float = -1.
     return fit_rigid(source, table(soft_targets(source, target, k, sigma, outlier)))
 
 
-def fit_icp(source: DataFrame, target: DataFrame, rounds: int = 30, samples: int = 1000, k: int = 1, outlier: float = 0.0, tolerance: float = 1e-4, smooth: float = 0.3) -> np.ndarray:
-    """The 4x4 matrix that iterated alignment of one mesh ends with.
+def _product(a: str, b: str) -> Column:
+    """The row-major product of two 4x4 matrix columns."""
+    entry = lambda m, r, c: F.get(m, F.lit(4 * r + c))
+    return F.array(*[sum((entry(a, r, k) * entry(b, k, c) for k in range(1, 4)), entry(a, r, 0) * entry(b, 0, c)) for r in range(4) for c in range(4)])
+
+
+def _plane_steps(moved: DataFrame, target: DataFrame, normals: DataFrame, outlier: float) -> tuple[DataFrame, DataFrame]:
+    """Point-to-plane steps and errors of points against the planes at their nearest targets."""
+    near = knn(target, moved.withColumnRenamed("vid", "qid"), 1)
+    if outlier > 0:
+        near = near.join(near.groupBy(KEY).agg(F.percentile("d2", F.lit(1 - outlier)).alias("_c")), KEY).where("d2 <= _c").drop("_c")
+    at = target.select(KEY, "vid", P.point().alias("q")).join(normals.select(KEY, "vid", "n"), [KEY, "vid"])
+    pairs = table(near.join(at, [KEY, "vid"]).join(moved.select(KEY, F.col("vid").alias("qid"), P.point().alias("p")), [KEY, "qid"]))
+    return fit_point_to_plane(pairs.withColumn("w", F.lit(1.0))), pairs.groupBy(KEY).agg(F.avg(F.sqrt("d2")).alias("error"))
+
+
+def fit_icp(source: DataFrame, target: DataFrame, rounds: int = 30, samples: int = 1000, k: int = 1, outlier: float = 0.0, tolerance: float = 1e-4, smooth: float = 0.3, normals: DataFrame | None = None) -> DataFrame:
+    """(mesh_id, m, rounds, error): for each mesh_id that both sets have, the matrix that iterated alignment ends with.
 
     Every round moves a bounded sample of the source; the target stays where it
-    is. The rounds end when the smoothed mean distance no longer falls.
+    is. A mesh ends when its own smoothed mean distance no longer falls, and
+    only meshes that go on are met again. With normals (mesh_id, vid, n) of the
+    target, steps go to the planes at the nearest points.
     """
     source, target = table(source), table(target)
-    total, mean = np.eye(4), None
+    counts = table(source.groupBy(KEY).agg(F.count("*").alias("n")))
+    both = counts.join(target.select(KEY).distinct(), KEY, "left_semi")
+    start = F.array(*[F.lit(float(i % 5 == 0)) for i in range(16)])
+    none = F.lit(None).cast("double")
+    live = table(both.select(KEY, start.alias("m"), none.alias("mean"), F.lit(0).alias("rounds")))
+    ended = live.limit(0)
     for i in range(rounds):
-        part = sampled(source, samples, i)
-        matrix = source.sparkSession.createDataFrame([(total.ravel().tolist(),)], "m array<double>")
-        moved = part.join(F.broadcast(matrix)).withColumn("_p", P.transform_point(P.point(), F.col("m")))  # one row
-        moved = table(moved.select(KEY, "vid", *[F.col("_p")[a].alias(a) for a in AXES]))
-        soft = table(soft_targets(moved, target, k, -1.0, outlier))
-        error = soft.agg(F.avg(F.sqrt("d2"))).first()[0]
-        step = fit_rigid(moved, soft).first()
-        if step is None:
-            break
-        total = np.reshape(step["m"], (4, 4)) @ total
-        before, mean = mean, error if mean is None else smooth * error + (1 - smooth) * mean
-        if before is not None and before - mean < tolerance * max(before, 1e-30):
+        if live.isEmpty():
             break
-    return total
+        going = live.select(KEY)
+        part = sampled(source.join(going, KEY, "left_semi"), samples, i, counts)
+        moved = table(transformed(part.select(KEY, "vid", *AXES), live.select(KEY, "m")))
+        goal = target.join(going, KEY, "left_semi")
+        if normals is None:
+            soft = table(soft_targets(moved, goal, k, -1.0, outlier))
+            steps, errors = fit_rigid(moved, soft), soft.groupBy(KEY).agg(F.avg(F.sqrt("d2")).alias("error"))
+        else:
+            steps, errors = _plane_steps(moved, goal, normals, outlier)
+        met = live.join(steps.withColumnRenamed("m", "step"), KEY, "left").join(errors, KEY, "left")
+        mean = F.when(F.col("mean").isNull(), F.col("error")).otherwise(smooth * F.col("error") + (1 - smooth) * F.col("mean"))
+        goes = F.col("step").isNotNull() & (F.col("mean").isNull() | (F.col("mean") - mean >= tolerance * F.greatest(F.col("mean"), F.lit(1e-30))))
+        met = met.select(KEY, F.when(F.col("step").isNotNull(), _product("step", "m")).otherwise(F.col("m")).alias("m"), mean.alias("mean"), F.lit(i + 1).alias("rounds"), F.coalesce(goes, F.lit(False)).alias("_goes"))
+        met = table(met)
+        ended = ended.unionByName(met.where("NOT _goes").drop("_goes"))
+        live = met.where("_goes").drop("_goes")
+    return ended.unionByName(live).select(KEY, "m", "rounds", F.col("mean").alias("error"))

@@ -166,7 +166,7 @@ def test_registration(spark):
     assert np.allclose(box, m, atol=1e-6)
     small = np.reshape(P.compose(P.translation(0.05, 0.02, 0), P.rotation((0, 0, 1), 0.03)), (4, 4))
     moved = p @ small[:3, :3].T + small[:3, 3]
-    got = registration.fit_icp(a, _cloud(spark, moved), rounds=15)
+    got = np.reshape(registration.fit_icp(a, _cloud(spark, moved), rounds=15).first().m, (4, 4))
     assert np.abs(p @ got[:3, :3].T + got[:3, 3] - moved).max() < 0.05
     pairs = spark.createDataFrame([(0, *x, *y, *n) for x, y, n in zip(p.tolist(), moved.tolist(), rng.normal(size=(120, 3)).tolist())], "mesh_id long, a double, b double, c double, d double, e double, f double, g double, h double, i double")
     v = lambda *c: F.struct(*[F.col(x).alias(n) for x, n in zip(c, "xyz")])
