@@ -299,7 +299,11 @@ def points_in_mesh(mesh: Mesh, queries: DataFrame) -> DataFrame:
     Signed crossings of a ray are summed; along a fixed tilted direction the
     search is a join of points with the shadows of the faces' triangles.
     """
-    tri = table(_triangles(mesh))
+    return points_in_triangles(table(_triangles(mesh)), queries)
+
+
+def points_in_triangles(tri: DataFrame, queries: DataFrame) -> DataFrame:
+    """points_in_mesh for a closed mesh's triangles (mesh_id, id, pts), written."""
     left, out = queries.select(KEY, "qid", "x", "y", "z"), None
     for n, (a, b) in enumerate(_TILTS):
         flat = _tilted(a, b)
