@@ -23,3 +23,14 @@ def test_polygons_of_more_triangles_than_the_stride(spark):
     faces = [(0, 0, list(range(6))), (0, 1, list(range(6)))]
     mesh = Mesh(spark.createDataFrame(faces, "mesh_id long, fid long, vids array<long>"), spark.createDataFrame(points, "mesh_id long, vid long, x double, y double, z double"))
     assert triangulate.triangulated(mesh, stride=2).select("fid").distinct().count() == 8
+
+
+def test_mesh_ids_beyond_53_bits(spark):
+    def mesh(shift):
+        points = [(m, k, x + shift, y, 0.5 * shift * k) for m in ids for k, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)])]
+        faces = [(m, 0, [0, 1, 2]) for m in ids]
+        return Mesh(spark.createDataFrame(faces, "mesh_id long, fid long, vids array<long>"), spark.createDataFrame(points, "mesh_id long, vid long, x double, y double, z double"))
+
+    ids = [-3, 2**60 + 1]
+    got = cut.arrangement(mesh(0.0), mesh(5.0)).select("mesh_id", "origin").collect()
+    assert sorted((r.mesh_id, r.origin) for r in got) == [(m, o) for m in ids for o in (0, 1)]
