@@ -50,8 +50,7 @@ def unique_map(rows: DataFrame, id_col: str, *key: str) -> DataFrame:
 
 def equivalence_map(rows: DataFrame, id_col: str, pairs: DataFrame) -> DataFrame:
     """Index map to the smallest id of each class that pairs (mesh_id, id0, id1) connect."""
-    found = connected_components(pairs.select(F.struct(KEY, F.col("id0").alias("id")).alias("src"), F.struct(KEY, F.col("id1").alias("id")).alias("dst")))
-    found = found.select(F.col(f"node.{KEY}").alias(KEY), F.col("node.id").alias("old_id"), F.col("label.id").alias("new_id"))
+    found = connected_components(pairs, "id0", "id1", [KEY]).select(KEY, F.col("node").alias("old_id"), F.col("label").alias("new_id"))
     ids = rows.select(KEY, F.col(id_col).alias("old_id"))
     return ids.join(found, [KEY, "old_id"], "left").withColumn("new_id", F.coalesce("new_id", "old_id"))
 
