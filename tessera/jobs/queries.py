@@ -163,10 +163,11 @@ def p4_p7_distance_fields(spark, d):
 @query(f"""WITH {SOUP}, r AS (SELECT q.mesh_id, fid, q.nx, q.ny, q.nz, ax, ay, az, (ax * nx + ay * ny + az * nz) / nullif(nz, 0) AS t FROM tri q WHERE abs(nz) > 1e-6)
     SELECT mesh_id, count(*) AS n, round(min(t), 5) AS least FROM r WHERE t >= 0.001 AND t <= 20 GROUP BY mesh_id""")
 def p10_ray_planes(spark, d):
-    p = F.col("pts")
-    f = fat_faces(I.soup(spark, d)).withColumn("w", P.scale(P.newell(p), 1.0)).where(F.abs(F.col("w.z")) > 1e-6)
-    unit = f.withColumn("n", P.normalized(F.col("w"))).withColumn("h", P.ray_plane(P.vec(0, 0, 0), P.vec(0, 0, 1), F.col("n"), -P.dot(F.col("n"), F.get("pts", F.lit(0))), 0.001, 20.0))
-    return _round(unit.where("h.status = 'intersection'").groupBy(KEY).agg(F.count("*").alias("n"), F.min("h.t").alias("least")), "least", digits=5)
+    """Rays up the z axis against the planes of faces, whose normals keep their length: a unit's rounding moves hits over the ends of the range."""
+    a, b, c = (F.get("pts", F.lit(i)) for i in range(3))
+    f = fat_faces(I.soup(spark, d)).withColumn("w", P.cross(P.sub(b, a), P.sub(c, a))).where(F.abs(F.col("w.z")) > 1e-6)
+    met = f.withColumn("h", P.ray_plane(P.vec(0, 0, 0), P.vec(0, 0, 1), F.col("w"), -P.dot(F.col("w"), a), 0.001, 20.0))
+    return _round(met.where("h.status = 'intersection'").groupBy(KEY).agg(F.count("*").alias("n"), F.min("h.t").alias("least")), "least", digits=5)
 
 
 @query(f"""WITH {SOUP}, c AS (SELECT mesh_id, fid, unnest(vids) AS vid FROM faces) SELECT mesh_id, vid, count(DISTINCT fid) AS n, sum(DISTINCT fid)::BIGINT AS s FROM c GROUP BY ALL""")
