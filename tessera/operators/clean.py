@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.model import KEY, Mesh
 from tessera.operators.reindex import equivalence_map, remapped_edges, remapped_faces, unique_map, used_points
 from tessera.operators.topology import face_key
-from tessera.sources.scratch import table
+from tessera.sources.scratch import merging, table
 
 
 def point_map(points: DataFrame, tolerance: float = 0.0) -> DataFrame:
@@ -100,7 +100,7 @@ def weld_soup(soup: DataFrame, tolerance: float = 0.0) -> Mesh:
     corner = F.when((F.col("pos") < 1 << 16) & (F.abs("fid") < 1 << 46), F.shiftleft("fid", 16) + F.col("pos")).otherwise(F.raise_error(F.lit("a face's id or corners are too many to number its corners")).cast("long"))
     c = c.select(KEY, "fid", "pos", corner.alias("vid"), "p.x", "p.y", "p.z")
     m = point_map(c, tolerance)
-    points = c.join(m.where("old_id = new_id").select(KEY, F.col("old_id").alias("vid")), [KEY, "vid"], "left_semi")
+    points = c.join(merging(m.where("old_id = new_id").select(KEY, F.col("old_id").alias("vid"))), [KEY, "vid"], "left_semi")
     to = c.select(KEY, "fid", "pos", F.col("vid").alias("old_id")).join(m, [KEY, "old_id"])
     faces = to.groupBy(KEY, "fid").agg(F.sort_array(F.collect_list(F.struct("pos", "new_id"))).alias("c"))
     return Mesh(faces.select(KEY, "fid", F.col("c.new_id").alias("vids")), points.select(KEY, "vid", "x", "y", "z"))

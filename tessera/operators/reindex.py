@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import primitives as P
 from tessera.model import KEY, Mesh
 from tessera.operators.graph import connected_components
-from tessera.sources.scratch import table
+from tessera.sources.scratch import merging, table
 
 
 def dense_ids(rows: DataFrame, order: str, name: str = "new_id") -> DataFrame:
@@ -25,7 +25,7 @@ def dense_ids(rows: DataFrame, order: str, name: str = "new_id") -> DataFrame:
     stretch = at.groupBy(KEY, part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_k").alias("_first"))
     earlier = Window.partitionBy(KEY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
     before = stretch.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    return at.withColumn("_part", part).join(before, [KEY, "_part"]).withColumn(name, F.col("_before") + F.col("_k") - F.col("_first")).drop("_k", "_part", "_first", "_before")
+    return merging(at.withColumn("_part", part).join(before, [KEY, "_part"]).withColumn(name, F.col("_before") + F.col("_k") - F.col("_first")).drop("_k", "_part", "_first", "_before"))
 
 
 def mask_map(rows: DataFrame, id_col: str, keep: Column, dense: bool = True) -> DataFrame:
@@ -45,14 +45,14 @@ def unique_map(rows: DataFrame, id_col: str, *key: str) -> DataFrame:
     """Index map to the smallest id among rows with equal keys."""
     k = F.struct(*key)
     first = rows.groupBy(KEY, k.alias("_k")).agg(F.min(id_col).alias("new_id"))
-    return rows.select(KEY, F.col(id_col).alias("old_id"), k.alias("_k")).join(first, [KEY, "_k"]).select(KEY, "old_id", "new_id")
+    return merging(rows.select(KEY, F.col(id_col).alias("old_id"), k.alias("_k")).join(merging(first), [KEY, "_k"]).select(KEY, "old_id", "new_id"))
 
 
 def equivalence_map(rows: DataFrame, id_col: str, pairs: DataFrame) -> DataFrame:
     """Index map to the smallest id of each class that pairs (mesh_id, id0, id1) connect."""
     found = connected_components(pairs, "id0", "id1", [KEY]).select(KEY, F.col("node").alias("old_id"), F.col("label").alias("new_id"))
     ids = rows.select(KEY, F.col(id_col).alias("old_id"))
-    return ids.join(found, [KEY, "old_id"], "left").withColumn("new_id", F.coalesce("new_id", "old_id"))
+    return merging(ids.join(found, [KEY, "old_id"], "left").withColumn("new_id", F.coalesce("new_id", "old_id")))
 
 
 def densified(index_map: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def densified(index_map: DataFrame) -> DataFrame:
 def chained(first: DataFrame, second: DataFrame) -> DataFrame:
     """second after first; what either removes is removed."""
     s = second.select(KEY, F.col("old_id").alias("_m"), F.col("new_id").alias("_n"))
-    return first.withColumnRenamed("new_id", "_m").join(s, [KEY, "_m"], "left").select(KEY, "old_id", F.col("_n").alias("new_id"))
+    return merging(first.withColumnRenamed("new_id", "_m").join(merging(s), [KEY, "_m"], "left").select(KEY, "old_id", F.col("_n").alias("new_id")))
 
 
 def inverted(index_map: DataFrame) -> DataFrame:
@@ -80,9 +80,9 @@ def reindexed(rows: DataFrame, index_map: DataFrame, id_col: str) -> DataFrame:
 
 def remapped_faces(faces: DataFrame, index_map: DataFrame) -> DataFrame:
     """faces with new vertex ids; a face with a removed vertex goes."""
-    c = faces.select(KEY, "fid", F.posexplode("vids").alias("pos", "old_id")).join(index_map, [KEY, "old_id"], "left")
+    c = faces.select(KEY, "fid", F.posexplode("vids").alias("pos", "old_id")).join(merging(index_map), [KEY, "old_id"], "left")
     back = c.groupBy(KEY, "fid").agg(F.sort_array(F.collect_list(F.struct("pos", "new_id"))).alias("c"), F.bool_and(F.col("new_id").isNotNull()).alias("ok"))
-    return back.where("ok").select(KEY, "fid", F.col("c.new_id").alias("vids"))
+    return merging(back.where("ok").select(KEY, "fid", F.col("c.new_id").alias("vids")))
 
 
 def remapped_edges(edges: DataFrame, index_map: DataFrame) -> DataFrame:
