@@ -23,11 +23,11 @@ def point_map(points: DataFrame, tolerance: float = 0.0) -> DataFrame:
     if tolerance <= 0:
         return exact
     from tessera.operators.reindex import chained
-    from tessera.operators.spatial import self_pairs_within
+    from tessera.operators.spatial import near_links
 
     exact = table(exact)
     kept = points.join(exact.where("old_id = new_id").select(KEY, F.col("old_id").alias("vid")), [KEY, "vid"], "left_semi")
-    near = self_pairs_within(kept, tolerance)
+    near = near_links(kept, tolerance)
     return chained(exact, equivalence_map(kept, "vid", near))
 
 

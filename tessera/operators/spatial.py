@@ -140,6 +140,61 @@ def self_pairs_within(points: DataFrame, distance: float, id_col: str = "vid") -
     return merging(met.select(KEY, F.least("id0", "id1").alias("id0"), F.greatest("id0", "id1").alias("id1"), "d2"))
 
 
+#: Side of a cell, in distances, whose points are all within the distance of each other whatever rounding does.
+_CLOSE = 0.577
+#: Points of a set's own cells that a point meets, on average, above which near_links doesn't list pairs.
+_DENSE = 4
+
+
+def near_links(points: DataFrame, distance: float, id_col: str = "vid") -> DataFrame:
+    """(mesh_id, id0, id1) that connect the points as all pairs within the distance do.
+
+    Where points are dense, all pairs would be far more than the points. Cells
+    whose points are all near each other link to their smallest id; cells about
+    are linked where some of their outermost points are near, and the points of
+    the rest meet only where the links so far leave two cells apart.
+    """
+    rows = _named(points, id_col, 0).where(" AND ".join(f"p0.{a} IS NOT NULL" for a in AXES))
+    side, reach = distance * _CLOSE, distance * (1 + 1e-9)
+    cell = [F.floor(F.col("p0")[a] / side).alias(f"c{a}") for a in AXES]
+    counts = rows.groupBy(KEY, *cell).agg(F.count("*").cast("double").alias("n"), F.max(F.greatest(*[F.abs(F.col("p0")[a]) for a in AXES])).alias("far"))
+    n, pairs, far = counts.agg(F.sum("n"), F.sum(F.col("n") * F.col("n")), F.max("far")).first()
+    if not n or pairs <= _DENSE * n or not far / side < 2.0**50:  # cells that far out aren't told apart, and NaN has none
+        return self_pairs_within(points, distance, id_col).select(KEY, "id0", "id1")
+    from tessera.operators.graph import connected_components
+
+    at = table(rows.select(KEY, "id0", "p0", *cell))
+    turned = [F.struct(*[F.col("p0")[AXES[(k + i) % 3]].alias(AXES[(k + i) % 3]) for i in range(3)]) for k in range(3)]
+    ends = [f(t).alias(f"_{i}{k}") for k, t in enumerate(turned) for i, f in enumerate((F.min, F.max))]
+    cells = at.groupBy(KEY, "cx", "cy", "cz").agg(F.min("id0").alias("c"), *ends)
+    spot = lambda c: F.struct(*[F.col(c)[a].alias(a) for a in AXES])
+    box = lambda i: F.struct(*[F.col(f"_{i}{k}")[a].alias(a) for k, a in enumerate(AXES)])
+    cells = table(cells.select(KEY, "cx", "cy", "cz", "c", F.array(*[spot(f"_{i}{k}") for i in (0, 1) for k in range(3)]).alias("w"), box(0).alias("l"), box(1).alias("h")))
+    named = lambda i, *more: [F.col(c).alias(f"{c}{i}") for c in ("c", "w", "l", "h", *more)]
+    about = cells.select(KEY, *named(0), F.struct("cx", "cy", "cz").alias("_own"))
+    for a in AXES:
+        about = about.withColumn(f"c{a}", F.explode(F.sequence(F.floor((F.col("l0")[a] - reach) / side), F.floor((F.col("h0")[a] + reach) / side))))
+    both = about.where(F.struct("cx", "cy", "cz") > F.col("_own")).drop("_own").join(cells.select(KEY, "cx", "cy", "cz", *named(1)), [KEY, "cx", "cy", "cz"])
+    gap = lambda low, high, l, h: sum((F.pow(F.greatest(F.lit(0.0), l[a] - high[a], low[a] - h[a]), F.lit(2.0)) for a in AXES), F.lit(0.0))
+    both = both.where(gap(F.col("l0"), F.col("h0"), F.col("l1"), F.col("h1")) <= reach * reach)
+    near = F.exists("w0", lambda p: F.exists("w1", lambda q: P.distance2(p, q) <= distance * distance))
+    both = table(both.select(KEY, "c0", "c1", near.alias("near"), *[F.when(~near, F.col(c)).alias(c) for c in ("l0", "h0", "l1", "h1")]))
+    links = both.where("near").select(KEY, F.col("c0").alias("id0"), F.col("c1").alias("id1"))
+    found = connected_components(links, "id0", "id1", [KEY])
+    left = both.where("NOT near")
+    for i in (0, 1):
+        left = left.join(found.select(KEY, F.col("node").alias(f"c{i}"), F.col("label").alias(f"r{i}")), [KEY, f"c{i}"], "left").withColumn(f"r{i}", F.coalesce(f"r{i}", f"c{i}"))
+    left = table(left.where("r0 <> r1"))
+    # The points of either cell that may reach the other's box.
+    own = table(at.join(cells.select(KEY, "cx", "cy", "cz", "c"), [KEY, "cx", "cy", "cz"]).select(KEY, "id0", "p0", "c"))
+    for i in (0, 1):
+        p, o = F.col(f"p{i}"), 1 - i
+        left = left.join(own.select(KEY, F.col("c").alias(f"c{i}"), F.col("p0").alias(f"p{i}")), [KEY, f"c{i}"]).where(gap(p, p, F.col(f"l{o}"), F.col(f"h{o}")) <= reach * reach)
+    met = left.where(P.distance2(F.col("p0"), F.col("p1")) <= distance * distance).select(KEY, F.col("r0").alias("id0"), F.col("r1").alias("id1")).distinct()
+    inside = own.where("id0 <> c").select(KEY, "id0", F.col("c").alias("id1"))
+    return merging(inside.unionByName(found.select(KEY, F.col("node").alias("id0"), F.col("label").alias("id1"))).unionByName(met))
+
+
 def search(boxes: DataFrame, low: Column, high: Column, also: Column | None = None) -> DataFrame:
     """Boxes (mesh_id, id, low, high, ...) that meet one box and a predicate, for any aggregate after."""
     out = boxes.where(P.box_overlaps(F.col("low"), F.col("high"), low, high))
