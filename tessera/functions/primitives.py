@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.model import EPS, EPS2
@@ -184,23 +184,38 @@ def closest_on_triangle(p: Column, a: Column, b: Column, c: Column) -> Column:
         return let(F.struct(*[x.alias(f"d{i + 1}") for i, x in enumerate(d)]), lambda d: place(r, d))
 
     def place(r: Column, d: Column) -> Column:
-        p, a, b, c = (r[n] for n in names)
-        d1, d2, d3, d4, d5, d6 = (d[f"d{i}"] for i in range(1, 7))
-        va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
-        # Weights of b and c; the corner a has the rest.
-        v = F.when((d1 <= 0) & (d2 <= 0), 0.0).when((d3 >= 0) & (d4 <= d3), 1.0).when((vc <= 0) & (d1 >= 0) & (d3 <= 0), d1 / (d1 - d3))
-        w = F.when((d1 <= 0) & (d2 <= 0), 0.0).when((d3 >= 0) & (d4 <= d3), 0.0).when((vc <= 0) & (d1 >= 0) & (d3 <= 0), 0.0)
-        v = v.when((d6 >= 0) & (d5 <= d6), 0.0).when((vb <= 0) & (d2 >= 0) & (d6 <= 0), 0.0)
-        w = w.when((d6 >= 0) & (d5 <= d6), 1.0).when((vb <= 0) & (d2 >= 0) & (d6 <= 0), d2 / (d2 - d6))
-        along, on = (d4 - d3) / ((d4 - d3) + (d5 - d6)), (va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0)
-        v = v.when(on, 1 - along).otherwise(vb / (va + vb + vc))
-        w = w.when(on, along).otherwise(vc / (va + vb + vc))
+        _, a, b, c = (r[n] for n in names)
+        v, w = _triangle_weights(*[d[f"d{i}"] for i in range(1, 7)])
         at = lambda k: add(a, add(scale(sub(b, a), k["v"]), scale(sub(c, a), k["w"])))
         return let(F.struct(v.alias("v"), w.alias("w")), at)
 
     return let(F.struct(p.alias("p"), a.alias("a"), b.alias("b"), c.alias("c")), products)
 
 
+def _triangle_weights(d1: Column, d2: Column, d3: Column, d4: Column, d5: Column, d6: Column) -> tuple[Column, Column]:
+    """Weights of b and c in the closest point; the corner a has the rest."""
+    va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
+    v = F.when((d1 <= 0) & (d2 <= 0), 0.0).when((d3 >= 0) & (d4 <= d3), 1.0).when((vc <= 0) & (d1 >= 0) & (d3 <= 0), d1 / (d1 - d3))
+    w = F.when((d1 <= 0) & (d2 <= 0), 0.0).when((d3 >= 0) & (d4 <= d3), 0.0).when((vc <= 0) & (d1 >= 0) & (d3 <= 0), 0.0)
+    v = v.when((d6 >= 0) & (d5 <= d6), 0.0).when((vb <= 0) & (d2 >= 0) & (d6 <= 0), 0.0)
+    w = w.when((d6 >= 0) & (d5 <= d6), 1.0).when((vb <= 0) & (d2 >= 0) & (d6 <= 0), d2 / (d2 - d6))
+    along, on = (d4 - d3) / ((d4 - d3) + (d5 - d6)), (va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0)
+    v = v.when(on, 1 - along).otherwise(vb / (va + vb + vc))
+    w = w.when(on, along).otherwise(vc / (va + vb + vc))
+    return v, w
+
+
+def with_closest_on_triangle(rows: DataFrame, p: Column, a: Column, b: Column, c: Column) -> DataFrame:
+    """rows with closest_on_triangle as point, by columns of plain numbers, for tables of very many pairs."""
+    names = rows.columns
+    ab, ac = sub(b, a), sub(c, a)
+    d = [dot(side, sub(p, corner)) for corner in (a, b, c) for side in (ab, ac)]
+    rows = rows.withColumns({f"_d{i + 1}": x for i, x in enumerate(d)})
+    v, w = _triangle_weights(*[F.col(f"_d{i}") for i in range(1, 7)])
+    rows = rows.withColumns({"_v": v, "_w": w})
+    return rows.select(*names, add(a, add(scale(ab, F.col("_v")), scale(ac, F.col("_w")))).alias("point"))
+
+
 #: Where a line, a ray and a segment end, along a direction from their origin.
 _ENDS = {"line": (float("-inf"), float("inf")), "ray": (0.0, float("inf")), "segment": (0.0, 1.0)}
 

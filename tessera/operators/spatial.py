@@ -208,6 +208,8 @@ def ids_meeting(rows: DataFrame, predicate: Column) -> DataFrame:
 
 #: Boxes of both sides in a cell, on average, that are met without cells of their own size.
 _HELD = 256
+#: Triangles of a mesh that a query meets without a search.
+_FEW = 64
 #: Points in a cell above which it splits, times k; levels that a split goes down.
 _CROWD, _DOWN = 16, 3
 
@@ -361,11 +363,19 @@ def _triangles(mesh: Mesh) -> DataFrame:
 def nearest_faces(mesh: Mesh, queries: DataFrame, radius: float | None = None) -> DataFrame:
     """The nearest face of each query, within radius where there is one: mesh_id, qid, fid, d2, point.
 
-    No face is farther than its nearest vertex, so each query looks as far as
-    the nearest vertex of a face lies. Faces of any number of corners are met as
-    triangles; ties go to the smaller fid.
+    Queries of a mesh of few triangles meet them all. In other meshes no face is
+    farther than its nearest vertex, so each query looks as far as the nearest
+    vertex of a face lies. Faces of any number of corners are met as triangles;
+    ties go to the smaller fid.
     """
     f = table(_triangles(mesh))
+    small = table(f.groupBy(KEY).agg((F.count("*") <= _FEW).alias("_few")))
+    at = queries.select(KEY, F.col("qid").alias("id0"), P.point().alias("p0"))
+    best = _nearest(at.join(small.where("_few").select(KEY), KEY).join(f.select(KEY, F.col("id").alias("id1"), "pts"), KEY), radius)
+    large = small.where("NOT _few").select(KEY)
+    if large.isEmpty():
+        return best
+    f, queries = (merging(t.join(large, KEY, "left_semi")) for t in (f, queries))
     named = mesh.points.join(f.select(KEY, F.explode("vids").alias("vid")).distinct(), [KEY, "vid"], "left_semi")
     far = knn(named, queries, 1).select(KEY, "qid", F.sqrt("d2").alias("far"))
     at = queries.join(far, [KEY, "qid"]).withColumn("far", F.col("far") * (1 + 1e-9) + 1e-12)
@@ -374,8 +384,13 @@ def nearest_faces(mesh: Mesh, queries: DataFrame, radius: float | None = None) -
     spots = at.select(KEY, F.col("qid").alias("id"), P.each(lambda v: v - F.col("far"), P.point()).alias("low"), P.each(lambda v: v + F.col("far"), P.point()).alias("high"))
     met = box_pairs(spots, f.select(KEY, "id", P.box_low(p).alias("low"), P.box_high(p).alias("high")))
     both = met.join(_named(at, "qid", 0), [KEY, "id0"]).join(f.select(KEY, F.col("id").alias("id1"), "pts"), [KEY, "id1"])
+    return best.unionByName(_nearest(both, radius))
+
+
+def _nearest(both: DataFrame, radius: float | None) -> DataFrame:
+    """nearest_faces of queries (mesh_id, id0, p0) with the triangles (id1, pts) that each meets."""
     c = [F.get("pts", F.lit(i)) for i in range(3)]
-    both = both.withColumn("point", P.closest_on_triangle(F.col("p0"), *c)).withColumn("d2", P.distance2(F.col("p0"), F.col("point")))
+    both = P.with_closest_on_triangle(both, F.col("p0"), *c).withColumn("d2", P.distance2(F.col("p0"), F.col("point")))
     both = both if radius is None else both.where(F.col("d2") <= radius * radius)
     best = both.groupBy(KEY, F.col("id0").alias("qid")).agg(F.min(F.struct("d2", F.col("id1.fid").alias("fid"), "point")).alias("b"))
     return best.select(KEY, "qid", "b.fid", "b.d2", "b.point")
