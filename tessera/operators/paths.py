@@ -55,56 +55,54 @@ def _numbered(rows: DataFrame, key: list[str], order: str, name: str) -> DataFra
 def eulerian_steps(edges: DataFrame) -> DataFrame:
     """Directed edges (mesh_id, eid, v0, v1) placed on the fewest edge-disjoint walks that use each once: mesh_id, eid, v0, v1, path_id, pos, closed.
 
-    Extra edges from vertices where more edges arrive to such where more leave
-    make every vertex even. Arriving and leaving edges are paired by number at
-    each vertex, which makes circuits. Circuits and the vertices they meet at
-    are a graph; along one spanning forest of it, the circuits at each vertex
-    exchange successors in turn, which joins all circuits of a component at
-    once. Walks are what is left between the extra edges. path_id is a walk's
-    smallest eid. All of it is joins, sorts and counts; no vertex, circuit or
-    component has to fit a task.
+    Arriving and leaving edges are paired by number at each vertex; those left
+    over begin or end a walk there. This makes open walks, as few as there can
+    be, and circuits. Circuits and the vertices they pass, with one open walk at
+    such a vertex, are a graph; along one spanning forest of it, those that meet
+    at a vertex exchange successors in turn, which puts each circuit into an open
+    walk where its component has one and else into one circuit: an open walk
+    counts as a circuit from its end back to its start, and the exchange may move
+    these, but makes none. Open walks begin where more edges leave and end where
+    more arrive, so none comes back to its start. path_id is a walk's smallest
+    eid. All of it is joins, sorts and counts; no vertex, circuit or component
+    has to fit a task.
     """
-    e = table(edges.select(KEY, "eid", "v0", "v1"))
-    kind = e.schema["eid"].dataType
-    ways = e.select(KEY, F.explode(F.array(F.struct(F.col("v0").alias("vid"), F.lit(1).alias("d")), F.struct(F.col("v1").alias("vid"), F.lit(-1).alias("d")))).alias("w"))
-    odd = ways.groupBy(KEY, F.col("w.vid").alias("vid")).agg(F.sum("w.d").alias("d")).where("d <> 0")
-    units = odd.withColumn("u", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("d")))).select(KEY, (F.col("d") > 0).alias("over"), "vid", F.struct("vid", "u").alias("o"))
-    units = table(_numbered(units, [KEY, "over"], "o", "n"))
-    extra = units.where("NOT over").select(KEY, "n", F.col("vid").alias("v0")).join(units.where("over").select(KEY, "n", F.col("vid").alias("v1")), [KEY, "n"])
-    every = e.select(KEY, "eid", "v0", "v1", F.lit(None).cast("long").alias("n"))
-    every = every.unionByName(extra.select(KEY, F.lit(None).cast(kind).alias("eid"), "v0", "v1", F.col("n").cast("long").alias("n")))
-    every = every.withColumn("o", F.struct(F.col("n").isNotNull().alias("x"), "eid", "n"))
-    every = table(dense_ids(every, "o", "i").select(KEY, "i", "eid", "v0", "v1", F.col("n").isNotNull().alias("extra")))
+    every = table(dense_ids(edges.select(KEY, "eid", "v0", "v1"), "eid", "i"))
     ends = F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("v1").alias("v")), F.struct(F.lit(1).alias("way"), F.col("v0").alias("v"))))
     met = table(_numbered(every.select(KEY, "i", ends.alias("w")).select(KEY, "w.way", "w.v", "i"), [KEY, "v", "way"], "i", "k"))
-    pairs = met.where("way = 0").select(KEY, "v", "k", "i").join(met.where("way = 1").select(KEY, "v", "k", F.col("i").alias("j")), [KEY, "v", "k"])
+    pairs = met.where("way = 0").select(KEY, "v", "k", "i").join(met.where("way = 1").select(KEY, "v", "k", F.col("i").alias("j")), [KEY, "v", "k"], "full")
     pairs = table(pairs.select(KEY, "v", "i", "j"))
-    item = lambda c: F.struct(F.col(KEY), F.col(c).alias("id"))
-    named = chains(pairs.select(item("i").alias("item"), item("j").alias("next")))
-    named = named.select(F.col(f"item.{KEY}").alias(KEY), F.col("item.id").alias("i"), F.col("label.id").alias("c"))
-    at = pairs.join(named, [KEY, "i"]).groupBy(KEY, "v", "c").agg(F.min(F.struct("i", "j")).alias("r"))
-    low = at.groupBy(KEY, "v").agg(F.min("c").alias("m"), F.count("*").alias("w")).where("w > 1").drop("w")
-    at = table(at.join(low, [KEY, "v"]))
-    # A vertex belongs to its smallest circuit; every other circuit there is an edge to that one.
-    tree = spanning_forest(at.where("c <> m").select(item("c").alias("src"), item("m").alias("dst"), F.struct(F.col(KEY), "v", "c").alias("id")))
-    tree = table(tree.select(F.col(f"id.{KEY}").alias(KEY), "id.v", "id.c"))
-    hubs = tree.join(low, [KEY, "v"]).select(KEY, "v", F.col("m").alias("c")).distinct()
-    chosen = table(_numbered(at.join(tree.unionByName(hubs), [KEY, "v", "c"]).select(KEY, "v", "c", "r"), [KEY, "v"], "c", "k"))
-    # Each chosen edge goes on where the next one of its vertex did.
-    size = chosen.groupBy(KEY, "v").agg(F.count("*").alias("m"))
-    after = chosen.select(KEY, "v", F.col("k").alias("to"), F.col("r.j").alias("j2"))
-    moved = chosen.join(size, [KEY, "v"]).withColumn("to", (F.col("k") + 1) % F.col("m")).join(after, [KEY, "v", "to"]).select(KEY, F.col("r.i").alias("i"), "j2")
-    real = every.where("NOT extra").drop("extra")
-    on = real.select(KEY, F.col("i").alias("j"), F.lit(True).alias("go"))
-    goes = pairs.join(moved, [KEY, "i"], "left").select(KEY, "i", F.coalesce("j2", "j").alias("j"))
-    links = real.select(KEY, "i").join(goes, [KEY, "i"]).join(on, [KEY, "j"], "left")
-    placed = chains(links.select(item("i").alias("item"), F.when(F.col("go"), item("j")).alias("next")))
-    placed = placed.select(F.col(f"item.{KEY}").alias(KEY), F.col("item.id").alias("i"), F.col("label.id").alias("first"), "pos", "closed")
-    label = real.select(KEY, F.col("i").alias("first"), F.col("eid").alias("path_id"))
-    out = table(placed.join(real, [KEY, "i"]).join(label, [KEY, "first"]))
-    # A walk that comes back to its start is closed too.
-    ends = out.groupBy(KEY, "path_id").agg((F.min(F.struct("pos", "v0"))["v0"] == F.max(F.struct("pos", "v1"))["v1"]).alias("loop"))
-    return out.join(ends, [KEY, "path_id"]).select(KEY, "eid", "v0", "v1", "path_id", "pos", (F.col("closed") | F.col("loop")).alias("closed"))
+    item = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(KEY), F.col(c).alias("id")))
+
+    def placed(goes: DataFrame) -> DataFrame:
+        at = chains(goes.select(F.struct(F.col(KEY), F.col("i").alias("id")).alias("item"), item("j").alias("next")))
+        return table(at.select(F.col(f"item.{KEY}").alias(KEY), F.col("item.id").alias("i"), F.col("label.id").alias("c"), "pos", "closed"))
+
+    walks = placed(pairs.where("i IS NOT NULL"))
+    rings = walks.where("closed").select(KEY, "i", "c")
+    if not rings.isEmpty():
+        r = F.min(F.struct("i", "j")).alias("r")
+        passed = table(pairs.join(rings, [KEY, "i"]).groupBy(KEY, "v", "c").agg(r))
+        beside = pairs.join(passed.select(KEY, "v").distinct(), [KEY, "v"], "left_semi").withColumn("_i", F.coalesce("i", "j"))
+        beside = beside.join(walks.where("NOT closed").select(KEY, F.col("i").alias("_i"), "c"), [KEY, "_i"])
+        beside = beside.groupBy(KEY, "v").agg(F.min(F.struct("c", "i", "j")).alias("o")).select(KEY, "v", "o.c", F.struct("o.i", "o.j").alias("r"))
+        at = passed.unionByName(beside)
+        low = at.groupBy(KEY, "v").agg(F.min("c").alias("m"), F.count("*").alias("w")).where("w > 1").drop("w")
+        at = table(at.join(low, [KEY, "v"]))
+        # A vertex belongs to its smallest circuit or walk; every other one there is an edge to that one.
+        tree = spanning_forest(at.where("c <> m").select(item("c").alias("src"), item("m").alias("dst"), F.struct(F.col(KEY), "v", "c").alias("id")))
+        tree = table(tree.select(F.col(f"id.{KEY}").alias(KEY), "id.v", "id.c"))
+        hubs = tree.join(low, [KEY, "v"]).select(KEY, "v", F.col("m").alias("c")).distinct()
+        chosen = table(_numbered(at.join(tree.unionByName(hubs), [KEY, "v", "c"]).select(KEY, "v", "c", "r"), [KEY, "v"], "c", "k"))
+        # Each chosen edge goes on where the next one of its vertex did.
+        size = chosen.groupBy(KEY, "v").agg(F.count("*").alias("m"))
+        after = chosen.select(KEY, "v", F.col("k").alias("to"), F.col("r.j").alias("j2"))
+        moved = chosen.join(size, [KEY, "v"]).withColumn("to", (F.col("k") + 1) % F.col("m")).join(after, [KEY, "v", "to"])
+        moved = moved.where("r.i IS NOT NULL").select(KEY, F.col("r.i").alias("i"), "j2", F.lit(True).alias("_moved"))
+        goes = pairs.where("i IS NOT NULL").join(moved, [KEY, "i"], "left")
+        walks = placed(goes.select(KEY, "i", F.when(F.col("_moved"), F.col("j2")).otherwise(F.col("j")).alias("j")))
+    label = every.select(KEY, F.col("i").alias("c"), F.col("eid").alias("path_id"))
+    return walks.join(every, [KEY, "i"]).join(label, [KEY, "c"]).select(KEY, "eid", "v0", "v1", "path_id", "pos", "closed")
 
 
 def eulerian_paths(edges: DataFrame) -> DataFrame:
