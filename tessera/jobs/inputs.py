@@ -21,6 +21,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return merging(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+#: Rows of one task where much is computed for each.
+DEALT = 20_000
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by key to one task for each DEALT of them: a small file is one task to read, however long its rows take."""
+    return rows.repartition(1 + rows.count() // DEALT, key)
+
+
 def soup_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
     o, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("p")

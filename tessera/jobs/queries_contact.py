@@ -78,7 +78,7 @@ def p5_closest_pairs(spark, d):
     u = P.vec(k % 5 - 2.5, k % 7 - 3.5, k % 3 - 0.7)
     kinds = ("line", "ray", "segment")
     each = [F.struct(F.lit(a).alias("kind0"), F.lit(b).alias("kind1"), F.sqrt(P.closest_of_lines(a, o, u, b, P.vec(20, 15, 40), P.vec(3, 4, 5))["d2"]).alias("distance")) for a in kinds for b in kinds]
-    return _round(I.read(spark, d, "part").select(k.alias("k"), F.explode(F.array(*each)).alias("e")).select("k", "e.*"), "distance", digits=4)
+    return _round(I.dealt(I.read(spark, d, "part"), "p_partkey").select(k.alias("k"), F.explode(F.array(*each)).alias("e")).select("k", "e.*"), "distance", digits=4)
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, p_size::DOUBLE - 25 AS x, p_retailprice / 100 - 14 AS y FROM part), g AS (SELECT k, x, y, (x > 1 OR x < -20 OR y > 1 OR y < -3) AS out_l, x > -5 AND y > -1 AS notch FROM p)
@@ -91,7 +91,7 @@ def p7_p8_sides(spark, d):
     x, y = F.col("p_size") - 25.0, F.col("p_retailprice") / 100 - 14
     ell = F.array(*[P.vec(a, b, float(a + 2 * b)) for a, b in ((-20, -3), (1, -3), (1, -1), (-5, -1), (-5, 1), (-20, 1))])
     flat = P.vec(x, y)
-    return I.read(spark, d, "part").select(
+    return I.dealt(I.read(spark, d, "part"), "p_partkey").select(
         F.col("p_partkey").alias("k"),
         P.point_in_polygon(P.vec(x, y, x + 2 * y), ell).alias("side"),
         P.classify_wedge2d(flat, P.vec(0, 0), P.vec(1, 0), P.vec(0, 1)).alias("wedge"),
@@ -106,7 +106,7 @@ def p4_polygon_and_box_distances(spark, d):
     k = F.col("p_partkey")
     p = P.vec(F.col("p_size"), F.col("p_retailprice") / 100, k % 97)
     flat = F.array(*[P.vec(a, b, 50) for a, b in ((10, 12), (30, 12), (30, 16), (10, 16))])
-    out = I.read(spark, d, "part").select(k.alias("k"), P.let(P.closest_in_polygon(p, flat), lambda q: P.distance(p, q)).alias("polygon"), F.sqrt(P.segment_box_distance2(p, P.add(p, P.vec(0, 0, 5)), P.vec(10, 12, 40), P.vec(30, 16, 60))).alias("segment"))
+    out = I.dealt(I.read(spark, d, "part"), "p_partkey").select(k.alias("k"), P.let(P.closest_in_polygon(p, flat), lambda q: P.distance(p, q)).alias("polygon"), F.sqrt(P.segment_box_distance2(p, P.add(p, P.vec(0, 0, 5)), P.vec(10, 12, 40), P.vec(30, 16, 60))).alias("segment"))
     return _round(out, "polygon", "segment")
 
 
