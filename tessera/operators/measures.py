@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import primitives as P
 from tessera.model import KEY, Mesh, corners, fat_faces, half_edges
 from tessera.operators.reindex import dense_ids
+from tessera.sources.scratch import onto_points
 
 AXES = P.AXES
 
@@ -102,7 +103,7 @@ def edge_lengths(mesh: Mesh) -> DataFrame:
     p = mesh.points.select(KEY, "vid", P.point().alias("p"))
     sides = half_edges(mesh.faces).select(KEY, "a", "b")
     a, b = p.select(KEY, F.col("vid").alias("a"), F.col("p").alias("pa")), p.select(KEY, F.col("vid").alias("b"), F.col("p").alias("pb"))
-    n = sides.join(a, [KEY, "a"]).join(b, [KEY, "b"]).select(KEY, P.distance(F.col("pa"), F.col("pb")).alias("l"))
+    n = onto_points(onto_points(sides, a, [KEY, "a"]), b, [KEY, "b"]).select(KEY, P.distance(F.col("pa"), F.col("pb")).alias("l"))
     return n.groupBy(KEY).agg(F.avg("l").alias("mean_edge"), F.min("l").alias("min_edge"), F.max("l").alias("max_edge"))
 
 
