@@ -9,7 +9,7 @@ from tessera.functions import primitives as P
 from tessera.model import KEY
 from tessera.operators.clean import clean_edges
 from tessera.operators.paths import planar_embedding
-from tessera.operators.spatial import box_pairs
+from tessera.operators.meeting import self_box_pairs
 from tessera.sources.scratch import table
 
 
@@ -27,7 +27,7 @@ def crossings(edges: DataFrame, points: DataFrame) -> DataFrame:
     e = table(_ends(edges, points))
     low = lambda f: P.each(lambda a, b: f(a, b), F.col("p0"), F.col("p1"))
     boxes = e.select(KEY, F.col("eid").alias("id"), low(F.least).alias("low"), low(F.greatest).alias("high"))
-    met = box_pairs(boxes, boxes).where("id0 < id1")
+    met = self_box_pairs(boxes)
     side = lambda n: e.select(KEY, F.col("eid").alias(f"id{n}"), F.col("p0").alias(f"a{n}"), F.col("p1").alias(f"b{n}"))
     both = met.join(side(0), [KEY, "id0"]).join(side(1), [KEY, "id1"])
     both = both.withColumn("c", P.segments_cross2d(F.col("a0"), F.col("b0"), F.col("a1"), F.col("b1"))).where("c IS NOT NULL")
