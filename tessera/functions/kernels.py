@@ -67,7 +67,7 @@ def ear_clip(pts: np.ndarray) -> list[tuple[int, int, int]]:
     return [*out, tuple(left)] if len(left) == 3 else out
 
 
-def clip(pts: list[np.ndarray], values: list[float], level: float, above: bool) -> tuple[list[np.ndarray], list[float]]:
+def clip(pts: list[tuple[float, ...]], values: list[float], level: float, above: bool) -> tuple[list[tuple[float, ...]], list[float]]:
     """The part of a polygon where values, linear along its sides, lie above (or below) a level."""
     out_p, out_v, n = [], [], len(pts)
     for i in range(n):
@@ -78,13 +78,21 @@ def clip(pts: list[np.ndarray], values: list[float], level: float, above: bool)
             out_v.append(a)
         if inside != then and a != b and level not in (a, b):
             # From the lower end, so that both faces of a side get the same point.
-            (u, x), (v, y) = sorted([(a, tuple(p)), (b, tuple(q))])
+            (u, x), (v, y) = sorted([(a, p), (b, q)])
             t = (level - u) / (v - u)
-            out_p.append(np.array(x) + t * (np.array(y) - np.array(x)))
+            out_p.append(tuple(c + t * (d - c) for c, d in zip(x, y, strict=True)))
             out_v.append(level)
     return out_p, out_v
 
 
+def has_area(pts: list[tuple[float, ...]]) -> bool:
+    """Whether a polygon's area vector is other than 0."""
+    x = y = z = 0.0
+    for (a, b, c), (d, e, f) in zip(pts, [*pts[1:], pts[0]], strict=True):
+        x, y, z = x + (b * f - c * e), y + (c * d - a * f), z + (a * e - b * d)
+    return x * x + y * y + z * z > 0
+
+
 def _spans(t: np.ndarray, n: np.ndarray, o: np.ndarray, along: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of triangles (k, 3, 3) and planes with normals n through o: the ends of what both share, and their places along a direction."""
     d = np.einsum("kij,kj->ki", t - o[:, None], n)

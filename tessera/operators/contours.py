@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,6 +15,7 @@ from tessera.functions import primitives as P
 from tessera.model import KEY, Mesh, half_edges
 from tessera.operators.clean import weld_soup
 from tessera.operators.paths import connect_edges
+from tessera.sources.scratch import table
 
 
 def contour_points(mesh: Mesh, cuts: Sequence[float], scalar: str = "scalar") -> DataFrame:
@@ -61,16 +63,16 @@ def _banded(mesh: Mesh, cuts: Sequence[float], scalar: str, bands: Sequence[int]
         for t in parts:
             rows = []
             for key, fid, c in t.itertuples(index=False):
-                a = np.array([list(p) for p in c])
-                first, last = np.searchsorted(levels, [a[:, 3].min(), a[:, 3].max()], "right").tolist()
-                for b in range(first, last + 1):
-                    p, v = list(a[:, :3]), a[:, 3].tolist()
+                corners = [tuple(q.tolist()) for q in c]
+                values = [q[3] for q in corners]
+                for b in range(bisect_right(levels, min(values)), bisect_right(levels, max(values)) + 1):
+                    p, v = [q[:3] for q in corners], values
                     if ends[b] > -np.inf:
                         p, v = kernels.clip(p, v, ends[b], True)
                     if ends[b + 1] < np.inf and p:
                         p, v = kernels.clip(p, v, ends[b + 1], False)
-                    if len(p) >= 3 and np.linalg.norm(np.cross(p, np.roll(p, -1, 0)).sum(0)) > 0:
-                        rows.append((key, fid, b, [{"x": float(q[0]), "y": float(q[1]), "z": float(q[2])} for q in p]))
+                    if len(p) >= 3 and kernels.has_area(p):
+                        rows.append((key, fid, b, [{"x": x, "y": y, "z": z} for x, y, z in p]))
             yield pd.DataFrame(rows, columns=[KEY, "fid", "band", "pts"])
 
     out = whole.unionByName(cut.mapInPandas(run, f"{KEY} long, fid long, band int, pts array<struct<x: double, y: double, z: double>>"))
@@ -92,5 +94,6 @@ def isobands(mesh: Mesh, cuts: Sequence[float], bands: Sequence[int], scalar: st
 
 
 def _labelled(pieces: DataFrame, n: int) -> tuple[Mesh, DataFrame]:
-    named = pieces.select(KEY, (F.col("fid") * (n + 1) + F.col("band")).alias("fid"), F.col("fid").alias("src_fid"), "band", "pts")
+    # Written, as the weld and the labels read them many times over.
+    named = table(pieces.select(KEY, (F.col("fid") * (n + 1) + F.col("band")).alias("fid"), F.col("fid").alias("src_fid"), "band", "pts"))
     return weld_soup(named.select(KEY, "fid", "pts")), named.select(KEY, "fid", "band", "src_fid")
