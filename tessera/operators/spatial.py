@@ -223,7 +223,7 @@ def ids_meeting(rows: DataFrame, predicate: Column) -> DataFrame:
 
 #: Boxes of both sides in a cell, on average, that are met without cells of their own size.
 _HELD = 256
-#: Triangles of a mesh that a query meets without a search.
+#: Triangles or points of a mesh that a query meets without a search.
 _FEW = 64
 #: Points in a cell above which it splits, times k; levels that a split goes down.
 _CROWD, _DOWN = 16, 3
@@ -338,9 +338,34 @@ def knn(points: DataFrame, queries: DataFrame, k: int = 1, radius: float | None
     nor outliers change how many a query meets. The points of these 27 cells
     give the k-th distance; where it reaches beyond them, the level that covers
     it is searched once more. So a query meets points twice at most, however far
-    they lie. Ties go to the smaller vid. radius is a plain distance; fewer than
+    they lie. Queries of a mesh of few points pass through these instead. Ties go
+    to the smaller vid. radius is a plain distance; fewer than
     k may lie within it. size: the cells of level 0.
     """
+    small = table(points.groupBy(KEY).agg((F.count("*") <= _FEW).alias("_few")))
+    few = small.where("_few").select(KEY)
+    if few.isEmpty():
+        return _knn(points, queries, k, radius, size)
+    lists = points.join(few, KEY).groupBy(KEY).agg(F.collect_list(F.struct("vid", P.point().alias("p"))).alias("_held"))
+    best = table(_knn_of_few(lists, queries, k, radius))
+    large = small.where("NOT _few").select(KEY)
+    if large.isEmpty():
+        return best
+    points, queries = (merging(t.join(large, KEY, "left_semi")) for t in (points, queries))
+    return merging(best.unionByName(_knn(points, queries, k, radius, size)))
+
+
+def _knn_of_few(lists: DataFrame, queries: DataFrame, k: int, radius: float | None) -> DataFrame:
+    """knn of meshes of few points, held as a list (mesh_id, _held): each query passes through its mesh's list."""
+    at = queries.select(KEY, "qid", P.point().alias("q")).join(merging(lists), KEY)
+    d = F.transform("_held", lambda h: F.struct(P.distance2(h["p"], F.col("q")).alias("d2"), h["vid"].alias("vid")))
+    d = F.filter(d, lambda h: h["d2"].isNotNull() if radius is None else h["d2"] <= float(radius) ** 2)
+    at = at.select(KEY, "qid", d.alias("d")).where(F.size("d") > 0)
+    best = F.array(F.array_min("d")) if k == 1 else F.slice(F.sort_array("d"), 1, k)
+    return at.select(KEY, "qid", F.posexplode(best).alias("pos", "b")).select(KEY, "qid", "b.vid", "b.d2", (F.col("pos") + 1).alias("rank"))
+
+
+def _knn(points: DataFrame, queries: DataFrame, k: int, radius: float | None, size: float | None) -> DataFrame:
     ends = points.select(*AXES).unionByName(queries.select(*AXES)).agg(*[f(a) for a in AXES for f in (F.min, F.max)]).first()
     if ends[0] is None:
         return points.join(queries.limit(0), KEY).select(KEY, "qid", "vid", F.lit(0.0).alias("d2"), F.lit(1).alias("rank"))
